@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sigtok.llm.packing import op9_large_item_packing
+from sigtok.llm.pieces import op8_prefix_table
 from sigtok.llm.quality import op7_weak_supervision
 from sigtok.llm.sharding import op10_bfd_shards
+from sigtok.llm.tokenfile import op6_orc_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_orc_tokens": op6_orc_tokens,
     "op7_weak_supervision": op7_weak_supervision,
+    "op8_prefix_table": op8_prefix_table,
+    "op9_large_item_packing": op9_large_item_packing,
     "op10_bfd_shards": op10_bfd_shards,
 }
 
