@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sigtok.llm.media import op3_jpeg_thumbnails
+from sigtok.llm.neardup import op2_bbit_minhash
 from sigtok.llm.packing import op9_large_item_packing
 from sigtok.llm.pieces import op8_prefix_table
 from sigtok.llm.quality import op7_weak_supervision
-from sigtok.llm.secrets import op5_keyword_secrets
+from sigtok.llm.secretscan import op5_keyword_secrets
 from sigtok.llm.sharding import op10_bfd_shards
 from sigtok.llm.tokenfile import op6_orc_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bbit_minhash": op2_bbit_minhash,
     "op3_jpeg_thumbnails": op3_jpeg_thumbnails,
     "op5_keyword_secrets": op5_keyword_secrets,
     "op6_orc_tokens": op6_orc_tokens,
