@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sigtok.session import ship
 
 #: Rows that one window partition of ``ordinals`` holds on average.
-ROWS_PER_SALT = 50_000
+ROWS_PER_SALT = 10_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sigtok.llm.linedup import OP4_SQL, op4_suffix_lines
 from sigtok.llm.media import op3_jpeg_thumbnails
 from sigtok.llm.neardup import op2_bbit_minhash
 from sigtok.llm.packing import op9_large_item_packing
@@ -18,6 +19,7 @@ from sigtok.llm.tokenfile import op6_orc_tokens
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bbit_minhash": op2_bbit_minhash,
     "op3_jpeg_thumbnails": op3_jpeg_thumbnails,
+    "op4_suffix_lines": op4_suffix_lines,
     "op5_keyword_secrets": op5_keyword_secrets,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_weak_supervision": op7_weak_supervision,
@@ -26,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bfd_shards": op10_bfd_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_suffix_lines": OP4_SQL}
