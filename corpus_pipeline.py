@@ -1,10 +1,62 @@
-"""The corpus pipeline: placeholder until its stages are there."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, secret scan, packing.
 
-STAGES = []
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but
+the last keep the columns of ``docs``; where a text changes, n_chars follows it. Documents go only by
+rules that reject them (quality), by being left with white space alone (line dedup) or as later copies
+(near-dedup). Rows of one doc_id and text are treated alike; empty tables pass through empty.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigtok.llm import linedup, neardup, packing, quality, secretscan
+from sigtok.llm.common import documents, write_shared
+
+
+def _recounted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with n_chars of its texts."""
+    if "n_chars" in columns:
+        df = df.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
+    return df.select(*columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.filtered(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _recounted(linedup.drop_repeats(docs), docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _recounted(secretscan.redact(docs), docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Neither the packing plan nor the token ids can be given in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of ``sf_dir``, each one's result written and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = write_shared(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,8 @@ from sigtok.session import ship
 
 #: Rows that one window partition of ``ordinals`` holds on average.
 ROWS_PER_SALT = 10_000
+#: A table of at most so many rows of a few numbers may be broadcast.
+SMALL_ROWS = 500_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,11 @@ def whole_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has at most SMALL_ROWS rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` of a function of one batch."""
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtok.llm.common import arrow_map, documents, whole_text, write_shared
+from sigtok.llm.common import arrow_map, documents, small, whole_text, write_shared
 from sigtok.llm.components import connected
 from sigtok.llm.wordcache import MAX_UNITS
 
@@ -40,8 +40,6 @@ BANDS = HASHES // ROWS
 BITS = 4
 #: Members of a bucket that a task compares with each other or with as many others.
 BLOCK = 2048
-#: A table of at most so many rows of a few numbers may be broadcast.
-SMALL_ROWS = 500_000
 
 _rng = np.random.default_rng(20_240_229)
 _XOR = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32)[:, None]
@@ -153,11 +151,6 @@ def _bytes_of(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).cast("binary").alias("text"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has at most SMALL_ROWS rows; else joins shuffle."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
-
-
 def _sets(df: DataFrame, ids: DataFrame, size: int, text: str, key: str) -> DataFrame:
     """(id, set) of the documents in ``ids``: sorted shingle hashes as bytes."""
 
@@ -165,7 +158,7 @@ def _sets(df: DataFrame, ids: DataFrame, size: int, text: str, key: str) -> Data
         sets = [shingles(t.as_py(), size).tobytes() for t in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    wanted = _bytes_of(df, text, key).join(_small(ids), F.col("doc_id") == F.col("id"), "left_semi")
+    wanted = _bytes_of(df, text, key).join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
     return arrow_map(wanted, run, "id long, set binary")
 
 
@@ -322,7 +315,7 @@ def near_duplicates(
         .select("bucket", "n_members", "r.hub")
     )
     buckets = write_shared(buckets, "buckets")
-    members = write_shared(in_bands.join(_small(buckets), "bucket").select("bucket", "n_members", "hub", "id"), "members")
+    members = write_shared(in_bands.join(small(buckets), "bucket").select("bucket", "n_members", "hub", "id"), "members")
     pairs = (
         members.where("id != hub").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
     )
@@ -338,7 +331,7 @@ def near_duplicates(
 
     # buckets that still hold several components
     comp = F.coalesce("component", "id").alias("comp")
-    labelled = members.join(_small(found), F.col("id") == F.col("node"), "left").select("bucket", "n_members", "id", comp)
+    labelled = members.join(small(found), F.col("id") == F.col("node"), "left").select("bucket", "n_members", "id", comp)
     mixed = (
         labelled.groupBy("bucket")
         .agg(
@@ -353,7 +346,7 @@ def near_duplicates(
         .agg(F.min("bucket").alias("bucket"))
     )
     mixed = write_shared(mixed, "mixed-buckets")
-    open_members = labelled.drop("n_members").join(_small(mixed.select("bucket")), "bucket", "left_semi")
+    open_members = labelled.drop("n_members").join(small(mixed.select("bucket")), "bucket", "left_semi")
     open_members = open_members.join(classes.select("id", "n_shingles", "sig"), "id")
     blocked = _blocked(open_members, mixed)
     crossing = write_shared(_crossing(blocked, least), "crossing")
@@ -375,7 +368,7 @@ def near_duplicates(
     final = write_shared(connected(links.union(new)), "components")
     # one id for each class, then one for each component
     by_digest = classes.select("digest", F.col("id").alias("class_id"))
-    by_digest = by_digest.join(_small(final), F.col("class_id") == F.col("node"), "left")
+    by_digest = by_digest.join(small(final), F.col("class_id") == F.col("node"), "left")
     by_digest = by_digest.select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     together = with_words.select("doc_id", "n_shingles", "digest").join(by_digest, "digest")
@@ -383,5 +376,14 @@ def near_duplicates(
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def drop_near_duplicates(
+    df: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id"
+) -> DataFrame:
+    """``df`` with one document of each component, that of the smallest id."""
+    found = near_duplicates(df, size, percent, text, key)
+    gone = write_shared(found.where(~F.col("kept")).select(F.col("doc_id").alias("_doc")).distinct(), "near-gone")
+    return df.join(small(gone), F.col(key) == F.col("_doc"), "left_anti")
+
+
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=2).select("doc_id", "n_shingles", "component_id", "kept")

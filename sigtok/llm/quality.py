@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtok.llm.common import documents, whole_text, write_shared
+from sigtok.llm.common import documents, small, whole_text, write_shared
 
 SPACE = "\\x20\\x09-\\x0D"
 SPACES = " \t\n\x0b\x0c\r"
@@ -84,6 +84,7 @@ def text_counts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     body = whole_text(text)
     with_words = df.select(
         F.col(key).alias("doc_id"),
+        F.xxhash64(body).alias("text_key"),
         body.alias("body"),
         F.filter(F.split(body, f"[{SPACE}]+"), lambda w: w != "").alias("words"),
         F.filter(F.split(body, "\n"), lambda line: line.rlike(f"[^{SPACE}]")).alias("lines"),
@@ -103,6 +104,7 @@ def text_counts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     length = F.length("body").cast("long")
     return with_words.select(
         "doc_id",
+        "text_key",
         n.cast("long").alias("n_words"),
         without(SPACES).alias("word_chars"),
         (length - without(SYMBOLS)).alias("n_symbols"),
@@ -214,6 +216,14 @@ def judge(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     )
 
 
+def filtered(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``df`` without the documents that fail or are judged bad."""
+    gone = judge(df, text, key).where(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
+    gone = small(write_shared(gone.distinct(), "rejected"))
+    same = F.col(key).eqNullSafe(F.col("_doc")) & (F.xxhash64(whole_text(text)) == F.col("_key"))
+    return df.join(gone, same, "left_anti")
+
+
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).select(
         "doc_id",

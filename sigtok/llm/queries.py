@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sigtok.llm.licenses import op1_license_scan
 from sigtok.llm.linedup import OP4_SQL, op4_suffix_lines
 from sigtok.llm.media import op3_jpeg_thumbnails
 from sigtok.llm.neardup import op2_bbit_minhash
@@ -17,6 +18,7 @@ from sigtok.llm.sharding import op10_bfd_shards
 from sigtok.llm.tokenfile import op6_orc_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_bbit_minhash": op2_bbit_minhash,
     "op3_jpeg_thumbnails": op3_jpeg_thumbnails,
     "op4_suffix_lines": op4_suffix_lines,
