@@ -68,6 +68,14 @@ def whole_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if it has at most SMALL_ROWS rows; else joins shuffle."""
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df

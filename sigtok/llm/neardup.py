@@ -16,8 +16,8 @@ Nothing is capped: an estimate discards a pair only when it is more than 5 stand
 the threshold. What grows with the data stays in tables; a side is broadcast only if counted small.
 
 Defined results: null, empty and white texts have no shingles and are linked with nothing; a text of
-fewer words than a shingle has is one shingle; rows of one doc_id are one document; other columns are
-ignored; an empty table gives an empty one.
+fewer words than a shingle has is one shingle; rows of one doc_id are one document, rows without one are
+linked with nothing and stay; other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtok.llm.common import arrow_map, documents, small, whole_text, write_shared
+from sigtok.llm.common import arrow_map, documents, fresh, small, whole_text, write_shared
 from sigtok.llm.components import connected
-from sigtok.llm.wordcache import MAX_UNITS
+from sigtok.llm.wordcache import MAX_KEPT, MAX_UNITS
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
@@ -50,7 +50,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MAX_UNITS:
+        if len(self) < MAX_UNITS and len(word) <= MAX_KEPT:
             self[word] = got
         return got
 
@@ -298,7 +298,7 @@ def near_duplicates(
     """(doc_id, n_shingles, class_id, component_id, kept) of each row of ``df``."""
     least = reach(percent / 100)
     rows = write_shared(signatures(df, size, text, key), "signatures")
-    with_words = rows.where("n_shingles > 0")
+    with_words = rows.where("n_shingles > 0 and doc_id is not null")
     classes = write_shared(
         with_words.groupBy("digest")
         .agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("r"))
@@ -370,10 +370,10 @@ def near_duplicates(
     by_digest = classes.select("digest", F.col("id").alias("class_id"))
     by_digest = by_digest.join(small(final), F.col("class_id") == F.col("node"), "left")
     by_digest = by_digest.select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     together = with_words.select("doc_id", "n_shingles", "digest").join(by_digest, "digest")
     out = together.select("doc_id", "n_shingles", "class_id", "component_id").union(alone)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(
@@ -381,8 +381,9 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``df`` with one document of each component, that of the smallest id."""
     found = near_duplicates(df, size, percent, text, key)
-    gone = write_shared(found.where(~F.col("kept")).select(F.col("doc_id").alias("_doc")).distinct(), "near-gone")
-    return df.join(small(gone), F.col(key) == F.col("_doc"), "left_anti")
+    doc = fresh(df, "_doc")
+    gone = write_shared(found.where(~F.col("kept")).select(F.col("doc_id").alias(doc)).distinct(), "near-gone")
+    return df.join(small(gone), F.col(key) == F.col(doc), "left_anti")
 
 
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtok.llm.common import documents, small, whole_text, write_shared
+from sigtok.llm.common import documents, fresh, small, whole_text, write_shared
 
 SPACE = "\\x20\\x09-\\x0D"
 SPACES = " \t\n\x0b\x0c\r"
@@ -218,9 +218,10 @@ def judge(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 def filtered(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` without the documents that fail or are judged bad."""
-    gone = judge(df, text, key).where(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
+    doc, own = fresh(df, "_doc"), fresh(df, "_key")
+    gone = judge(df, text, key).where(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("text_key").alias(own))
     gone = small(write_shared(gone.distinct(), "rejected"))
-    same = F.col(key).eqNullSafe(F.col("_doc")) & (F.xxhash64(whole_text(text)) == F.col("_key"))
+    same = F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(whole_text(text)) == F.col(own))
     return df.join(gone, same, "left_anti")
 
 

@@ -16,6 +16,8 @@ from array import array
 
 #: Units kept per worker process, about 200 bytes each.
 MAX_UNITS = 400_000
+#: Longer ones are not kept.
+MAX_KEPT = 64
 
 
 class WholeText(Exception):
@@ -41,7 +43,7 @@ class Units(dict):
 
     def __missing__(self, unit: str) -> bytes:
         got = self._encode(unit)
-        if len(self) < MAX_UNITS:
+        if len(self) < MAX_UNITS and len(unit) <= MAX_KEPT:
             self[unit] = got
         return got
 
@@ -60,7 +62,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         symbols = codecs.charmap_decode(piece.encode(), "strict", self._charmap)[0]
         got = packed([t.id for t in self._tokenize(symbols)])
-        if len(self) < MAX_UNITS:
+        if len(self) < MAX_UNITS and len(piece) <= MAX_KEPT:
             self[piece] = got
         return got
 
