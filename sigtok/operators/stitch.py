@@ -87,6 +87,9 @@ def stitch(decoded: DataFrame, reads: DataFrame, p: Profile = PROFILE) -> DataFr
     joined = reads.select("read_pos", "num_samples", "offset", "scale").join(whole, "read_pos", "left")
     pa_ = F.coalesce(F.flatten("s.pa"), F.array().cast("array<float>"))
     adc = F.transform(pa_, lambda x: S.pa_to_adc(x, F.col("offset"), F.col("scale")))
+    # a missing window at the end of a segment leaves it short
+    short = F.raise_error(F.concat(F.lit("samples without a window in read "), F.col("read_pos").cast("string")))
+    adc = F.when(F.size(pa_) == F.col("num_samples"), adc).otherwise(short.cast("array<smallint>"))
     return joined.select("read_pos", "num_samples", "offset", "scale", adc.alias("signal"))
 
 
