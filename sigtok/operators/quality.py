@@ -1,11 +1,20 @@
-"""Quality analytics: errors by region, length and level, and differences between token tables."""
+"""Quality analytics: errors by region, length and level, and differences between token tables.
+
+Errors have two forms. ``read_errors`` folds each read's arrays into a few sums where the read is, and only
+those are grouped; ``sample_errors`` explodes reads into samples and is there to check the first by SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtok.functions import scalar as S
+from sigtok.operators.arrow import from_lists
 from sigtok.profile import PROFILE, Profile
 
 
@@ -38,6 +47,94 @@ def sample_errors(pairs: DataFrame) -> DataFrame:
     return rows.select("read_pos", "num_samples", "pos", pa_.alias("pa"), ((F.col("s.back") + F.col("offset")) * F.col("scale") - pa_).alias("err"))
 
 
+def region_codes(n: int, p: Profile = PROFILE) -> np.ndarray:
+    """The place in S.REGIONS of each sample of a read of n samples."""
+    length, hop, overlap = p.chunk_samples, p.hop_samples, p.overlap_samples
+    if n < length:
+        return np.full(n, S.REGIONS.index("short"), dtype=np.int8)
+    pos = np.arange(n)
+    regular = (n - length) // hop + 1
+    aligned_over = (regular - 1) * hop + length
+    return np.select(
+        [
+            (pos < overlap) | (pos >= n - overlap),
+            (aligned_over < n) & (pos >= n - length) & (pos < aligned_over),
+            (pos >= hop) & (pos // hop < regular) & (pos % hop < overlap),
+        ],
+        [S.REGIONS.index(r) for r in ("edge", "tail", "seam")],
+        S.REGIONS.index("interior"),
+    ).astype(np.int8)
+
+
+_SUMS = "array<struct<region:string,samples:long,abs:double,sq:double>>"
+
+
+def _region_sums(codes: np.ndarray, err: np.ndarray) -> list[dict]:
+    count = np.bincount(codes, minlength=len(S.REGIONS))
+    absolute = np.bincount(codes, np.abs(err), minlength=len(S.REGIONS))
+    square = np.bincount(codes, err * err, minlength=len(S.REGIONS))
+    return [
+        {"region": r, "samples": int(count[k]), "abs": float(absolute[k]), "sq": float(square[k])}
+        for k, r in enumerate(S.REGIONS)
+        if count[k]
+    ]
+
+
+def read_errors(pairs: DataFrame, p: Profile = PROFILE) -> DataFrame:
+    """(read_pos, num_samples, mae, std, sums): a read's errors, std over the population, sums by region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            offset, scale = (batch.column(k).to_numpy().astype(np.float64) for k in (2, 3))
+            mae, std, sums = [], [], []
+            for k, (x, y) in enumerate(zip(from_lists(batch.column(4)), from_lists(batch.column(5)), strict=True)):
+                level = (x.astype(np.float64) + offset[k]) * scale[k]
+                err = (y.astype(np.float64) + offset[k]) * scale[k] - level
+                mae.append(np.abs(err).mean())
+                std.append(level.std())
+                sums.append(_region_sums(region_codes(len(x), p), err))
+            kind = pa.list_(
+                pa.struct([("region", pa.string()), ("samples", pa.int64()), ("abs", pa.float64()), ("sq", pa.float64())])
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(mae, pa.float64()), pa.array(std, pa.float64()), pa.array(sums, kind)],
+                ["read_pos", "num_samples", "mae", "std", "sums"],
+            )
+
+    columns = pairs.select("read_pos", "num_samples", "offset", "scale", "signal", "back")
+    return columns.mapInArrow(run, f"read_pos long, num_samples long, mae double, std double, sums {_SUMS}")
+
+
+def by_region(reads: DataFrame) -> DataFrame:
+    """(region, samples, mae_pa, rmse_pa) from ``read_errors``."""
+    rows = reads.select(F.explode("sums").alias("s")).select("s.*")
+    n = F.sum("samples")
+    return rows.groupBy("region").agg(
+        n.alias("samples"), (F.sum("abs") / n).alias("mae_pa"), F.sqrt(F.sum("sq") / n).alias("rmse_pa")
+    )
+
+
+def region_counts(lengths: DataFrame, p: Profile = PROFILE) -> DataFrame:
+    """(region, samples, reads), from the reads' lengths alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            samples = np.zeros(len(S.REGIONS), dtype=np.int64)
+            reads = np.zeros(len(S.REGIONS), dtype=np.int64)
+            for n in batch.column(0).to_pylist():
+                count = np.bincount(region_codes(n, p), minlength=len(S.REGIONS))
+                samples += count
+                reads += count > 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(S.REGIONS), pa.array(samples), pa.array(reads)], ["region", "samples", "reads"]
+            )
+
+    rows = lengths.select(F.col("num_samples").cast("long")).mapInArrow(run, "region string, samples long, reads long")
+    return rows.groupBy("region").agg(F.sum("samples").alias("samples"), F.sum("reads").alias("reads")).where("samples > 0")
+
+
 def region_error(errs: DataFrame, p: Profile = PROFILE) -> DataFrame:
     where = S.region(F.col("pos"), F.col("num_samples"), p).alias("region")
     e = F.col("err")

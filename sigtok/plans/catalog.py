@@ -384,8 +384,8 @@ def mean_quant_codes(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def mean_quant_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     reads = A.document_reads(spark, sf)
-    errs = quality.sample_errors(quality.errors(reads, pipeline.roundtrip(reads, codecs.MeanQuant())))
-    return quality.region_error(errs).select("region", "samples", r("mae_pa", 4).alias("mae_pa"), r("rmse_pa", 4).alias("rmse_pa"))
+    errs = quality.read_errors(quality.errors(reads, pipeline.roundtrip(reads, codecs.MeanQuant())))
+    return quality.by_region(errs).select("region", "samples", r("mae_pa", 4).alias("mae_pa"), r("rmse_pa", 4).alias("rmse_pa"))
 
 
 @query(f"WITH {EVENTS}, {MEANS} SELECT count(DISTINCT (read_pos, seq)) AS windows, max(code)::INT AS top, 0::BIGINT AS out_of_range FROM codes")
@@ -412,8 +412,8 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return quality.errors(reads, reads.select("read_pos", moved.alias("signal")))
 
 
-def _errors(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.sample_errors(_pairs(spark, sf))
+def _reads(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.read_errors(_pairs(spark, sf))
 
 
 ERRORS = f"""{SIGNALS}, e AS (SELECT read_pos, n, CAST(o AS DOUBLE) AS o, CAST(k AS DOUBLE) AS k, unnest(s) AS x, unnest(range(0, len(s))) AS pos FROM sig), err AS (
@@ -426,45 +426,48 @@ SELECT read_pos, n, avg(abs(err)) AS mae, stddev_pop(pa) AS std FROM err GROUP B
 
 @query(f"WITH {ERRORS} SELECT region, count(*) AS samples, count(DISTINCT read_pos) AS reads FROM region GROUP BY region")
 def region_map(spark: SparkSession, sf: str) -> DataFrame:
-    where = S.region(F.col("pos"), F.col("num_samples"), PROFILE).alias("region")
-    return windows.samples(A.document_reads(spark, sf)).groupBy(where).agg(
-        F.count(F.lit(1)).alias("samples"), F.countDistinct("read_pos").alias("reads")
-    )
+    return quality.region_counts(A.read_lengths(spark, sf))
+
+
+@query(f"WITH {ERRORS} SELECT region, count(*) AS samples, round(avg(abs(err)), 6) AS mae_pa, round(sqrt(avg(err * err)), 6) AS rmse_pa FROM region GROUP BY region")
+def region_error_exploded(spark: SparkSession, sf: str) -> DataFrame:
+    e = quality.region_error(quality.sample_errors(_pairs(spark, sf)))
+    return e.select("region", "samples", r("mae_pa").alias("mae_pa"), r("rmse_pa").alias("rmse_pa"))
 
 
 @query(f"WITH {ERRORS} SELECT region, count(*) AS samples, round(avg(abs(err)), 6) AS mae_pa, round(sqrt(avg(err * err)), 6) AS rmse_pa FROM region GROUP BY region")
 def region_error(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.region_error(_errors(spark, sf)).select("region", "samples", r("mae_pa").alias("mae_pa"), r("rmse_pa").alias("rmse_pa"))
+    return quality.by_region(_reads(spark, sf)).select("region", "samples", r("mae_pa").alias("mae_pa"), r("rmse_pa").alias("rmse_pa"))
 
 
 @query(f"WITH {ERRORS} SELECT read_pos, n AS num_samples, round(mae, 6) AS mae, round(std, 5) AS std FROM reads")
 def per_read_mae(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.per_read(_errors(spark, sf)).select("read_pos", "num_samples", r("mae").alias("mae"), r("std", 5).alias("std"))
+    return _reads(spark, sf).select("read_pos", "num_samples", r("mae").alias("mae"), r("std", 5).alias("std"))
 
 
 @query(f"WITH {ERRORS} SELECT round(quantile_cont(mae, 0.05), 5) AS p5, round(quantile_cont(mae, 0.25), 5) AS p25, round(quantile_cont(mae, 0.5), 5) AS p50, round(quantile_cont(mae, 0.75), 5) AS p75, round(quantile_cont(mae, 0.95), 5) AS p95 FROM reads")
 def mae_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    q = quality.mae_percentiles(quality.per_read(_errors(spark, sf)))
+    q = quality.mae_percentiles(_reads(spark, sf))
     return q.select(*(r(c, 5).alias(c) for c in q.columns))
 
 
 @query(f"""WITH {ERRORS} SELECT CASE WHEN n < 8192 THEN '0-8192' WHEN n < 50000 THEN '8192-50000' WHEN n < 200000 THEN '50000-200000' ELSE '200000-inf' END AS length_bin,
 count(*) AS reads, round(avg(mae), 6) AS mean_read_mae FROM reads GROUP BY 1""")
 def mae_by_length_bin(spark: SparkSession, sf: str) -> DataFrame:
-    b = quality.by_length(quality.per_read(_errors(spark, sf)))
+    b = quality.by_length(_reads(spark, sf))
     return b.select("length_bin", "reads", r("mean_read_mae").alias("mean_read_mae"))
 
 
 @query(f"""WITH {ERRORS}, rr AS (SELECT *, round(std, 7) AS s FROM reads), q AS (SELECT quantile_cont(s, 0.25) AS a, quantile_cont(s, 0.5) AS b, quantile_cont(s, 0.75) AS c FROM rr)
 SELECT (1 + (s >= a)::INT + (s >= b)::INT + (s >= c)::INT)::INT AS quarter, count(*) AS reads, round(avg(s), 5) AS pa_std_mean, round(avg(mae), 6) AS mean_read_mae FROM rr, q GROUP BY 1""")
 def mae_by_std_quartile(spark: SparkSession, sf: str) -> DataFrame:
-    reads = quality.per_read(_errors(spark, sf)).withColumn("std", r("std", 7))
+    reads = _reads(spark, sf).withColumn("std", r("std", 7))
     return quality.by_level(reads).select("quarter", "reads", r("pa_std_mean", 5).alias("pa_std_mean"), r("mean_read_mae").alias("mean_read_mae"))
 
 
 @query(f"WITH {ERRORS} SELECT round(avg(mae / greatest(std, 1e-9::DOUBLE)), 5) AS mae_over_std, round(sum(mae * n) / sum(n), 6) AS overall_mae FROM reads")
 def mae_over_std(spark: SparkSession, sf: str) -> DataFrame:
-    reads = quality.per_read(_errors(spark, sf))
+    reads = _reads(spark, sf)
     return reads.agg(
         r(F.avg(F.col("mae") / F.greatest("std", F.lit(1e-9))), 5).alias("mae_over_std"),
         r(F.sum(F.col("mae") * F.col("num_samples")) / F.sum("num_samples"), 6).alias("overall_mae"),

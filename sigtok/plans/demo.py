@@ -106,8 +106,8 @@ def network_errors(spark: SparkSession, sf: str) -> DataFrame:
     p = Profile.of(64, 16, TINY.tokens_for(64), TINY.codebook_size)
     codec = network.NetworkCodec(network.Network(TINY, network.random_weights(TINY, 5)))
     reads = adapters.event_reads(spark, sf)
-    errs = quality.sample_errors(quality.errors(reads, pipeline.roundtrip(reads, codec, p)))
-    return quality.region_error(errs, p).select("region", "samples", F.round("mae_pa", 2).alias("mae_pa"))
+    errs = quality.read_errors(quality.errors(reads, pipeline.roundtrip(reads, codec, p)), p)
+    return quality.by_region(errs).select("region", "samples", F.round("mae_pa", 2).alias("mae_pa"))
 
 
 def streamed(spark: SparkSession, sf: str) -> DataFrame:

@@ -135,11 +135,10 @@ def report(reads: DataFrame, p: Profile = PROFILE) -> DataFrame:
 
 def validate(original: DataFrame, back: DataFrame, p: Profile = PROFILE) -> dict[str, DataFrame]:
     """The quality report's tables, by name."""
-    errs = quality.sample_errors(quality.errors(original, back))
-    reads = quality.per_read(errs)
+    reads = quality.read_errors(quality.errors(original, back), p)
     tables: dict[str, Callable[[], DataFrame]] = {
         "input": lambda: quality.input_stats(original, p),
-        "by_region": lambda: quality.region_error(errs, p),
+        "by_region": lambda: quality.by_region(reads),
         "percentiles": lambda: quality.mae_percentiles(reads),
         "by_length": lambda: quality.by_length(reads),
         "by_level": lambda: quality.by_level(reads),
