@@ -84,13 +84,23 @@ def stitch(decoded: DataFrame, reads: DataFrame, p: Profile = PROFILE) -> DataFr
         merge, "read_pos long, segment long, pa array<float>"
     )
     whole = merged.groupBy("read_pos").agg(F.sort_array(F.collect_list(F.struct("segment", "pa"))).alias("s"))
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, offset, scale = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            out = []
+            for k, v in enumerate(from_lists(batch.column(4))):
+                # a missing window at the end of a segment leaves it short
+                if len(v) != n[k]:
+                    raise ValueError(f"samples without a window in read {batch.column(0)[k]}")
+                out.append(to_adc(v, offset[k], scale[k]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], to_lists(out, pa.int16())], names)
+
+    names = ["read_pos", "num_samples", "offset", "scale", "signal"]
     joined = reads.select("read_pos", "num_samples", "offset", "scale").join(whole, "read_pos", "left")
-    pa_ = F.coalesce(F.flatten("s.pa"), F.array().cast("array<float>"))
-    adc = F.transform(pa_, lambda x: S.pa_to_adc(x, F.col("offset"), F.col("scale")))
-    # a missing window at the end of a segment leaves it short
-    short = F.raise_error(F.concat(F.lit("samples without a window in read "), F.col("read_pos").cast("string")))
-    adc = F.when(F.size(pa_) == F.col("num_samples"), adc).otherwise(short.cast("array<smallint>"))
-    return joined.select("read_pos", "num_samples", "offset", "scale", adc.alias("signal"))
+    joined = joined.select(*names[:4], F.coalesce(F.flatten("s.pa"), F.array().cast("array<float>")).alias("pa"))
+    return joined.mapInArrow(finish, "read_pos long, num_samples long, offset float, scale float, signal array<smallint>")
 
 
 def stitch_exploded(reads: DataFrame, p: Profile = PROFILE) -> DataFrame:

@@ -407,9 +407,19 @@ def padding_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    from sigtok.operators.arrow import from_lists, to_lists
+
+    def moved(batches):
+        for b in batches:
+            out = [(x + (np.arange(len(x)) * 7 + x) % 5 - 2).astype(np.int16) for x in from_lists(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), to_lists(out, pa.int16())], ["read_pos", "signal"])
+
     reads = A.document_reads(spark, sf)
-    moved = F.transform("signal", lambda x, i: (x + F.pmod(i * 7 + x, F.lit(5)) - 2).cast("short"))
-    return quality.errors(reads, reads.select("read_pos", moved.alias("signal")))
+    copy = reads.select("read_pos", "signal").mapInArrow(moved, "read_pos long, signal array<smallint>")
+    return quality.errors(reads, copy)
 
 
 def _reads(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -35,3 +35,19 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+#: Inputs of less than this for each core may be dealt out.
+SMALL_SHARE = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan of few splits, as of a file with one row group, dealt out to all cores.
+
+    A row group is read by one task, whatever the splits. Inputs of more bytes or more splits stay as
+    they are: nothing is shuffled where the scan keeps the cluster busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    few = size < cores * SMALL_SHARE and df.rdd.getNumPartitions() <= 2 * cores
+    return df.repartition(cores) if few else df

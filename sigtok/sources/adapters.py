@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sigtok.functions.scalar import f32
 from sigtok.operators.arrow import to_lists
-from sigtok.session import ship
+from sigtok.session import ship, spread
 
 OFFSET, SCALE = -240.0, 0.1755
 #: Code points are taken modulo this.
@@ -46,7 +46,7 @@ def document_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
                 [*batch.columns[:2], to_lists(codes, pa.int16())], ["read_pos", "num_samples", "signal"]
             )
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.coalesce("text", F.lit("")))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.coalesce("text", F.lit("")).alias("text")))
     return calibrated(docs.mapInArrow(run, "read_pos long, num_samples long, signal array<smallint>"))
 
 
