@@ -98,10 +98,10 @@ def input_stats(spark: SparkSession, sf: str) -> DataFrame:
     return quality.input_stats(A.read_lengths(spark, sf))
 
 
-@query(f"""WITH {LENGTHS} SELECT quantile_cont(n, 0.05) AS p5, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.95) AS p95 FROM lens""")
+@query(f"""WITH {LENGTHS} SELECT round(quantile_cont(n, 0.05), 6) AS p5, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.95), 6) AS p95 FROM lens""")
 def length_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("num_samples")
-    return A.read_lengths(spark, sf).agg(*(F.percentile(n, F.lit(q)).alias(k) for k, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))))
+    return A.read_lengths(spark, sf).agg(*(r(F.percentile(n, F.lit(q))).alias(k) for k, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))))
 
 
 @query("SELECT round(avg((n_chars < 8192)::INT), 9) AS share, count(*) FILTER (n_chars < 8192) AS short_reads FROM documents")
