@@ -21,6 +21,12 @@ def _star(arcs: DataFrame, wanted: Column) -> DataFrame:
     return hung.where("u != v").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node that hangs on none: then components are read off."""
+    n, nodes = edges.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+    return n == nodes and not edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").head(1)
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, component) of each node of ``links`` (u, v), component being its smallest node."""
     edges = write_shared(
@@ -30,11 +36,7 @@ def connected(links: DataFrame) -> DataFrame:
         "links",
     )
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = mark(edges)
-    while True:
+    while not _stars(edges):
         both = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
         both = both.union(edges.select("v", "u"))
         large = write_shared(_star(both, F.col("b") > F.col("a")), "large-star")
@@ -50,9 +52,6 @@ def connected(links: DataFrame) -> DataFrame:
         )
         small = write_shared(small, "small-star")
         drop_shared(edges, large)
-        edges, after = small, mark(small)
-        if after == before:
-            break
-        before = after
+        edges = small
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select("v", "v").distinct())

@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 
 from sigtok.llm.common import arrow_map, documents, fresh, small, whole_text, write_shared
 from sigtok.llm.components import connected
-from sigtok.llm.wordcache import MAX_KEPT, MAX_UNITS
+from sigtok.llm.wordcache import MAX_KEPT
 
+#: Word hashes kept per worker process.
+MAX_WORDS = 150_000
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 BITS = 4
@@ -50,7 +52,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MAX_UNITS and len(word) <= MAX_KEPT:
+        if len(self) < MAX_WORDS and len(word) <= MAX_KEPT:
             self[word] = got
         return got
 
@@ -292,6 +294,32 @@ def _new_links(members: DataFrame, least: float, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long")
 
 
+def _remaining_links(
+    df: DataFrame, classes: DataFrame, labelled: DataFrame, mixed: DataFrame, sets: DataFrame, found: DataFrame,
+    size: int, percent: int, text: str, key: str,
+) -> DataFrame:
+    """Links between components of the buckets in ``mixed``."""
+    least = reach(percent / 100)
+    open_members = labelled.drop("n_members").join(small(mixed.select("bucket")), "bucket", "left_semi")
+    open_members = open_members.join(classes.select("id", "n_shingles", "sig"), "id")
+    crossing = write_shared(_crossing(_blocked(open_members, mixed), least), "crossing")
+    counts = crossing.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n_members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")
+    )
+    counts = counts.groupBy("who", "n_members").agg(F.min("bucket").alias("bucket"))
+    more_ids = crossing.select("id").distinct().join(sets.select("id"), "id", "left_anti")
+    more_ids = write_shared(more_ids, "more-ids")
+    more_sets = _sets(df, more_ids, size, text, key).dropDuplicates(["id"])
+    all_sets = write_shared(sets.union(more_sets), "all-sets")
+    look = (
+        crossing.join(counts.select("bucket"), "bucket", "left_semi")
+        .join(found, F.col("id") == F.col("node"), "left")
+        .select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+        .join(classes.select("id", "n_shingles", "sig"), "id")
+    )
+    return _new_links(_blocked(look, counts).join(all_sets, "id"), least, percent)
+
+
 def near_duplicates(
     df: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
@@ -346,26 +374,11 @@ def near_duplicates(
         .agg(F.min("bucket").alias("bucket"))
     )
     mixed = write_shared(mixed, "mixed-buckets")
-    open_members = labelled.drop("n_members").join(small(mixed.select("bucket")), "bucket", "left_semi")
-    open_members = open_members.join(classes.select("id", "n_shingles", "sig"), "id")
-    blocked = _blocked(open_members, mixed)
-    crossing = write_shared(_crossing(blocked, least), "crossing")
-    counts = crossing.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n_members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")
-    )
-    counts = counts.groupBy("who", "n_members").agg(F.min("bucket").alias("bucket"))
-    more_ids = crossing.select("id").distinct().join(sets.select("id"), "id", "left_anti")
-    more_ids = write_shared(more_ids, "more-ids")
-    more_sets = _sets(df, more_ids, size, text, key).dropDuplicates(["id"])
-    all_sets = write_shared(sets.union(more_sets), "all-sets")
-    look = (
-        crossing.join(counts.select("bucket"), "bucket", "left_semi")
-        .join(found, F.col("id") == F.col("node"), "left")
-        .select("bucket", "id", comp)
-        .join(classes.select("id", "n_shingles", "sig"), "id")
-    )
-    new = _new_links(_blocked(look, counts).join(all_sets, "id"), least, percent)
-    final = write_shared(connected(links.union(new)), "components")
+    final = found
+    if mixed.head(1):
+        new = write_shared(_remaining_links(df, classes, labelled, mixed, sets, found, size, percent, text, key), "links-more")
+        if new.head(1):
+            final = write_shared(connected(links.union(new)), "components")
     # one id for each class, then one for each component
     by_digest = classes.select("digest", F.col("id").alias("class_id"))
     by_digest = by_digest.join(small(final), F.col("class_id") == F.col("node"), "left")
