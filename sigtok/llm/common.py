@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigtok.session import ship
+from sigtok.session import ship, spread
 
 #: Rows that one window partition of ``ordinals`` holds on average.
 ROWS_PER_SALT = 10_000
@@ -21,7 +21,7 @@ SMALL_ROWS = 500_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(ship(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
