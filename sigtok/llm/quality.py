@@ -30,7 +30,9 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: A window's position has this many bits beside its hash.
 POSITION_BITS = 24
+#: EM ends after so many rounds, or when no chance changes by SETTLED.
 ITERATIONS = 15
+SETTLED = 1e-6
 #: EM starts with these chances to vote on a (good, bad) document, for bad-voting and good-voting rules.
 START = {-1: (0.01, 0.3), 1: (0.6, 0.3)}
 #: Prior observations as a share of the documents, at the chances of START.
@@ -174,7 +176,7 @@ def posterior(model: Model, share_good: float, lenient: bool = True) -> Column:
 def fit(votes: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, float]:
     """Rule chances and the share of good documents by EM over the table of vote patterns."""
     patterns = write_shared(
-        votes.groupBy(*(f"vote_{x}" for x in RULES)).agg(F.count(F.lit(1)).alias("n")), "vote-patterns"
+        votes.groupBy(*(f"vote_{x}" for x in RULES)).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns"
     )
     model: Model = {x: START[way] for x, (way, _) in RULES.items()}
     share_good = 0.8
@@ -193,6 +195,7 @@ def fit(votes: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, float]:
         def chance(hits: float, of: float, start: float) -> float:
             return min(0.999, max(1e-4, (hits + extra * start) / (of + extra)))
 
+        before = model
         model = {
             x: (
                 chance(s[f"{x}_good"], s["good"], START[way][0]),
@@ -201,6 +204,8 @@ def fit(votes: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, float]:
             for x, (way, _) in RULES.items()
         }
         share_good = min(0.95, max(0.5, s["good"] / (s["good"] + s["bad"])))
+        if max(abs(a - b) for x in RULES for a, b in zip(model[x], before[x], strict=True)) < SETTLED:
+            break
     return model, share_good
 
 
