@@ -216,6 +216,41 @@ def test_op4_keeps_columns_and_drops_what_is_left_empty(docs):
     assert linedup.drop_repeats(docs([])).count() == 0
 
 
+def whole_cut_lines(texts, min_words=50):
+    """Lines that go, by comparing all runs of at least min_words words."""
+    seen, gone = {}, {n: set() for n, _ in texts}
+    for n, t in sorted(texts):
+        lines = [(k, x) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
+        for a in range(len(lines)):
+            words = 0
+            for b in range(a, len(lines)):
+                words += len(WORD.findall(lines[b][1]))
+                if words >= min_words and seen.setdefault(tuple(x for _, x in lines[a : b + 1]), (n, a)) != (n, a):
+                    gone[n] |= set(range(lines[a][0], lines[b][0] + 1))
+    return gone
+
+
+def test_op4_cuts_runs_to_their_ends(docs):
+    rng = random.Random(12)
+    long, short, last = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 60), ("b", 10), ("c", 10)))
+    passage = f"{long}\n{short}\n\n{last}"
+    texts = [(0, passage), (1, f"x\n{passage}\ny"), (2, f"{long}\n{short}\nz"), (3, f"{short}\n{last}")]
+    pool = [" ".join(rng.choices("abcdefghij", k=k)) for k in (1, 2, 3, 5, 8, 20, 30, 49, 50, 60)]
+    runs = [rng.choices(pool, k=rng.randint(3, 12)) for _ in range(8)] + [["tick"] * 70]
+    for k in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            run = rng.choice(runs)
+            a = rng.randrange(len(run))
+            parts += [*run[a : rng.randint(a + 1, len(run))], *([f"own {k} {rng.random()}"] if rng.random() < 0.6 else [])]
+        texts.append((10 + k, "\n".join(parts)))
+    want = whole_cut_lines(texts)
+    assert [want[n] for n in range(4)] == [set(), {1, 2, 3, 4}, {0, 1}, set()]
+    assert sum(want[n] != gone for n, gone in cut_lines(texts).items()) > 5
+    for r in linedup.with_cuts(docs(texts)).collect():
+        assert {k for c in r._cuts or [] for k in range(c["first"], c["last"] + 1)} == want[r.doc_id], r.doc_id
+
+
 # ---- op5
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
