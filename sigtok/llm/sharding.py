@@ -1,7 +1,8 @@
 """Sharding: indivisible groups into the fewest shards of a fixed capacity by best-fit decreasing.
 
 Groups are taken by falling size; each enters the bin with the tightest remaining capacity that still
-holds it. Bins are kept in a balanced search tree by (remaining capacity, number).
+holds it. Bins are kept in a balanced search tree by (remaining capacity, number). A group larger than
+the even share of bytes has a shard of its own, and the others share the remaining shards evenly.
 
 At cluster size the groups themselves never come to the driver. A group of at least
 ``total / (shards * FINE)`` bytes is a packing unit of its own, and there can be at most
@@ -100,14 +101,24 @@ def best_fit_decreasing(units: list[tuple[str, int]], capacity: int, most: int |
 
 
 def fit_into(units: list[tuple[str, int]], shards: int) -> dict[str, int]:
-    """Packs into at most ``shards`` bins: the slack over an even share doubles until best fit succeeds."""
-    if not units:
-        return {}
-    even = max(-(-sum(s for _, s in units) // shards), max(s for _, s in units))
-    slack = 0
-    while (place := best_fit_decreasing(units, even + slack, shards)) is None:
+    """Packs into at most ``shards`` bins of near equal sizes.
+
+    A unit larger than the even share of what is left has a bin of its own, and the share is taken anew
+    over the other units and bins. Those are packed by best fit with that share as capacity; the slack
+    over it doubles until best fit succeeds.
+    """
+    rest = sorted(units, key=lambda u: (-u[1], u[0]))
+    left, own = sum(s for _, s in rest), 0
+    while own < len(rest) and rest[own][1] * (shards - own) > left:
+        left -= rest[own][1]
+        own += 1
+    place = {key: n for n, (key, _) in enumerate(rest[:own])}
+    if not (rest := rest[own:]):
+        return place
+    even, slack = -(-left // (shards - own)), 0
+    while (found := best_fit_decreasing(rest, even + slack, shards - own)) is None:
         slack = max(1, even >> 14, slack * 2)
-    return place
+    return place | {key: own + n for key, n in found.items()}
 
 
 def shard(df: DataFrame, shards: int = SHARDS, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -393,3 +393,31 @@ def test_op10_best_fit_decreasing(seed):
 def test_op10_hot_group(docs):
     rows = sharding.shard(docs(["hot text " * 40] * 200 + [f"cold {k} " * 10 for k in range(400)])).collect()
     assert len({r.shard for r in rows if r.doc_id < 200}) == 1
+
+
+@pytest.mark.parametrize("hot", [[0.03], [0.05], [0.1], [1 / 3], [1 / 3, 0.2, 0.03], [0.9]])
+def test_op10_hot_groups_leave_the_other_shards_even(hot):
+    rng = random.Random(11)
+    units = [(str(k), rng.randint(20, 400)) for k in range(8000)]
+    cold = sum(size for _, size in units)
+    hot = [(f"hot{k}", round(cold * share / (1 - sum(hot)))) for k, share in enumerate(hot)]
+    place = sharding.fit_into(units + hot, 40)
+    sizes = Counter()
+    for key, size in units + hot:
+        sizes[place[key]] += size
+    assert set(sizes) == set(range(40))
+    assert all(sizes[place[key]] == size for key, size in hot)
+    others = [size for n, size in sizes.items() if n not in {place[key] for key, _ in hot}]
+    assert max(others) <= 1.01 * cold / len(others) and min(others) >= 0.9 * cold / len(others)
+
+
+def test_op10_hot_text_leaves_no_shard_empty(docs):
+    rows = sharding.shard(docs(["hot text " * 40] * 200 + [f"cold {k} " * 10 for k in range(800)])).collect()
+    assert {r.shard for r in rows} == set(range(40))
+    assert len({r.shard for r in rows if r.doc_id < 200}) == 1
+
+
+def test_op10_few_groups():
+    assert sharding.fit_into([], 40) == {}
+    assert sorted(sharding.fit_into([("a", 5), ("b", 5), ("c", 1)], 40).values()) == [0, 1, 2]
+    assert sharding.fit_into([("a", 5), ("b", 3)], 1) == {"a": 0, "b": 0}
