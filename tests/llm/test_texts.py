@@ -421,3 +421,19 @@ def test_op10_few_groups():
     assert sharding.fit_into([], 40) == {}
     assert sorted(sharding.fit_into([("a", 5), ("b", 5), ("c", 1)], 40).values()) == [0, 1, 2]
     assert sharding.fit_into([("a", 5), ("b", 3)], 1) == {"a": 0, "b": 0}
+
+
+def test_op10_every_group_is_packed_by_size(docs):
+    """Shards are those of best fit over all groups, however small: nothing is bundled first."""
+    rng = random.Random(13)
+    texts = ["t" * rng.randint(1, 60) + str(k) for k in range(25_000)] + ["hot text " * 40] * 900 + ["twice"] * 2
+    rows = sharding.shard(docs(texts)).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    sizes, shards = Counter(), {}
+    for r in rows:
+        sizes[r.group_md5] += r["size"]
+        assert shards.setdefault(r.group_md5, r.shard) == r.shard
+    plan = Counter()
+    for size, start, stop, k in sharding.fit_runs(Counter(sizes.values()), 40):
+        plan[size, k] += stop - start
+    assert Counter((size, shards[g]) for g, size in sizes.items()) == plan
