@@ -103,6 +103,20 @@ def test_both_searches_agree(spark):
     assert a == b and all(a[k] == k for k in range(16))
 
 
+def test_blocked_search_of_65536_codewords(spark):
+    rng = np.random.default_rng(5)
+    words = rng.normal(size=(65_536, 64)).astype(np.float32)
+    words[60_000:60_020] = words[100:120]  # ties over blocks go to the lower code
+    z = np.concatenate([rng.normal(size=(40, 64)).astype(np.float32), words[60_000:60_020], words[65_530:]])
+    d = np.zeros((len(z), len(words)))
+    for k in range(64):
+        d += (z[:, k, None].astype(np.float64) - words[None, :, k]) ** 2
+    latents = spark.createDataFrame([(n, row.tolist()) for n, row in enumerate(z)], "id long, z array<float>")
+    got = {r.id: r.code for r in quantize.nearest_blocked(latents, words).collect()}
+    assert [got[n] for n in range(len(z))] == d.argmin(axis=1).tolist()
+    assert [got[n] for n in range(40, 60)] == list(range(100, 120))
+
+
 # ---- the network
 
 
