@@ -1,9 +1,13 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance down the directory tree.
 
-Vectors live in the templates' vocabulary, so a unit of text (a line, and the whole text as a licence
-file's body) has few entries. Document frequencies of those terms are counted over all whole texts. A
-unit is scored only if it has an anchor: the other terms are those that together can't bring any
-template to the threshold, so units without anchors are passed over without loss.
+Vectors of statements live in the templates' vocabulary, so a unit of text (a line, and the whole text) has
+few entries. Document frequencies of the known terms are counted over all whole texts. A unit is scored
+only if it has an anchor: the other terms are those that together can't bring any template to the
+threshold, so units without anchors are passed over without loss.
+
+A whole text is also scored against the licence bodies in ``bodies``, with all its terms in the norm; one
+that stands in no body counts as unseen. A text that is a body has that license, whatever its lines say.
+There are no bodies of the CC-BY licenses: such files are named by their lines alone.
 
 A document with no license of its own takes that of the nearest directory above it that holds a
 licence file. Directories are resolved, not documents: each distinct directory is joined with its
@@ -20,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files as resources
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,11 +67,17 @@ def terms(text: bytes) -> list[bytes]:
 
 _TEMPLATE_TERMS = [(name, Counter(terms(text.encode()))) for name, text in TEMPLATES]
 VOCABULARY = sorted({t for _, counts in _TEMPLATE_TERMS for t in counts})
+_BODY_TERMS = sorted(
+    (f.name.removesuffix(".txt"), Counter(terms(f.read_bytes())))
+    for f in (resources("sigtok.llm") / "bodies").iterdir()
+    if f.name.endswith(".txt")
+)
+BODY_VOCABULARY = sorted({t for _, counts in _BODY_TERMS for t in counts})
 
 
 def term_documents(df: DataFrame, text: str = "text") -> tuple[dict[str, int], int]:
-    """In how many texts each term of the vocabulary stands, and the number of texts."""
-    vocabulary = set(VOCABULARY)
+    """In how many texts each term of the vocabularies stands, and the number of texts."""
+    vocabulary = {*VOCABULARY, *BODY_VOCABULARY}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[bytes] = Counter()
@@ -93,14 +104,47 @@ class Matcher:
         self.threshold = threshold
         self.idf = {t: math.log((1 + n) / (1 + counts.get(t.decode(), 0))) + 1 for t in VOCABULARY}
         self.templates = [(name, self._unit(c)) for name, c in _TEMPLATE_TERMS]
-        # terms from the commonest on, as long as they can't reach the threshold by themselves
-        common: set[bytes] = set()
-        for term in sorted(VOCABULARY, key=lambda t: (self.idf[t], t)):
-            more = common | {term}
-            if max(math.sqrt(sum(w * w for t, w in v.items() if t in more)) for _, v in self.templates) >= threshold:
+        self.anchors = self._anchors(self.idf, self.templates)
+        self.unseen = math.log(1 + n) + 1
+        self.body_idf = {t: math.log((1 + n) / (1 + counts.get(t.decode(), 0))) + 1 for t in BODY_VOCABULARY}
+        self.bodies = [(name, self._whole(c)) for name, c in _BODY_TERMS]
+        self.body_anchors = self._anchors(self.body_idf, self.bodies)
+
+    def _anchors(self, idf: Vector, vectors: list[tuple[str, Vector]]) -> set[bytes]:
+        """All terms but the commonest, as long as those can't reach the threshold by themselves."""
+        common, reached = set(), [0.0] * len(vectors)
+        for term in sorted(idf, key=lambda t: (idf[t], t)):
+            reached = [r + v.get(term, 0.0) ** 2 for r, (_, v) in zip(reached, vectors, strict=True)]
+            if math.sqrt(max(reached)) >= self.threshold:
                 break
-            common = more
-        self.anchors = set(VOCABULARY) - common
+            common.add(term)
+        return set(idf) - common
+
+    def _whole(self, counts: Counter) -> Vector:
+        """The vector of a whole text; terms of no body are in the norm alone."""
+        weights = {t: (1 + math.log(k)) * self.body_idf.get(t, self.unseen) for t, k in counts.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        return {t: w / norm for t, w in weights.items() if t in self.body_idf}
+
+    def best_body(self, words: list[bytes]) -> tuple[str, float, int] | None:
+        """(license, similarity, -1) of the licence body that a whole text is."""
+        if self.body_anchors.isdisjoint(words):
+            return None
+        counts = Counter(words)
+        # no text comes nearer to a body than the part of the body that it has
+        near = [
+            (name, body)
+            for name, body in self.bodies
+            if sum(body[t] ** 2 for t in body.keys() & counts.keys()) >= (self.threshold - 1e-6) ** 2
+        ]
+        if not near:
+            return None
+        vector, found = self._whole(counts), None
+        for name, body in near:
+            score = round(sum(vector[t] * body[t] for t in sorted(vector.keys() & body.keys())), 6)
+            if score >= self.threshold and (found is None or score > found[1]):
+                found = (name, score, -1)
+        return found
 
     def _unit(self, counts: Counter) -> Vector:
         weights = {t: (1 + math.log(k)) * self.idf[t] for t, k in counts.items() if t in self.idf}
@@ -108,11 +152,13 @@ class Matcher:
         return {t: w / norm for t, w in weights.items()}
 
     def best(self, text: bytes) -> tuple[str, float, int] | None:
-        """(license, similarity, line) of the best unit of a text; line -1 is the text as a whole."""
+        """(license, similarity, line) of a text's body or else best unit; line -1 is the text as a whole."""
         spaced = text.translate(_SPACED)
-        if self.anchors.isdisjoint(spaced.split()):
+        words = spaced.split()
+        if (found := self.best_body(words)) is not None:
+            return found
+        if self.anchors.isdisjoint(words):
             return None
-        found = None
         units = [(n, line) for n, line in enumerate(spaced.split(b"\n"))]
         for n, unit in [*units, *([(-1, spaced)] if len(units) > 1 else [])]:
             words = unit.split()

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -67,6 +68,27 @@ def test_op1_empty(docs):
     assert licenses.inherit(licenses.detect(licenses.document_paths(docs([])))).count() == 0
 
 
+def test_op1_whole_licence_files(docs, spark):
+    bodies = {f.stem: f.read_text() for f in (Path(licenses.__file__).parent / "bodies").glob("*.txt")}
+    rng = random.Random(14)
+    texts, paths, want = [], [], {}
+    for k, (name, body) in enumerate(sorted(bodies.items())):
+        # another holder, other line ends, a changed word here and there
+        words = re.sub("(?m)^Copyright.*$", f"Copyright (c) 20{k:02} Some Body and others", body).split(" ")
+        changed = " ".join("other" if rng.random() < 0.01 else w for w in words).replace("\n", "\r\n")
+        for n, text in ((3 * k, body), (3 * k + 1, changed), (3 * k + 2, "nothing here")):
+            texts.append((n, text))
+            paths.append((n, f"{n // 3}-{n % 3 % 2}/{'x.txt' if n % 3 == 2 else 'LICENSE'}"))
+            want[n] = name
+    prose = "\n".join(" ".join(rng.choices(["the", "of", "stone", "river", "to", "bird", "light"], k=12)) for _ in range(200))
+    texts += [(900, f"{prose}\n{bodies['MIT']}"), (901, f"{prose}\nAll rights reserved.\n{prose}"), (902, prose)]
+    paths += [(n, f"p/{n}.txt") for n in (900, 901, 902)]
+    want |= {900: "MIT", 901: "LicenseRef-All-Rights-Reserved", 902: None}
+    table = docs(texts).join(spark.createDataFrame(paths, "doc_id long, path string"), "doc_id")
+    got = {r.doc_id: r.effective_license for r in licenses.inherit(licenses.detect(table)).collect()}
+    assert got == want
+
+
 # ---- op3
 
 
