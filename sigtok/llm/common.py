@@ -16,6 +16,8 @@ from sigtok.session import ship, spread
 
 #: Rows that one window partition of ``ordinals`` holds on average.
 ROWS_PER_SALT = 10_000
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
 #: A table of at most so many rows of a few numbers may be broadcast.
 SMALL_ROWS = 500_000
 
@@ -81,15 +83,26 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def batch_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most BATCH_BYTES or one row.
+
+    The session's own limit is lowered to that for good, as plans are executed later.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` of a function of one batch."""
+    """``batch_map`` of a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return batch_map(df, run, schema)
 
 
 def ordinals(df: DataFrame, key: str, order: list[str], out: str, rows: int, salt_by: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtok.llm.common import arrow_map, documents, whole_text, write_shared
+from sigtok.llm.common import arrow_map, batch_map, documents, whole_text, write_shared
 
 # Usual wordings of license statements, by SPDX name.
 TEMPLATES = (
@@ -91,7 +91,7 @@ def term_documents(df: DataFrame, text: str = "text") -> tuple[dict[str, int], i
             [pa.array([t.decode() for t in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"]
         )
 
-    counted = df.select(whole_text(text).cast("binary").alias("text")).mapInArrow(run, "term string, n long")
+    counted = batch_map(df.select(whole_text(text).cast("binary").alias("text")), run, "term string, n long")
     # at most as many rows as the vocabulary has
     counts = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return counts, counts.pop("", 0)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtok.llm.common import documents, whole_text
+from sigtok.llm.common import batch_map, documents, whole_text
 
 ROW = 64
 MAX_ROWS = 8191
@@ -342,7 +342,7 @@ def store(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
     body = df.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).cast("binary").alias("bytes"))
-    return body.mapInArrow(run, "doc_id long, media binary")
+    return batch_map(body, run, "doc_id long, media binary")
 
 
 FEATURES = (
@@ -387,7 +387,7 @@ def features(media: DataFrame) -> DataFrame:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), *columns], names)
 
-    return media.select("doc_id", "media").mapInArrow(run, FEATURES)
+    return batch_map(media.select("doc_id", "media"), run, FEATURES)
 
 
 def op3_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:

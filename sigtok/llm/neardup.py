@@ -31,12 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtok.llm.common import arrow_map, documents, fresh, small, whole_text, write_shared
+from sigtok.llm.common import arrow_map, batch_map, documents, fresh, small, whole_text, write_shared
 from sigtok.llm.components import connected
-from sigtok.llm.wordcache import MAX_KEPT
+from sigtok.llm.wordcache import Cache, loaded
 
-#: Word hashes kept per worker process.
-MAX_WORDS = 150_000
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 BITS = 4
@@ -49,15 +47,13 @@ _MUL = (_rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1))[:, No
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        got = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MAX_WORDS and len(word) <= MAX_KEPT:
-            self[word] = got
-        return got
+class _Words(Cache):
+    """A word's hash."""
 
+    budget = 24 << 20
 
-_words = _Words()
+    def _make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -71,7 +67,7 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     words = text.lower().split()  # of bytes: ASCII capitals and white space
     if not words:
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(loaded(_Words).__getitem__, words), np.uint64, len(words))
     width = min(size, len(words))
     n = len(words) - width + 1
     out = np.full(n, width, dtype=np.uint64)
@@ -258,7 +254,7 @@ def _crossing(members: DataFrame, least: float) -> DataFrame:
 
     ordered = members.select("bucket", "i", "j", "own", "id", "comp", "n_shingles", "sig")
     ordered = ordered.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return ordered.mapInArrow(run, "bucket long, id long").distinct()
+    return batch_map(ordered, run, "bucket long, id long").distinct()
 
 
 def _new_links(members: DataFrame, least: float, percent: int) -> DataFrame:
@@ -291,7 +287,7 @@ def _new_links(members: DataFrame, least: float, percent: int) -> DataFrame:
 
     ordered = members.select("bucket", "i", "j", "own", "id", "comp", "n_shingles", "sig", "set")
     ordered = ordered.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return ordered.mapInArrow(run, "u long, v long")
+    return batch_map(ordered, run, "u long, v long")
 
 
 def _remaining_links(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtok.llm.common import documents, ordinals, whole_text, write_shared
+from sigtok.llm.common import batch_map, documents, ordinals, whole_text, write_shared
 from sigtok.llm.tokenfile import id_lists
 from sigtok.llm.wordcache import LowerWordUnits, loaded
 
@@ -139,23 +139,23 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = loaded(LowerWordUnits, vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows, ids = [], []
-                for doc_id, body in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    whole = units.encode(body.as_py()) + end
-                    for n, start in enumerate(range(0, len(whole), 4 * capacity)):
-                        piece = whole[start : start + 4 * capacity]
-                        rows.append((doc_id, n, start // 4, len(piece) // 4, zlib.crc32(piece)))
-                        if with_ids:
-                            ids.append(piece)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, *([id_lists(ids)] if with_ids else [])], names)
+            if not batch.num_rows:
+                continue
+            rows, ids = [], []
+            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                whole = units.encode(body.as_py()) + end
+                for n, start in enumerate(range(0, len(whole), 4 * capacity)):
+                    piece = whole[start : start + 4 * capacity]
+                    rows.append((doc_id, n, start // 4, len(piece) // 4, zlib.crc32(piece)))
+                    if with_ids:
+                        ids.append(piece)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, *([id_lists(ids)] if with_ids else [])], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     body = df.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    return body.mapInArrow(run, schema)
+    return batch_map(body, run, schema)
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

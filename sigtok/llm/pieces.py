@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sigtok.llm.common import arrow_map, documents, whole_text
 from sigtok.llm.tokenfile import id_lists
-from sigtok.llm.wordcache import MAX_UNITS, Units, WholeText, loaded, packed
+from sigtok.llm.wordcache import Cache, WholeText, loaded, packed
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
@@ -45,13 +45,16 @@ class _Pairs(dict):
         return known
 
 
-class PieceUnits(Units):
+class PieceUnits(Cache):
+    """unit -> id bytes."""
+
     _cut = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
     def __init__(self, path: str) -> None:
         import ahocorasick
         import sentencepiece
 
+        super().__init__()
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=path)
         whole = [i for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
         self.ids = {p.id_to_piece(i): i for i in whole}
@@ -107,7 +110,7 @@ class PieceUnits(Units):
             out.extend([known] if known is not None else [self.byte_ids[b] for b in token.encode()])
         return out
 
-    def _encode(self, unit: str) -> bytes:
+    def _make(self, unit: str) -> bytes:
         if MARK in unit or unit in (" ", "\n") or not unit:
             raise WholeText
         if unit[0] == "\n":

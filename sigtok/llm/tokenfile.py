@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigtok.llm.common import documents, shared_path, whole_text, write_shared
+from sigtok.llm.common import batch_map, documents, shared_path, whole_text, write_shared
 from sigtok.llm.wordcache import ByteLevelUnits, loaded
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,15 +56,12 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, row = loaded(ByteLevelUnits, vocabulary), 0
         for batch in batches:
-            # slices bound the ids that are held at once
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [units.encode(t.as_py()) + end for t in part.column(1)]
-                rows = np.arange(row, row + part.num_rows, dtype=np.int64)
-                row += part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows), id_lists(ids)], ["doc_id", "row", "ids"])
+            ids = [units.encode(t.as_py()) + end for t in batch.column(1)]
+            rows = np.arange(row, row + batch.num_rows, dtype=np.int64)
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows), id_lists(ids)], ["doc_id", "row", "ids"])
 
-    return ordered.mapInArrow(run, SCHEMA)
+    return batch_map(ordered, run, SCHEMA)
 
 
 def write_tokens(df: DataFrame, path: str, **kwargs: str) -> None:
@@ -93,7 +90,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     stored = read_tokens(spark, path)
     rows = write_shared(
-        stored.mapInArrow(run, "doc_id long, row long, file string, n_tokens long, ids_crc32 long"), "token-index"
+        batch_map(stored, run, "doc_id long, row long, file string, n_tokens long, ids_crc32 long"), "token-index"
     )
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     # one row per file meets in one window partition

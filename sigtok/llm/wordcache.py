@@ -4,7 +4,11 @@ A unit is a separator (one space or newline) with what follows up to the next on
 never join characters across the left edge of a unit, save in runs of white space, so a text's ids are
 the ids of its units in order. Texts where that doesn't hold (runs of separators, other white space,
 special tokens, NUL) take the slower whole-text path. A unit's ids are kept as little-endian unsigned
-32-bit bytes; a full cache stays as it is and serves what it has.
+32-bit bytes.
+
+A cache has a budget of bytes. Words that come often come early, so a full cache stays as it is; after RENEW
+misses for each entry the input is another one, and the cache starts anew. A worker process serves the
+stages of many operators; it keeps the cache of one at a time (``loaded``).
 """
 
 from __future__ import annotations
@@ -14,9 +18,13 @@ import re
 import sys
 from array import array
 
-#: Units kept per worker process, about 200 bytes each.
-MAX_UNITS = 400_000
-#: Longer ones are not kept.
+#: Bytes of one cache; an encoder has two.
+CACHE_BYTES = 64 << 20
+#: What an entry takes besides its characters and ids: two objects and two slots of a table.
+ENTRY_BYTES = 150
+#: Misses of a full cache for each entry until it starts anew.
+RENEW = 16
+#: Longer keys are not kept.
 MAX_KEPT = 64
 
 
@@ -38,42 +46,56 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-class Units(dict):
-    """unit -> id bytes; ``_encode`` gives those of a unit that is new."""
+class Cache(dict):
+    """key -> value of ``_make(key)``, within a budget of bytes."""
+
+    budget = CACHE_BYTES
+
+    def __init__(self) -> None:
+        self._left = self.budget
+        self._missed = 0
 
-    def __missing__(self, unit: str) -> bytes:
-        got = self._encode(unit)
-        if len(self) < MAX_UNITS and len(unit) <= MAX_KEPT:
-            self[unit] = got
+    def __missing__(self, key):
+        got = self._make(key)
+        if self._left > 0:
+            if len(key) <= MAX_KEPT:
+                self._left -= ENTRY_BYTES + len(key) + (len(got) if isinstance(got, bytes) else 0)
+                self[key] = got
+        else:
+            self._missed += 1
+            if self._missed > RENEW * len(self):
+                self.clear()
+                self._left, self._missed = self.budget, 0
         return got
 
-    def _encode(self, unit: str) -> bytes:
+    def _make(self, key):
         raise NotImplementedError
 
 
-class _Pieces(dict):
+class _Pieces(Cache):
     """A pre-token -> id bytes."""
 
     def __init__(self, model) -> None:
+        super().__init__()
         self._tokenize = model.tokenize
         symbols = byte_symbols()
         self._charmap = "".join(symbols[b] for b in range(256))
 
-    def __missing__(self, piece: str) -> bytes:
+    def _make(self, piece: str) -> bytes:
         symbols = codecs.charmap_decode(piece.encode(), "strict", self._charmap)[0]
-        got = packed([t.id for t in self._tokenize(symbols)])
-        if len(self) < MAX_UNITS and len(piece) <= MAX_KEPT:
-            self[piece] = got
-        return got
+        return packed([t.id for t in self._tokenize(symbols)])
+
 
+class _HfUnits(Cache):
+    """unit -> id bytes."""
 
-class _HfUnits(Units):
     #: A separator, letters that all classes of the tokenizers call letters, and a run of marks.
     _plain = re.compile(r"([ \n]?)([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = _Pieces(self.tokenizer.model)
@@ -87,7 +109,7 @@ class ByteLevelUnits(_HfUnits):
 
     _odd = re.compile(r"[^\S \n]").search
 
-    def _encode(self, unit: str) -> bytes:
+    def _make(self, unit: str) -> bytes:
         found = self._plain(unit)
         if found is None:
             if self._odd(unit):
@@ -118,7 +140,9 @@ class ByteLevelUnits(_HfUnits):
 class LowerWordUnits(_HfUnits):
     """For lower-casing vocabularies that drop white space: units are what stands between separators."""
 
-    def _encode(self, unit: str) -> bytes:
+    budget = CACHE_BYTES // 2
+
+    def _make(self, unit: str) -> bytes:
         found = self._plain(unit)
         if found is None or any(x in unit for x in self.special):
             return self.whole(unit)
@@ -130,11 +154,13 @@ class LowerWordUnits(_HfUnits):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_loaded: dict[tuple[type, str], Units] = {}
+_loaded: dict[tuple, Cache] = {}
 
 
-def loaded(kind: type, path: str):
-    """The worker process's own encoder of a vocabulary file."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
+def loaded(kind: type, *args: str):
+    """The worker process's own cache of a kind; that of another kind goes when it comes."""
+    key = (kind, *args)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = kind(*args)
+    return _loaded[key]
