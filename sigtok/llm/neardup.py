@@ -2,14 +2,15 @@
 
 1. Each text's shingles become a set of 64-bit hashes. Texts of equal sets form a class, and only its
    smallest doc_id goes on. Of 128 minima the low 4 bits are kept, packed into 64 bytes; all bits go into
-   32 band keys of 4 minima each. A pair at the threshold shares no band with a chance of 5e-8.
+   band keys of as many minima each as leave a pair at the threshold without a shared band with a chance of
+   at most MISSED: 4 at 80 percent (5e-8), fewer below.
 2. In each band bucket every class is paired with one hub, so a bucket of n gives n - 1 pairs. Pairs
    whose similarity, estimated from equal signature digits by bit counts and corrected for chance
    collisions, is within reach of the threshold are confirmed on the whole sets.
-3. Buckets that still hold more than one component are compared in full: estimates for all their pairs
-   of different components, in blocks of bounded size, inside a task; classes with a pair within reach
-   get their sets, and pairs still apart are confirmed. Only new links leave the task, so no bucket
-   gives more rows than it has members.
+3. In buckets that still hold more than one component, the members outside the largest one are compared with
+   all others of different components: estimates in blocks of bounded size, inside a task; classes with a
+   pair within reach get their sets, and pairs still apart are confirmed. A bucket of n members, m of them
+   outside its largest component, gives n rows for each BLOCK of those m and m rows for each BLOCK of n.
 4. Components of the links are found by stars over the table of links.
 
 Nothing is capped: an estimate discards a pair only when it is more than 5 standard deviations below
@@ -28,18 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtok.llm.common import arrow_map, batch_map, documents, fresh, small, whole_text, write_shared
 from sigtok.llm.components import connected
 from sigtok.llm.wordcache import Cache, loaded
 
-HASHES, ROWS = 128, 4
-BANDS = HASHES // ROWS
+HASHES = 128
 BITS = 4
-#: Members of a bucket that a task compares with each other or with as many others.
-BLOCK = 2048
+#: The chance of a pair at the threshold to share no band.
+MISSED = 1e-6
+#: Members of a bucket that a task compares with as many others.
+BLOCK = 512
 
 _rng = np.random.default_rng(20_240_229)
 _XOR = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32)[:, None]
@@ -84,13 +86,21 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def signature(least: np.ndarray) -> tuple[bytes, np.ndarray]:
+def band_rows(percent: int) -> int:
+    """Minima in a band: as many as keep the chance to miss a pair at the threshold under MISSED."""
+    for rows in (8, 4, 2, 1):
+        if (1 - (percent / 100) ** rows) ** (HASHES // rows) <= MISSED:
+            return rows
+    raise ValueError(f"{HASHES} minima don't find pairs of {percent} percent")
+
+
+def signature(least: np.ndarray, rows: int) -> tuple[bytes, np.ndarray]:
     """The packed low bits and the band keys."""
     mixed = _mixed(least.astype(np.uint64))
     digits = (mixed & np.uint64((1 << BITS) - 1)).astype(np.uint8)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = _mixed(key * _STEP + mixed[k::ROWS])
+    key = np.arange(1, HASHES // rows + 1, dtype=np.uint64)
+    for k in range(rows):
+        key = _mixed(key * _STEP + mixed[k::rows])
     return (digits[::2] | (digits[1::2] << 4)).tobytes(), key.view(np.int64)
 
 
@@ -122,8 +132,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def signatures(df: DataFrame, size: int, text: str, key: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig, bands)."""
+def signatures(df: DataFrame, size: int, rows: int, text: str, key: str) -> DataFrame:
+    """(doc_id, n_shingles, digest, sig, bands) with ``rows`` minima in a band."""
+    n_bands = HASHES // rows
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, digests, sigs, bands = [], [], [], []
@@ -131,11 +142,11 @@ def signatures(df: DataFrame, size: int, text: str, key: str) -> DataFrame:
             s = shingles(value.as_py(), size)
             n.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sig, keys = signature(minima(s))
+            sig, keys = signature(minima(s), rows)
             sigs.append(sig)
             bands.append(keys)
         lists = pa.ListArray.from_arrays(
-            pa.array(np.arange(0, BANDS * (len(n) + 1), BANDS, dtype=np.int32)), pa.array(np.concatenate(bands))
+            pa.array(np.arange(0, n_bands * (len(n) + 1), n_bands, dtype=np.int32)), pa.array(np.concatenate(bands))
         )
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(digests), pa.array(sigs), lists],
@@ -208,66 +219,80 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Re
         yield held
 
 
-def _blocked(members: DataFrame, per_bucket: DataFrame) -> DataFrame:
-    """``members`` with block columns i, j, own: each task compares block i with block j of a bucket."""
-    blocks = F.ceil(F.col("n_members") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    return (
-        members.join(per_bucket.select("bucket", blocks.alias("blocks")), "bucket")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("i", F.least("own", "other"))
-        .withColumn("j", F.greatest("own", "other"))
-        .drop("blocks", "other")
-    )
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (bucket, id, comp, ...) dealt to tasks (bucket, i, j): block i of all, block j of the outliers.
+
+    Outliers stand outside the largest component of their bucket. ``outlier`` marks the rows of block j.
+    """
+    sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    plan = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    others = F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("others")
+    plan = small(write_shared(plan.select("bucket", F.col("main.comp").alias("main"), blocks, others), "bucket-blocks"))
+    placed = members.join(plan, "bucket")
+
+    def block(count: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
+    row = [*members.columns]
+    whole = placed.select(*row, block("blocks").alias("i"), every("others").alias("j"), F.lit(False).alias("outlier"))
+    apart = placed.where("comp != main")
+    apart = apart.select(*row, every("blocks").alias("i"), block("others").alias("j"), F.lit(True).alias("outlier"))
+    return whole.union(apart)
 
-def _apart(group: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a block that are of different components and within reach: rows and estimates."""
-    comp, own = group.column("comp").to_numpy(), group.column("own").to_numpy()
+
+def _apart(group: pa.Table, least: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a task that are of different components and within reach: rows and estimates."""
+    comp, out, ids = group.column("comp").to_numpy(), group.column("outlier").to_numpy(), group.column("id").to_numpy()
     size = group.column("n_shingles").to_numpy()
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint64).reshape(len(comp), -1)
-    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    all_rows, outliers = np.flatnonzero(~out), np.flatnonzero(out)
+    of_outliers = np.isin(ids[all_rows], ids[outliers])
     found = []
-    for a in left:
-        b = right[right > a] if i == j else right
-        b = b[comp[b] != comp[a]]
+    for a in outliers:
+        # a pair of outliers is met from both sides where their blocks meet; one side is enough there
+        b = all_rows[(comp[all_rows] != comp[a]) & (~of_outliers | (ids[all_rows] < ids[a]))]
         if len(b):
             e = estimates(sig[b], sig[a])
-            ok = (e >= least) & (np.minimum(size[b], size[a]) >= 0.5 * np.maximum(size[b], size[a]))
+            ok = (e >= least) & (100 * np.minimum(size[b], size[a]) >= percent * np.maximum(size[b], size[a]))
             found.append((np.full(int(ok.sum()), a), b[ok], e[ok]))
     if not found:
         return (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0),)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _crossing(members: DataFrame, least: float) -> DataFrame:
-    """(bucket, id) of members with a pair of different components within reach."""
+def _by_task(dealt: DataFrame, *more: str) -> DataFrame:
+    ordered = dealt.select("bucket", "i", "j", "outlier", "id", "comp", "n_shingles", "sig", *more)
+    return ordered.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _crossing(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """(bucket, id, comp) of members with a pair of different components within reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _groups(batches, 3):
             group = pa.Table.from_batches(held)
-            a, b, _ = _apart(group, least)
+            a, b, _ = _apart(group, least, percent)
             if len(a):
-                yield group.select(["bucket", "id"]).take(np.unique(np.concatenate([a, b]))).combine_chunks().to_batches()[0]
+                yield group.select(["bucket", "id", "comp"]).take(np.unique(np.concatenate([a, b]))).combine_chunks().to_batches()[0]
 
-    ordered = members.select("bucket", "i", "j", "own", "id", "comp", "n_shingles", "sig")
-    ordered = ordered.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return batch_map(ordered, run, "bucket long, id long").distinct()
+    return batch_map(_by_task(_dealt(members)), run, "bucket long, id long, comp long").distinct()
 
 
-def _new_links(members: DataFrame, least: float, percent: int) -> DataFrame:
+def _new_links(members: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
     """Links (u, v) that join components of a bucket, confirmed on the members' sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _groups(batches, 3):
             group = pa.Table.from_batches(held)
-            a, b, e = _apart(group, least)
+            a, b, e = _apart(group, least, percent)
             ids = group.column("id").to_numpy()
             sets = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
-            root = {c: c for c in group.column("comp").to_pylist()}
             comp = group.column("comp").to_pylist()
+            root = {c: c for c in comp}
 
             def top(c: int, root: dict[int, int] = root) -> int:
                 while root[c] != c:
@@ -285,35 +310,30 @@ def _new_links(members: DataFrame, least: float, percent: int) -> DataFrame:
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    ordered = members.select("bucket", "i", "j", "own", "id", "comp", "n_shingles", "sig", "set")
-    ordered = ordered.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return batch_map(ordered, run, "u long, v long")
+    return batch_map(_by_task(_dealt(members).join(sets, "id"), "set"), run, "u long, v long")
 
 
 def _remaining_links(
-    df: DataFrame, classes: DataFrame, labelled: DataFrame, mixed: DataFrame, sets: DataFrame, found: DataFrame,
-    size: int, percent: int, text: str, key: str,
+    df: DataFrame, classes: DataFrame, labelled: DataFrame, mixed: DataFrame, sets: DataFrame, size: int, percent: int, text: str, key: str
 ) -> DataFrame:
     """Links between components of the buckets in ``mixed``."""
     least = reach(percent / 100)
     open_members = labelled.drop("n_members").join(small(mixed.select("bucket")), "bucket", "left_semi")
     open_members = open_members.join(classes.select("id", "n_shingles", "sig"), "id")
-    crossing = write_shared(_crossing(_blocked(open_members, mixed), least), "crossing")
-    counts = crossing.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n_members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")
+    crossing = write_shared(_crossing(open_members, least, percent), "crossing")
+    # buckets of the same members need one look
+    looks = (
+        crossing.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
+        .groupBy("who", "n")
+        .agg(F.min("bucket").alias("bucket"))
     )
-    counts = counts.groupBy("who", "n_members").agg(F.min("bucket").alias("bucket"))
     more_ids = crossing.select("id").distinct().join(sets.select("id"), "id", "left_anti")
     more_ids = write_shared(more_ids, "more-ids")
     more_sets = _sets(df, more_ids, size, text, key).dropDuplicates(["id"])
     all_sets = write_shared(sets.union(more_sets), "all-sets")
-    look = (
-        crossing.join(counts.select("bucket"), "bucket", "left_semi")
-        .join(found, F.col("id") == F.col("node"), "left")
-        .select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-        .join(classes.select("id", "n_shingles", "sig"), "id")
-    )
-    return _new_links(_blocked(look, counts).join(all_sets, "id"), least, percent)
+    look = crossing.join(looks.select("bucket"), "bucket", "left_semi").join(classes.select("id", "n_shingles", "sig"), "id")
+    return _new_links(look, all_sets, least, percent)
 
 
 def near_duplicates(
@@ -321,7 +341,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) of each row of ``df``."""
     least = reach(percent / 100)
-    rows = write_shared(signatures(df, size, text, key), "signatures")
+    rows = write_shared(signatures(df, size, band_rows(percent), text, key), "signatures")
     with_words = rows.where("n_shingles > 0 and doc_id is not null")
     classes = write_shared(
         with_words.groupBy("digest")
@@ -372,7 +392,7 @@ def near_duplicates(
     mixed = write_shared(mixed, "mixed-buckets")
     final = found
     if mixed.head(1):
-        new = write_shared(_remaining_links(df, classes, labelled, mixed, sets, found, size, percent, text, key), "links-more")
+        new = write_shared(_remaining_links(df, classes, labelled, mixed, sets, size, percent, text, key), "links-more")
         if new.head(1):
             final = write_shared(connected(links.union(new)), "components")
     # one id for each class, then one for each component

@@ -1,14 +1,15 @@
 """Quality rules as weak supervision: rules vote or abstain, EM weighs them, a posterior decides.
 
-Every rule looks at a few counts of a document and votes bad (-1), good (+1) or abstains (0). A latent
-class model has for each rule its chance to vote in either class; expectation maximisation estimates
-those and the share of good documents. Rules vote one way only. A bad-voting rule that abstains speaks
-for the document; a good-voting one that abstains speaks against it only beside a bad vote of another
-rule, so a document without a bad vote can't be rejected. A document stays where its posterior
-probability of good quality is at least 1/2.
+Every rule looks at a few counts of a document and votes bad (-1), good (+1) or abstains (0). Rules vote
+one way only. A latent class model has the share of good documents and for each rule its chance to vote in
+either class, under one constraint: a bad-voting rule votes on bad documents at least as often as on good
+ones, a good-voting rule the other way round, so no bad vote ever speaks for a document. Expectation
+maximisation fits that model to the documents that pass the base rules; where the two chances of a rule
+would break their order they are pooled, which is the constrained maximum. A document stays where the
+fitted posterior probability of good quality is at least 1/2.
 
 All of it is DataFrame operations. The table of vote patterns that EM runs on has at most
-3 ** len(RULES) rows, whatever the number of documents; one row of sums comes back per iteration.
+2 ** len(RULES) rows, whatever the number of documents; one row of sums comes back per iteration.
 
 Defined results: a null text has no words and, with under 50 words, fails; empty tables give empty
 results; repeated rows are judged alike; other columns are ignored.
@@ -28,14 +29,14 @@ SPACE = "\\x20\\x09-\\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: A window's position has this many bits beside its hash.
+#: A window's position has this many bits beside the high bits of its hash.
 POSITION_BITS = 24
 #: EM ends after so many rounds, or when no chance changes by SETTLED.
 ITERATIONS = 15
 SETTLED = 1e-6
 #: EM starts with these chances to vote on a (good, bad) document, for bad-voting and good-voting rules.
 START = {-1: (0.01, 0.3), 1: (0.6, 0.3)}
-#: Prior observations as a share of the documents, at the chances of START.
+#: Prior observations as a share of the documents, at the chances of START and a share of 0.8 good ones.
 PRIOR_WEIGHT = 0.01
 KEEP_FROM = 0.5
 
@@ -48,8 +49,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def covered_words(tri: Column) -> Column:
     """Words in 3-word windows that occur twice or more, from the windows' hashes in order.
 
-    Windows are sorted by (hash, position), packed into a long while the positions fit; those equal to
-    a neighbour repeat. Packing drops hash bits, so neighbours are compared by their whole hashes.
+    Windows are sorted by (hash, position); those equal to a neighbour repeat. The sort goes by the high bits of
+    the hash and the position, packed into a long. Where that could tear equal hashes apart, because two
+    different ones share their high bits or the positions don't fit, whole hashes are sorted instead.
     """
     low = F.lit((1 << POSITION_BITS) - 1).cast("long")
 
@@ -61,7 +63,13 @@ def covered_words(tri: Column) -> Column:
             y = F.get(packed, k)
             return F.coalesce(F.get(tri, position(x)) == F.get(tri, position(y)), F.lit(False))
 
-        return F.transform(F.filter(packed, lambda x, k: same(x, k - 1) | same(x, k + 1)), position)
+        def torn(x: Column, k: Column) -> Column:
+            before = F.get(packed, k - 1)
+            return (F.shiftright(x, POSITION_BITS) == F.shiftright(before, POSITION_BITS)) & ~same(x, k - 1)
+
+        found = F.transform(F.filter(packed, lambda x, k: same(x, k - 1) | same(x, k + 1)), position)
+        clean = F.size(F.filter(packed, torn)) == 0
+        return F.when(clean, found).otherwise(let(pairs, repeated_pairs))
 
     def repeated_pairs(pairs: Column) -> Column:
         def same(x: Column, k: Column) -> Column:
@@ -116,6 +124,7 @@ def text_counts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
         (length - F.length(F.regexp_replace("body", "\\p{Lu}+", ""))).cast("long").alias("n_upper"),
         (length - without("!?")).alias("n_marks"),
+        F.length(F.regexp_replace("body", "[^\\p{L}\\p{N}]+", "")).cast("long").alias("n_alnum"),
     )
 
 
@@ -134,18 +143,8 @@ RULES: dict[str, tuple[int, Callable[[], Column]]] = {
         -1,
         lambda: (_share("word_chars", "n_words") < 2.5) | (_share("word_chars", "n_words") > 14),
     ),
-    "plain": (
-        1,
-        lambda: (F.col("n_words") > 0)
-        & (_share("n_symbols", "n_words") < 0.02)
-        & (_share("n_upper", "word_chars") < 0.15)
-        & (_share("n_marks", "n_words") < 0.3)
-        & (_share("n_repeat_words", "n_words") < 0.2),
-    ),
-    "varied": (
-        1,
-        lambda: (_share("n_repeat_words", "n_words") < 0.1) & (_share("n_distinct_words", "n_words") > 0.3),
-    ),
+    "alnum": (1, lambda: _share("n_alnum", "word_chars") > 0.9),
+    "varied": (1, lambda: _share("n_distinct_words", "n_words") > 0.3),
 }
 
 
@@ -159,20 +158,22 @@ def vote(counts: DataFrame) -> DataFrame:
 Model = dict[str, tuple[float, float]]
 
 
-def posterior(model: Model, share_good: float, lenient: bool = True) -> Column:
-    """The probability of good quality from the vote columns; ``lenient`` as in the module's description."""
-    accused = F.greatest(*(F.col(f"vote_{x}") < 0 for x, (way, _) in RULES.items() if way < 0))
+def posterior(model: Model, share_good: float) -> Column:
+    """The probability of good quality from the vote columns."""
     logit = F.lit(math.log(share_good / (1 - share_good)))
     for name, (good, bad) in model.items():
-        voted, abstained = math.log(good / bad), F.lit(math.log((1 - good) / (1 - bad)))
-        if lenient and RULES[name][0] < 0:
-            voted, abstained = min(0.0, voted), F.greatest(abstained, F.lit(0.0))
-        elif lenient:
-            voted, abstained = max(0.0, voted), F.when(accused, F.least(abstained, F.lit(0.0))).otherwise(0.0)
-        logit = logit + F.when(F.col(f"vote_{name}") != 0, F.lit(voted)).otherwise(abstained)
+        logit = logit + F.when(F.col(f"vote_{name}") != 0, math.log(good / bad)).otherwise(math.log((1 - good) / (1 - bad)))
     return 1 / (1 + F.exp(-logit))
 
 
+def chances(way: int, good: tuple[float, float], bad: tuple[float, float]) -> tuple[float, float]:
+    """A rule's chances from (votes, documents) of either class, pooled where they break their order."""
+    both = tuple(min(0.999, max(1e-4, hits / of)) for hits, of in (good, bad))
+    if way * (both[0] - both[1]) < 0:
+        both = (min(0.999, max(1e-4, (good[0] + bad[0]) / (good[1] + bad[1]))),) * 2
+    return both
+
+
 def fit(votes: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, float]:
     """Rule chances and the share of good documents by EM over the table of vote patterns."""
     patterns = write_shared(
@@ -183,27 +184,18 @@ def fit(votes: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, float]:
     p, n = F.col("p"), F.col("n")
     sums = {"good": F.sum(n * p), "bad": F.sum(n * (1 - p))}
     for x in RULES:
-        voted = F.col(f"vote_{x}") != 0
-        sums[f"{x}_good"] = F.sum(F.when(voted, n * p).otherwise(0.0))
-        sums[f"{x}_bad"] = F.sum(F.when(voted, n * (1 - p)).otherwise(0.0))
+        for side, share in (("good", p), ("bad", 1 - p)):
+            sums[f"{x}_{side}"] = F.sum(F.when(F.col(f"vote_{x}") != 0, n * share).otherwise(0.0))
     for _ in range(iterations):
-        s = patterns.withColumn("p", posterior(model, share_good, lenient=False)).agg(*(c.alias(k) for k, c in sums.items())).first()
+        s = patterns.withColumn("p", posterior(model, share_good)).agg(*(c.alias(k) for k, c in sums.items())).first()
         if s["good"] is None:
             break
         extra = 1 + PRIOR_WEIGHT * (s["good"] + s["bad"])
-
-        def chance(hits: float, of: float, start: float) -> float:
-            return min(0.999, max(1e-4, (hits + extra * start) / (of + extra)))
-
-        before = model
-        model = {
-            x: (
-                chance(s[f"{x}_good"], s["good"], START[way][0]),
-                chance(s[f"{x}_bad"], s["bad"], START[way][1]),
-            )
-            for x, (way, _) in RULES.items()
-        }
-        share_good = min(0.95, max(0.5, s["good"] / (s["good"] + s["bad"])))
+        before, model = model, {}
+        for x, (way, _) in RULES.items():
+            sides = zip(("good", "bad"), START[way], strict=True)
+            model[x] = chances(way, *((s[f"{x}_{side}"] + extra * start, s[side] + extra) for side, start in sides))
+        share_good = (s["good"] + 0.8 * extra) / (s["good"] + s["bad"] + extra)
         if max(abs(a - b) for x in RULES for a, b in zip(model[x], before[x], strict=True)) < SETTLED:
             break
     return model, share_good
@@ -212,8 +204,8 @@ def fit(votes: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, float]:
 def judge(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Counts, votes, p_good, base_failed and kept for each row of ``df``."""
     votes = write_shared(vote(text_counts(df, text, key)), "quality-votes")
-    model, share_good = fit(votes)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    model, share_good = fit(votes.where(~failed))
     return (
         votes.withColumn("p_good", posterior(model, share_good))
         .withColumn("base_failed", failed)

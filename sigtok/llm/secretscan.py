@@ -8,6 +8,8 @@ header in base64) must pass it, which drops look-alikes.
 Matches of a kind are leftmost and don't overlap: what a match covers is consumed even if the match is
 then dropped for its length or checksum.
 
+A private key without its END line is covered as far as lines of base64 follow.
+
 Defined results: a null text is an empty one without spans; equal texts give equal spans; other columns
 are ignored; an empty table gives an empty one. Spans count code points, end exclusive.
 """
@@ -50,7 +52,7 @@ def json_header(found: re.Match) -> bool:
     head = found[0].split(".")[0]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):  # any text may stand there, nested as deep as it likes
         return False
 
 
@@ -60,6 +62,8 @@ class Rule:
     keywords: tuple[str, ...]
     pattern: re.Pattern
     valid: Callable[[re.Match], bool]
+    #: Where the expression fails, it fails at all further places of this run, so none of them is tried.
+    run: re.Pattern | None = None
 
 
 #: In the order in which spans of one start are listed; the first two and "hex" are the base.
@@ -79,16 +83,30 @@ RULES = (
         re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
         checksummed,
     ),
+    Rule(
+        "github_pat",
+        ("github_pat_",),
+        re.compile(r"github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}(?![A-Za-z0-9])"),
+        lambda m: True,
+    ),
     Rule("npm", ("npm_",), re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), checksummed),
     Rule("slack", ("xox",), re.compile(r"xox[abprs]-[0-9A-Za-z-]{10,}"), lambda m: True),
     Rule("google", ("aiza",), re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), lambda m: True),
     Rule(
-        "jwt", ("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), json_header
+        "jwt",
+        ("eyj",),
+        re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+        json_header,
+        re.compile(r"[A-Za-z0-9_-]+"),
     ),
     Rule(
         "pem",
         ("-----begin",),
-        re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"),
+        # up to the next five hyphens, so that header lines with hyphens are inside; without an end, what looks like a key
+        re.compile(
+            r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+            r"(?:(?:[^-]+|-(?!----))*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|(?:\s+[A-Za-z0-9+/=]{20,})*+)"
+        ),
         lambda m: True,
     ),
 )
@@ -122,10 +140,14 @@ class Scanner:
         for n, places in starts.items():
             rule, free = RULES[n], 0
             for start in sorted(places):
-                if start >= free and (m := rule.pattern.match(text, start)):
+                if start < free:
+                    continue
+                if m := rule.pattern.match(text, start):
                     free = m.end()
                     if rule.valid(m):
                         found.append((start, ORDER[rule.kind], rule.kind, free))
+                elif rule.run and (m := rule.run.match(text, start)):
+                    free = m.end()
         # a run of hexadecimal characters is as long as it can be
         found += [(m.start(), ORDER["hex"], "hex", m.end()) for m in HEX.finditer(text)]
         return [(kind, start, end) for start, _, kind, end in sorted(found)]

@@ -86,6 +86,35 @@ def test_large_buckets_go_by_blocks(docs, monkeypatch):
         assert r.component_id == want[r.doc_id][1]
 
 
+@pytest.mark.parametrize("percent", [40, 60])
+def test_lower_thresholds_equal_brute_force(docs, percent):
+    """Bands follow the threshold, and texts of very different sizes may be linked."""
+    rng = random.Random(percent)
+    texts = []
+    for words, copies, edits in ((60, 8, 12), (90, 8, 25), (30, 6, 5)):
+        texts += family(rng, words, copies, edits)
+    long = " ".join(f"q{rng.randrange(10**6)}" for _ in range(200))
+    texts += [long, " ".join(long.split()[:100]), " ".join(long.split()[60:150])]
+    numbered = list(enumerate(texts))
+    want = components(numbered, 2, percent)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(numbered), size=2, percent=percent).collect()}
+    assert got == {n: c for n, (_, c) in want.items()}
+
+
+def test_thresholds_without_bands_are_refused():
+    assert [neardup.band_rows(p) for p in (100, 80, 60, 40)] == [8, 4, 2, 1]
+    with pytest.raises(ValueError, match="percent"):
+        neardup.band_rows(5)
+
+
+def test_outliers_of_a_large_component_cost_no_square(docs, spark):
+    """One component of 3000 and 5 others in one bucket: rows grow with the members, not with their square."""
+    rows = [(1, k, 0 if k < 3000 else k) for k in range(3005)]
+    dealt = neardup._dealt(spark.createDataFrame(rows, "bucket long, id long, comp long"))
+    assert dealt.count() == 3005 + 5 * -(-3005 // neardup.BLOCK)
+    assert dealt.groupBy("bucket", "i", "j").count().agg({"count": "max"}).first()[0] <= 2 * neardup.BLOCK
+
+
 def test_stage_keeps_one_of_each(docs):
     rng = random.Random(6)
     texts = family(rng, 100, 5, 1) + ["alone in the world with words"] + [None, "", ""]
@@ -104,7 +133,7 @@ def test_estimates_follow_similarity():
             both = rng.integers(0, 2**63, int(2000 * share), dtype=np.uint64)
             a, b = (np.concatenate([both, rng.integers(0, 2**63, 2000 - len(both), dtype=np.uint64)]) for _ in range(2))
             sim = len(both) / (4000 - len(both))
-            sa, sb = (np.frombuffer(neardup.signature(neardup.minima(x))[0], np.uint64) for x in (a, b))
+            sa, sb = (np.frombuffer(neardup.signature(neardup.minima(x), 4)[0], np.uint64) for x in (a, b))
             errors.append(neardup.estimates(sa, sb) - sim)
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.07
 

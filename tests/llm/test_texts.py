@@ -1,6 +1,8 @@
 """op1, op3, op4, op5, op7, op10 against plain Python, on odd texts and made cases."""
 
+import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -307,6 +309,37 @@ def test_op5_checksums_decide():
     assert "jwt" not in [k for k, _, _ in scan("eyJhbGciOiJIUzI1.eyJhIjoxfQ.c2ln")]
 
 
+def test_op5_any_json_header():
+    head = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 100_000).decode().rstrip("=")
+    scan = secretscan.scanner().spans
+    assert "jwt" not in [k for k, _, _ in scan(f"{head}.e30.c2ln")]
+    assert "jwt" not in [k for k, _, _ in scan("eyJ" + base64.urlsafe_b64encode(b"\xff\xfe").decode() + ".e30.c2ln")]
+
+
+def test_op5_private_keys_and_tokens():
+    body = "\n".join("MIIEpAIBAAKCAQEA" + "x" * 48 for _ in range(5))
+    whole = [
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,5D3A\n\n{body}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: some-thing 1.0\n\n{body}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----",
+        f"-----BEGIN PRIVATE KEY-----\r\n{body}",
+        "github_pat_" + "A1" * 11 + "_" + "b2" * 29 + "c",
+    ]
+    scan = secretscan.scanner().spans
+    for text in whole:
+        for around in ("{}", "before {} after", "{}\n\n{}"):
+            full = around.replace("{}", text)
+            out = secretscan.redacted(full, scan(full))
+            assert "MII" not in out and "github" not in out and "KEY" not in out, out
+            assert out.split() == around.replace("{}", "[secret]").split()
+
+
+def test_op5_texts_of_megabytes():
+    scan = secretscan.scanner().spans
+    for part in ("-----BEGIN PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY----- a-b ", "eyJ", "password=", "token: \"", "0123456789abcdef ", "AKIA"):
+        text = part * (2_000_000 // len(part))
+        assert [x for x in scan(text) if x[0] in secretscan.BASE] == base_spans(text)
+
+
 def test_op5_table_and_redaction(docs):
     table = docs(ODD, CLASHES)
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secretscan.scan(table).collect()}
@@ -346,6 +379,64 @@ def test_op7_long_windows_take_the_unpacked_way(docs, monkeypatch):
         assert r.n_repeat_words == counts(texts[r.doc_id])[4]
 
 
+def test_op7_windows_of_equal_high_bits(docs, monkeypatch):
+    """With four bits of each hash in the sort, different windows share them all the time."""
+    monkeypatch.setattr(quality, "POSITION_BITS", 60)
+    rng = random.Random(15)
+    texts = ["a b c a b c a b c", *(" ".join(rng.choices("abcde", k=rng.randrange(80))) for _ in range(60)), " ".join(map(str, range(300))) + " 7 8 9"]
+    for r in quality.text_counts(docs(texts)).collect():
+        assert r.n_repeat_words == counts(texts[r.doc_id])[4], r.doc_id
+
+
+def test_op7_very_long_texts(docs):
+    rng = random.Random(16)
+    texts = [" ".join(f"w{rng.randrange(700)}" for _ in range(150_000)), "one two three " * 40_000]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for r in quality.text_counts(docs(texts)).collect():
+        assert tuple(r[n] for n in names) == counts(texts[r.doc_id])
+
+
+def test_op7_equals_plain_em(docs, spark):
+    """The model and its posteriors against expectation maximisation over single documents in plain Python."""
+    rng = random.Random(17)
+    names = list(quality.RULES)
+    ways = [way for way, _ in quality.RULES.values()]
+    rows = []
+    for _ in range(400):
+        good = rng.random() < 0.7
+        rows.append([int(rng.random() < ((0.05 if good else 0.5) if way < 0 else (0.9 if good else 0.4))) for way in ways])
+    table = spark.createDataFrame(
+        [(k, *(w * v for w, v in zip(ways, row, strict=True))) for k, row in enumerate(rows)], "id int, " + ", ".join(f"vote_{x} int" for x in names)
+    )
+    model, share = quality.fit(table)
+
+    def p_good(row, chance, share):
+        g, b = share, 1 - share
+        for v, (cg, cb) in zip(row, chance, strict=True):
+            g, b = g * (cg if v else 1 - cg), b * (cb if v else 1 - cb)
+        return g / (g + b)
+
+    chance, s, extra = [quality.START[way] for way in ways], 0.8, 1 + quality.PRIOR_WEIGHT * len(rows)
+    for _ in range(quality.ITERATIONS):
+        p = [p_good(row, chance, s) for row in rows]
+        new = []
+        for k, way in enumerate(ways):
+            hits = [sum(q for q, row in zip(w, rows, strict=True) if row[k]) + extra * quality.START[way][side] for side, w in enumerate((p, [1 - q for q in p]))]
+            of = [sum(p) + extra, len(p) - sum(p) + extra]
+            pair = (hits[0] / of[0], hits[1] / of[1])
+            if (pair[0] > pair[1]) == (way < 0) and pair[0] != pair[1]:
+                pair = (sum(hits) / sum(of),) * 2
+            new.append(tuple(min(0.999, max(1e-4, x)) for x in pair))
+        moved, chance, s = max(abs(x - y) for a, b in zip(new, chance, strict=True) for x, y in zip(a, b, strict=True)), new, (sum(p) + 0.8 * extra) / (len(p) + extra)
+        if moved < quality.SETTLED:
+            break
+    assert math.isclose(share, s, abs_tol=1e-9)
+    for x, pair in zip(names, chance, strict=True):
+        assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(model[x], pair, strict=True)), x
+    for r in table.withColumn("p", quality.posterior(model, share)).collect():
+        assert math.isclose(r.p, p_good(rows[r.id], chance, s), abs_tol=1e-9)
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choices("aeinorstl", k=rng.randint(2, 8))) for _ in range(n)) + "."
 
