@@ -8,15 +8,16 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigtok.functions import scalar as S
 from sigtok.operators import codecs, network, quality
 from sigtok.operators.windows import chunk_plan, samples
 from sigtok.plans import pipeline
 from sigtok.profile import SMALL, NetworkConfig, Profile
-from sigtok.schema import READ_META, RUN_INFO
+from sigtok.schema import END_REASONS, PAIRS, READ_META, RUN_INFO, RUN_INFO_RANGES, RUN_INFO_TEXTS
 from sigtok.sources import adapters, tokens
 from sigtok.streaming import windows as streams
 
@@ -25,47 +26,50 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; a temporary one only where master and driver are one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="sigtok-work-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Floats that must come back bit by bit; every eighth read has one of them in a field.
+ODD_FLOATS = ("-0.0", "Infinity", "-Infinity", "NaN")
+
+
+def _field(name: str, kind: T.DataType) -> Column:
+    """A value of a field's whole range by the hash of the read and the field's name."""
+    h = F.xxhash64("read_pos", F.lit(name))
+    if isinstance(kind, T.StringType):
+        return F.concat(F.lit(f"{name} äß漢 "), F.pmod(h, F.lit(3)).cast("string"))
+    if isinstance(kind, T.BooleanType):
+        return F.pmod(h, F.lit(2)) == 0
+    if isinstance(kind, T.FloatType):
+        odd = F.get(F.array(*(F.lit(x).cast("float") for x in ODD_FLOATS)), F.pmod(h, F.lit(8 * len(ODD_FLOATS))).cast("int"))
+        return F.coalesce(odd, (h / 2**40).cast("float"))
+    bits = min(62, 8 * tokens.META[name].itemsize)
+    return F.pmod(h, F.lit(1 << bits)).cast(kind)
+
+
 def full_reads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Event reads with every metadata field, and their run infos."""
-    at = F.col("read_pos")
-    given = {
+    """Event reads with every metadata field, and their run infos: two, made of each field's name and type."""
+    by_hash = {f.name: _field(f.name, f.dataType) for f in READ_META.fields if f.name in tokens.META.names or f.name == "pore_type"}
+    which = F.pmod("read_pos", F.lit(2)).cast("string")
+    given = by_hash | {
         "file": F.lit("events"),
-        "read_id": F.unhex(F.md5(at.cast("string"))),
-        "read_number": at + 100_000,
-        "start_sample": at * 5000 + (1 << 40),
-        "channel": (1 + at % 3000).cast("int"),
-        "well": (1 + at % 4).cast("short"),
-        "pore_type": F.when(at % 2 == 0, "R10 ☃").otherwise("not_set"),
+        "read_id": F.unhex(F.md5(F.col("read_pos").cast("string"))),
+        "num_samples": F.col("num_samples"),
         "calibration_offset": F.col("offset"),
         "calibration_scale": F.col("scale"),
-        "median_before": F.when(at % 5 == 1, float("nan")).otherwise(at + 200.5).cast("float"),
-        "end_reason": F.when(at % 3 == 0, "signal_positive").otherwise("unknown"),
-        "end_reason_forced": at % 2 == 1,
-        "acquisition_id": F.concat(F.lit("acq-"), (at % 2).cast("string")),
-        "num_minknow_events": at * 7,
-        "tracked_scaling_scale": F.when(at == 2, float("inf")).otherwise(2.5).cast("float"),
-        "tracked_scaling_shift": F.lit(float("nan")).cast("float"),
-        "predicted_scaling_scale": F.lit(3.25).cast("float"),
-        "predicted_scaling_shift": F.lit(-0.0).cast("float"),
-        "num_reads_since_mux_change": at,
-        "time_since_mux_change": (at * 0.125).cast("float"),
-        "open_pore_level": F.lit(220.25).cast("float"),
+        "end_reason": F.element_at(F.array(*map(F.lit, END_REASONS)), (F.pmod("read_pos", F.lit(len(END_REASONS))) + 1).cast("int")),
+        "acquisition_id": F.concat(F.lit("run-"), which),
     }
     reads = adapters.event_reads(spark, sf).withColumns(given).select(*READ_META.names, "signal", "offset", "scale")
     infos = []
     for k in range(2):
-        row = {f.name: "" for f in RUN_INFO.fields} | {
-            "acquisition_id": f"acq-{k}", "sample_id": "sample ☃", "acquisition_start_time_ms": 1735787045123 + k,
-            "protocol_start_time_ms": -5, "adc_min": -4096, "adc_max": 4095, "sample_rate": 5000,
-            "context_tags": [("dup", "1"), ("dup", "2"), ("exp", "é✓")], "tracking_id": [("empty", "")],
-        }
+        row = {n: f"{n} äß漢" for n in RUN_INFO_TEXTS} | {n: bounds[k] for n, bounds in RUN_INFO_RANGES.items()}
+        row |= {"acquisition_id": f"run-{k}", "sample_rate": SMALL.sample_rate_hz}
+        row |= {f.name: [("twice", "a"), ("twice", "b"), ("", "")][k:] for f in RUN_INFO.fields if f.dataType == PAIRS}
         infos.append(tuple(row[n] for n in RUN_INFO.names))
     return reads, spark.createDataFrame(infos, RUN_INFO)
 

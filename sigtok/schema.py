@@ -12,25 +12,33 @@ PAIRS = T.ArrayType(
     T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]), False
 )
 
-_TEXTS = (
-    "acquisition_id", "experiment_name", "flow_cell_id", "flow_cell_product_code", "protocol_name", "protocol_run_id",
-    "sample_id", "sequencing_kit", "sequencer_position", "sequencer_position_type", "software", "system_name", "system_type",
-)
-
+# A run info's fields in the format's order.
 RUN_INFO = T.StructType(
-    [T.StructField(n, T.StringType()) for n in _TEXTS]
-    + [
+    [
+        T.StructField("acquisition_id", T.StringType()),
         T.StructField("acquisition_start_time_ms", T.LongType()),
-        T.StructField("protocol_start_time_ms", T.LongType()),
-        T.StructField("adc_min", T.ShortType()),
         T.StructField("adc_max", T.ShortType()),
-        T.StructField("sample_rate", T.IntegerType()),
+        T.StructField("adc_min", T.ShortType()),
         T.StructField("context_tags", PAIRS),
+        T.StructField("experiment_name", T.StringType()),
+        T.StructField("flow_cell_id", T.StringType()),
+        T.StructField("flow_cell_product_code", T.StringType()),
+        T.StructField("protocol_name", T.StringType()),
+        T.StructField("protocol_run_id", T.StringType()),
+        T.StructField("protocol_start_time_ms", T.LongType()),
+        T.StructField("sample_id", T.StringType()),
+        T.StructField("sample_rate", T.IntegerType()),
+        T.StructField("sequencing_kit", T.StringType()),
+        T.StructField("sequencer_position", T.StringType()),
+        T.StructField("sequencer_position_type", T.StringType()),
+        T.StructField("software", T.StringType()),
+        T.StructField("system_name", T.StringType()),
+        T.StructField("system_type", T.StringType()),
         T.StructField("tracking_id", PAIRS),
     ]
 )
-RUN_INFO_TEXTS = _TEXTS
-#: Bounds of integer fields, both included.
+RUN_INFO_TEXTS = tuple(f.name for f in RUN_INFO.fields if isinstance(f.dataType, T.StringType))
+#: Bounds of integer fields, both included.
 RUN_INFO_RANGES = {
     "acquisition_start_time_ms": (-(2**63), 2**63 - 1),
     "protocol_start_time_ms": (-(2**63), 2**63 - 1),
@@ -39,6 +47,7 @@ RUN_INFO_RANGES = {
     "sample_rate": (0, 2**16 - 1),
 }
 
+# Names and widths of a read's fields.
 READ_META = T.StructType(
     [
         T.StructField("file", T.StringType()),
@@ -72,7 +81,7 @@ CHUNKS = "read_pos long, seq int, start long, valid int"
 TOKENS = "read_pos long, seq int, center float, scale float, codes array<int>"
 CODEBOOK = "code int, vec array<float>"
 
-#: How reads may end.
+#: How reads may end.
 END_REASONS = (
     "unknown", "mux_change", "unblock_mux_change", "data_service_unblock_mux_change", "signal_positive",
     "signal_negative", "api_request", "device_data_error", "analysis_config_change", "paused",

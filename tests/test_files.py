@@ -13,6 +13,7 @@ from sigtok.operators import codecs
 from sigtok.plans import demo, pipeline
 from sigtok.profile import SMALL
 from sigtok.schema import RUN_INFO
+from sigtok.shapes import Text, Whole, checked
 from sigtok.sources import tokens
 from sigtok.sources.output import AtomicFile
 
@@ -160,13 +161,15 @@ def test_json_values():
     assert tokens.dumps({"b": 1, "a": "é"}) == '{"a":"é","b":1}'.encode()
     for bad in (True, 1.0, "1", -1, 11):
         with pytest.raises(SigtokError):
-            tokens.integer(bad, "it", 0, 10)
+            checked(bad, Whole(0, 10), "it")
     for bad in (1, "\ud800", "x" * 300):
         with pytest.raises(SigtokError):
-            tokens.text(bad, "it", 256)
+            checked(bad, Text(256), "it")
+    right = tokens.run_info_json(info())
+    assert tokens.run_info_row(checked(right, tokens.RUN_INFO_SHAPE, "it")) == info()
     for key, value in (("sample_rate", 70000), ("adc_min", True), ("context_tags", [["a"]]), ("context_tags", {}), ("software", 3)):
         with pytest.raises(SigtokError):
-            tokens.parse_run_info(tokens.run_info_json(info()) | {key: value}, "it")
+            checked(right | {key: value}, tokens.RUN_INFO_SHAPE, "it")
     with pytest.raises(SigtokError):
         tokens.parse_group(json.dumps({"read_count": 1, "run_infos": [], "pore_types": ["a"], "end_reasons": ["b"]}).encode(), 0)
 
@@ -246,8 +249,8 @@ def test_encode_and_decode_files(spark, data, tmp_path):
 
 def test_missing_run_info_is_an_error(spark, data):
     reads, run_info = demo.full_reads(spark, data)
-    one = run_info.where("acquisition_id = 'acq-0'")
-    with pytest.raises(Exception, match="no run info acq-1"):
+    one = run_info.where("acquisition_id = 'run-0'")
+    with pytest.raises(Exception, match="no run info run-1"):
         pipeline.stored_reads(reads, one, pipeline.encode(reads, codecs.MeanQuant(SMALL), SMALL), SMALL).collect()
 
 
