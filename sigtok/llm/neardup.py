@@ -417,3 +417,32 @@ def drop_near_duplicates(
 
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: All pairs that share a shingle, and all that each document reaches: for small tables.
+OP2_SQL = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents WHERE text IS NOT NULL
+), shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM worded WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+    SELECT a.doc_id AS u, b.doc_id AS v
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+         JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n
+    HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reached AS (
+    SELECT doc_id AS start, doc_id AS node FROM sizes
+    UNION
+    SELECT r.start, l.v FROM reached r JOIN links l ON l.u = r.node
+), smallest AS (
+    SELECT start, min(node) AS component FROM reached GROUP BY start
+)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, coalesce(c.component, d.doc_id) AS component_id,
+       coalesce(c.component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes z USING (doc_id) LEFT JOIN smallest c ON c.start = d.doc_id
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sigtok.llm.licenses import op1_license_scan
 from sigtok.llm.linedup import OP4_SQL, op4_suffix_lines
 from sigtok.llm.media import op3_jpeg_thumbnails
-from sigtok.llm.neardup import op2_bbit_minhash
+from sigtok.llm.neardup import OP2_SQL, op2_bbit_minhash
 from sigtok.llm.packing import op9_large_item_packing
 from sigtok.llm.pieces import op8_prefix_table
 from sigtok.llm.quality import op7_weak_supervision
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bfd_shards": op10_bfd_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_suffix_lines": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_bbit_minhash": OP2_SQL, "op4_suffix_lines": OP4_SQL}
