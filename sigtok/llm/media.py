@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtok.llm.common import batch_map, documents, whole_text
+from sigtok.llm.common import batch_map, documents, whole_text, write_shared
 
 ROW = 64
 MAX_ROWS = 8191
@@ -347,18 +347,52 @@ def store(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 FEATURES = (
     "doc_id long, width long, height long, n_bytes long, payload_bytes long, payload_sha256 string, "
-    "tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    "tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 )
+#: What broken bytes raise in parsing and decoding.
+UNREADABLE = (ValueError, LookupError, ArithmeticError, struct.error)
+
+
+def _read(media_list: list[bytes | None]) -> list[tuple[list[Picture], str | None]]:
+    """(decoded files, None) or ([], what is wrong) of each medium; one that is broken spoils no other."""
+
+    def reason(e: Exception) -> str:
+        return str(e) or type(e).__name__
+
+    found: list[tuple[list[Picture], str | None]] = []
+    for m in media_list:
+        try:
+            pictures = [] if m is None else parse(m)
+            if any(not p.width or not p.height for p in pictures):
+                raise ValueError("a picture without samples")
+            found.append((pictures, None if pictures else "no medium"))
+        except UNREADABLE as e:
+            found.append(([], reason(e)))
+    try:
+        decode([p for pictures, _ in found for p in pictures])
+    except UNREADABLE:  # one of them is broken: each by itself then
+        for k, (pictures, _) in enumerate(found):
+            try:
+                decode(pictures)
+            except UNREADABLE as e:
+                found[k] = ([], reason(e))
+    return found
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What the stored media hold: dimensions, the thumbnail's bytes in digest, and its hash."""
+    """What the stored media hold: dimensions, the thumbnail's bytes in digest, and its hash.
+
+    A null or empty medium, and one that isn't whole baseline JPEG with one interleaved scan, gives nulls
+    but for its own bytes, and says why in ``error``, which is null elsewhere.
+    """
 
-    def digest(media_list: list[bytes]) -> list[tuple]:
-        parsed = [parse(m) for m in media_list]
-        decode([p for pictures in parsed for p in pictures])
+    def digest(media_list: list[bytes | None]) -> list[tuple]:
         rows = []
-        for m, pictures in zip(media_list, parsed, strict=True):
+        for m, (pictures, error) in zip(media_list, _read(media_list), strict=True):
+            own = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+            if error:
+                rows.append((*(None,) * 6, *own, None, error))
+                continue
             thumbs = [p.thumbnail for p in pictures]
             payload = b"".join(t.tobytes() for t in thumbs)
             width, height = pictures[0].width, sum(p.height for p in pictures)
@@ -367,7 +401,7 @@ def features(media: DataFrame) -> DataFrame:
             shape = thumbs[0] if len(thumbs) == 1 or len({t.shape[1] for t in thumbs}) > 1 else np.concatenate(thumbs)
             rows.append(
                 (width, height, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]),
-                 len(m), hashlib.sha256(m).hexdigest(), f"{width}x{height}:{average_hash(shape)}")
+                 *own, f"{width}x{height}:{average_hash(shape)}", None)
             )
         return rows
 
@@ -381,7 +415,7 @@ def features(media: DataFrame) -> DataFrame:
                 held, size, first = [], 0, at
                 while at < batch.num_rows and (not held or size < BATCH_BYTES):
                     held.append(batch.column(1)[at].as_py())
-                    size += len(held[-1])
+                    size += len(held[-1] or b"")
                     at += 1
                 rows = digest(held)
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -391,4 +425,4 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def op3_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(documents(spark, sf_dir)))
+    return features(write_shared(store(documents(spark, sf_dir)), "media"))

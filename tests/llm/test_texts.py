@@ -185,6 +185,32 @@ def test_op3_broken_media():
         media.parse(b"\x89PNG")
 
 
+def test_op3_broken_media_spoil_no_others(spark):
+    good = media.encode(b"a text that stays whole " * 9)
+    progressive = good.replace(b"\xff\xc0", b"\xff\xc2", 1)
+    no_tables = good.replace(b"\xff\xc4", b"\xff\xe4", 1)
+    no_rows = good.replace(b"\x08\x00\x20\x02\x00", b"\x08\x00\x00\x02\x00", 1)
+    broken = [None, b"", b"\x89PNG", good[:-40], good[:90], progressive, no_tables, no_rows, b"\xff\xd8\xff", bytes(range(256))]
+    assert len({*broken[1:], good}) == len(broken)
+    rows = [(k, m) for k, m in enumerate([good, *broken, good])]
+    got = {r.doc_id: r for r in media.features(spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)).collect()}
+    assert got[0].error is None and got[0].n_bytes == 216 and got[0].asDict() | {"doc_id": 11} == got[11].asDict()
+    for k, m in rows[1:-1]:
+        assert got[k].error and got[k].feature is None and got[k].n_bytes is None, k
+        assert got[k].media_bytes == (None if m is None else len(m))
+
+
+def test_op3_query_reads_what_it_stored(spark, data, monkeypatch):
+    stored = []
+    keep = media.write_shared
+    monkeypatch.setattr(media, "write_shared", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    got = {r.doc_id: r for r in media.op3_jpeg_thumbnails(spark, data).collect()}
+    (table,) = stored
+    for r in table.collect():
+        assert got[r.doc_id].media_sha256 == hashlib.sha256(r.media).hexdigest() and got[r.doc_id].error is None
+    assert len(got) == table.count()
+
+
 # ---- op4
 
 
