@@ -12,6 +12,7 @@ from sigtok.llm.media import op3_jpeg_thumbnails
 from sigtok.llm.neardup import OP2_SQL, op2_bbit_minhash
 from sigtok.llm.packing import op9_large_item_packing
 from sigtok.llm.pieces import op8_prefix_table
+from sigtok.llm.prefixbpe import op11_prefix_bpe
 from sigtok.llm.quality import op7_weak_supervision
 from sigtok.llm.secretscan import op5_keyword_secrets
 from sigtok.llm.sharding import op10_bfd_shards
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_table": op8_prefix_table,
     "op9_large_item_packing": op9_large_item_packing,
     "op10_bfd_shards": op10_bfd_shards,
+    "op11_prefix_bpe": op11_prefix_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_bbit_minhash": OP2_SQL, "op4_suffix_lines": OP4_SQL}
