@@ -17,6 +17,7 @@ from sigtok.llm.quality import op7_weak_supervision
 from sigtok.llm.secretscan import op5_keyword_secrets
 from sigtok.llm.sharding import op10_bfd_shards
 from sigtok.llm.tokenfile import op6_orc_tokens
+from sigtok.llm.whitening import op12_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_large_item_packing": op9_large_item_packing,
     "op10_bfd_shards": op10_bfd_shards,
     "op11_prefix_bpe": op11_prefix_bpe,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_bbit_minhash": OP2_SQL, "op4_suffix_lines": OP4_SQL}
