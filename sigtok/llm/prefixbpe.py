@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from codecs import charmap_decode
 from functools import cache
 
 import public_tokenizers
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sigtok.llm.common import arrow_map, documents, whole_text
 from sigtok.llm.tokenfile import id_lists
-from sigtok.llm.wordcache import Cache, loaded, packed
+from sigtok.llm.wordcache import Cache, byte_symbols, loaded, packed
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Stands for a word's end; no byte has it as its symbol.
@@ -44,7 +45,9 @@ NEVER = 1 << 62
 class PrefixTable(Cache):
     """A word in byte symbols -> id bytes, by its prefix table."""
 
-    budget = 16 << 20
+    budget = 24 << 20
+    #: Pairs of tokens whose seam is kept as known; others are tested again.
+    max_pairs = 200_000
 
     def __init__(self, model: dict) -> None:
         import ahocorasick
@@ -63,10 +66,11 @@ class PrefixTable(Cache):
             self._rank[left << 32 | right] = rank
         self.right_side, self.left_side = cache(self._right_side), cache(self._left_side)
         self.own = cache(self._own)
+        self._apart: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, i in self.vocab.items():
             word = token.removesuffix(suffix) + END if token.endswith(suffix) else token
-            if len(token) > len(suffix) or word == token:
+            if (len(token) > len(suffix) or word == token) and self.own(i):
                 self.automaton.add_word(word, (i, len(word)))
         self.automaton.make_automaton()
 
@@ -109,28 +113,45 @@ class PrefixTable(Cache):
         a, b = self._parts[token]
         return self.own(a) and self.own(b) and self.seam(a, b) == self._made(token)
 
+    def _stay_apart(self, pair: int) -> bool:
+        known = self.seam(pair >> 32, pair & 0xFFFFFFFF) == NEVER
+        if len(self._apart) < self.max_pairs:
+            self._apart[pair] = known
+        return known
+
     def _make(self, word: str) -> bytes:
         """Last tokens of all prefixes, then the ids backwards from the end."""
         text = word + END
-        last, sizes = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        own, seam = self.own, self.seam
+        last: list[int | None] = [None] * (len(text) + 1)
+        starts = [0] * (len(text) + 1)
+        known, test = self._apart.get, self._stay_apart
         for end, (token, size) in self.automaton.iter(text):
             end += 1
-            if last[end] < 0 and own(token):
+            if last[end] is None:
                 start = end - size
-                if not start or (last[start] >= 0 and seam(last[start], token) == NEVER):
-                    last[end], sizes[end] = token, size
+                if start:
+                    before = last[start]
+                    if before is None:
+                        continue
+                    pair = before << 32 | token
+                    apart = known(pair)
+                    if apart is None:
+                        apart = test(pair)
+                    if not apart:
+                        continue
+                last[end], starts[end] = token, start
         ids, at = [], len(text)
         while at:
             ids.append(last[at])
-            at -= sizes[at]
-        return packed(ids[::-1])
+            at = starts[at]
+        ids.reverse()
+        return packed(ids)
 
 
 class WordEndBpe(Cache):
     """What stands between two spaces or line ends -> id bytes."""
 
-    budget = 16 << 20
+    budget = 24 << 20
     #: Letters that are one class to the pre-tokenizer, in a form that normalizing keeps, and a run of marks.
     _plain = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
@@ -150,6 +171,8 @@ class WordEndBpe(Cache):
         self._added = {text: packed([i]) for text, i in added.items()}
         longest_first = sorted(added, key=len, reverse=True)
         self._cut = re.compile(f"({'|'.join(map(re.escape, longest_first)) or '(?!)'})").split
+        symbols = byte_symbols()
+        self._symbols = "".join(symbols[b] for b in range(256))
         self.words = PrefixTable(stated["model"])
         self._names = [tokenizer.id_to_token(i).encode() for i in range(tokenizer.get_vocab_size())]
 
@@ -157,7 +180,7 @@ class WordEndBpe(Cache):
         words, parts = self.words, self._cut(unit)
         if len(parts) == 1 and (found := self._plain(unit)):
             word, tail = found.groups()
-            out = b"".join(words[p] for p, _ in self._pieces(word.lower())) if word else b""
+            out = words[charmap_decode(word.lower().encode(), "strict", self._symbols)[0]] if word else b""
             return out + words[tail] if tail else out
         ids = (self._added.get(x) or b"".join(words[p] for p, _ in self._pieces(self._normalize(x))) for x in parts if x)
         return b"".join(ids)
