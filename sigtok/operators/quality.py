@@ -15,20 +15,27 @@ from pyspark.sql import functions as F
 
 from sigtok.functions import scalar as S
 from sigtok.operators.arrow import from_lists
+from sigtok.operators.selection import quantiles
 from sigtok.profile import PROFILE, Profile
+from sigtok.session import stored
 
 
 def input_stats(reads: DataFrame, p: Profile = PROFILE) -> DataFrame:
+    """One row on the lengths; percentiles by selection, so ``reads`` is read a few times."""
     n, k = F.col("num_samples"), S.chunk_count(F.col("num_samples"), p)
-    q = F.percentile(n, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return reads.agg(
+    names = ("p5", "p50", "p95")
+    marks = quantiles(reads, "num_samples", dict(zip(names, (0.05, 0.5, 0.95), strict=True)))
+    totals = reads.agg(
         F.count(F.lit(1)).alias("reads"),
         F.sum(n).alias("samples"),
         F.sum(k).alias("chunks"),
-        *(F.floor(q[i]).cast("long").alias(name) for i, name in enumerate(("p5", "p50", "p95"))),
         F.round(F.avg((n < p.chunk_samples).cast("double")), 9).alias("short_read_share"),
         F.round(F.avg(k), 9).alias("chunks_per_read_mean"),
     )
+    one = totals.join(marks, F.lit(True))  # one row each
+    return one.select(
+        "reads", "samples", "chunks", *(F.floor(q).cast("long").alias(q) for q in names), "short_read_share", "chunks_per_read_mean"
+    )
 
 
 def errors(original: DataFrame, back: DataFrame) -> DataFrame:
@@ -153,7 +160,7 @@ def per_read(errs: DataFrame) -> DataFrame:
 
 def mae_percentiles(reads: DataFrame) -> DataFrame:
     marks = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    return reads.agg(*(F.percentile("mae", F.lit(v)).alias(k) for k, v in marks.items()))
+    return quantiles(stored(reads.select("mae"), "read-mae"), "mae", marks)
 
 
 def by_length(reads: DataFrame) -> DataFrame:
@@ -164,13 +171,12 @@ def by_length(reads: DataFrame) -> DataFrame:
 
 def by_level(reads: DataFrame) -> DataFrame:
     """Means by quarter of the reads' std: the quartiles themselves belong to the quarter above."""
-    q = reads.agg(F.percentile("std", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    rows = stored(reads.select("std", "mae"), "read-levels")
+    edges = quantiles(rows, "std", {"a": 0.25, "b": 0.5, "c": 0.75}).first()
     std = F.col("std")
-    level = F.lit(1) + sum(((std >= F.col("q")[i]).cast("int") for i in range(3)), F.lit(0))
-    return (
-        reads.crossJoin(F.broadcast(q))  # one row
-        .groupBy(level.alias("quarter"))
-        .agg(F.count(F.lit(1)).alias("reads"), F.avg("std").alias("pa_std_mean"), F.avg("mae").alias("mean_read_mae"))
+    level = F.lit(1) + sum(((std >= F.lit(edge).cast("double")).cast("int") for edge in edges), F.lit(0))
+    return rows.groupBy(level.alias("quarter")).agg(
+        F.count(F.lit(1)).alias("reads"), F.avg("std").alias("pa_std_mean"), F.avg("mae").alias("mean_read_mae")
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sigtok.functions import scalar as S
 from sigtok.operators import checks, codecs, grouping, normalize, quality, quantize, stitch, windows
 from sigtok.operators.network import to_half
+from sigtok.operators.selection import quantiles
 from sigtok.plans import pipeline
 from sigtok.profile import PROFILE, RELEASED_NETWORK, SMALL
 from sigtok.sources import adapters as A
@@ -100,8 +101,8 @@ def input_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {LENGTHS} SELECT round(quantile_cont(n, 0.05), 6) AS p5, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.95), 6) AS p95 FROM lens""")
 def length_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.col("num_samples")
-    return A.read_lengths(spark, sf).agg(*(r(F.percentile(n, F.lit(q))).alias(k) for k, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))))
+    q = quantiles(A.read_lengths(spark, sf), "num_samples", {"p5": 0.05, "p50": 0.5, "p95": 0.95})
+    return q.select(*(r(c).alias(c) for c in q.columns))
 
 
 @query("SELECT round(avg((n_chars < 8192)::INT), 9) AS share, count(*) FILTER (n_chars < 8192) AS short_reads FROM documents")

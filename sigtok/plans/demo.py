@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,21 +14,11 @@ from sigtok.operators.windows import chunk_plan, samples
 from sigtok.plans import pipeline
 from sigtok.profile import SMALL, NetworkConfig, Profile
 from sigtok.schema import END_REASONS, PAIRS, READ_META, RUN_INFO, RUN_INFO_RANGES, RUN_INFO_TEXTS
+from sigtok.session import work_path
 from sigtok.sources import adapters, tokens
 from sigtok.streaming import windows as streams
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a temporary one only where master and driver are one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="sigtok-work-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 #: Floats that must come back bit by bit; every eighth read has one of them in a field.
 ODD_FLOATS = ("-0.0", "Infinity", "-Infinity", "NaN")
 
