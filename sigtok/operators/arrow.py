@@ -50,3 +50,24 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.T
             last = now
     if held:
         yield pa.Table.from_batches(held)
+
+
+def refilled(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows``, whatever the batches they came in; only the last may be shorter."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, rows - n)
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            n += part.num_rows
+            if n == rows:
+                yield _joined(held)
+                held, n = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

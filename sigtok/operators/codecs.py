@@ -6,14 +6,15 @@ plain objects that pickle; ``register`` makes more of them known by name.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sigtok.operators.arrow import from_lists, matrix, to_lists
+from sigtok.operators.arrow import from_lists, matrix, refilled, to_lists
 from sigtok.operators.quantize import search
 from sigtok.profile import PROFILE, Profile
 
@@ -89,22 +90,21 @@ register("mean-quant", MeanQuant, "segment means, quantized")
 register("identity", lambda p: Identity(), "lossless, for checks")
 
 
-def encode_windows(prepared: DataFrame, codec: Codec, batch: int = BATCH) -> DataFrame:
-    """(read_pos, seq, center, scale, codes) of prepared windows, where they are: no shuffle."""
+def encode_windows(prepared: DataFrame, codec: Codec, batch: int = BATCH, carry: Sequence[str] = ()) -> DataFrame:
+    """(read_pos, seq, center, scale, codes, carry...) of prepared windows, where they are: no shuffle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, batch):
-                part = whole.slice(at, batch)
-                codes = codec.encode(matrix(part.column(4)).astype(np.float32))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:4], to_lists(list(codes), pa.int32())], ["read_pos", "seq", "center", "scale", "codes"]
-                )
+    The codec sees ``batch`` windows a call, over the edges of reads and Arrow batches, but for a partition's last.
+    """
+    columns = prepared.select("read_pos", "seq", "center", F.col("half").alias("scale"), "y", *carry)
+    names = ["read_pos", "seq", "center", "scale", "codes", *carry]
 
-    from pyspark.sql import functions as F
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in refilled(batches, batch):
+            codes = codec.encode(matrix(part.column(4)).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], to_lists(list(codes), pa.int32()), *part.columns[5:]], names)
 
-    columns = prepared.select("read_pos", "seq", "center", F.col("half").alias("scale"), "y")
-    return columns.mapInArrow(run, "read_pos long, seq int, center float, scale float, codes array<int>")
+    more = [f"{c} {columns.schema[c].dataType.simpleString()}" for c in carry]
+    return columns.mapInArrow(run, ", ".join(["read_pos long, seq int, center float, scale float, codes array<int>", *more]))
 
 
 def decode_windows(tokens: DataFrame, codec: Codec, batch: int = BATCH) -> DataFrame:
@@ -112,13 +112,11 @@ def decode_windows(tokens: DataFrame, codec: Codec, batch: int = BATCH) -> DataF
     rest = [c for c in tokens.columns if c != "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, batch):
-                part = whole.slice(at, batch)
-                y = codec.decode(np.stack(from_lists(part.column(len(rest)))))
-                if not np.isfinite(y).all():
-                    raise ValueError("the decoder gave values that aren't finite")
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], to_lists(list(y), pa.float32())], [*rest, "y"])
+        for part in refilled(batches, batch):
+            y = codec.decode(np.stack(from_lists(part.column(len(rest)))))
+            if not np.isfinite(y).all():
+                raise ValueError("the decoder gave values that aren't finite")
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], to_lists(list(y), pa.float32())], [*rest, "y"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema if f.name != "codes")
     return tokens.select(*rest, "codes").mapInArrow(run, f"{kinds}, y array<float>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -66,16 +66,18 @@ def prepare_window(adc: np.ndarray, offset: float, scale: float, p: Profile) ->
     return reflect_fill(y, p.chunk_samples), center, half
 
 
-def prepare(reads: DataFrame, p: Profile = PROFILE) -> DataFrame:
-    """(read_pos, seq, start, valid, center, half, y): every window ready for a codec.
+def prepare(reads: DataFrame, p: Profile = PROFILE, carry: Sequence[str] = (), with_adc: bool = False) -> DataFrame:
+    """(read_pos, seq, start, valid, center, half, y[, adc], carry...): every window ready for a codec.
 
     Windows are cut inside the task that holds the read: no shuffle, and arrays cross to Python once.
+    ``carry`` names columns of the reads that go with each of their windows; ``adc`` are its own samples.
     """
+    names = ["read_pos", "seq", "start", "valid", "center", "half", "y", *["adc"] * with_adc, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, hop = p.chunk_samples, p.hop_samples
         for batch in batches:
-            pos, offset, scale = (c.to_pylist() for c in batch.columns[:3])
+            offset, scale = (c.to_pylist() for c in batch.columns[1:3])
             rows: list[tuple] = []
             size = 0
             for k, signal in enumerate(from_lists(batch.column(3))):
@@ -84,34 +86,34 @@ def prepare(reads: DataFrame, p: Profile = PROFILE) -> DataFrame:
                 for i in range(count):
                     start = min(i * hop, max(n - length, 0))
                     part = signal[start : start + length]
-                    rows.append((pos[k], i, start, len(part), *prepare_window(part, offset[k], scale[k], p)))
+                    rows.append((k, i, start, part, *prepare_window(part, offset[k], scale[k], p)))
                     size += length
                     if size >= 1 << 21:
-                        yield _prepared(rows)
+                        yield packed(batch, rows)
                         rows, size = [], 0
             if rows:
-                yield _prepared(rows)
+                yield packed(batch, rows)
 
-    columns = reads.select("read_pos", "offset", "scale", "signal")
-    return columns.mapInArrow(
-        run, "read_pos long, seq int, start long, valid int, center float, half float, y array<float>"
-    )
-
-
-def _prepared(rows: list[tuple]) -> pa.RecordBatch:
-    pos, seq, start, valid, y, center, half = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(pos, pa.int64()),
+    def packed(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        of, seq, start, parts, y, center, half = zip(*rows, strict=True)
+        at = pa.array(of, pa.int64())
+        columns = [
+            batch.column(0).take(at),
             pa.array(seq, pa.int32()),
             pa.array(start, pa.int64()),
-            pa.array(valid, pa.int32()),
+            pa.array([len(x) for x in parts], pa.int32()),
             pa.array(np.array(center), pa.float32()),
             pa.array(np.array(half), pa.float32()),
-            to_lists(list(y), pa.float32()),
-        ],
-        ["read_pos", "seq", "start", "valid", "center", "half", "y"],
-    )
+            to_lists(y, pa.float32()),
+            *([to_lists(parts, pa.int16())] if with_adc else []),
+            *(batch.column(4 + c).take(at) for c in range(len(carry))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    columns = reads.select("read_pos", "offset", "scale", "signal", *carry)
+    more = [f"{c} {columns.schema[c].dataType.simpleString()}" for c in carry]
+    fixed = "read_pos long, seq int, start long, valid int, center float, half float, y array<float>"
+    return columns.mapInArrow(run, ", ".join([fixed, *["adc array<smallint>"] * with_adc, *more]))
 
 
 __all__ = ["chunk_plan", "exploded_windows", "prepare", "prepare_window", "reflect_fill", "window_stats"]

@@ -6,7 +6,7 @@ those are grouped; ``sample_errors`` explodes reads into samples and is there to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sigtok.functions import scalar as S
 from sigtok.operators.arrow import from_lists
 from sigtok.operators.selection import quantiles
+from sigtok.operators.stitch import to_adc
 from sigtok.profile import PROFILE, Profile
 from sigtok.session import stored
 
@@ -54,12 +55,13 @@ def sample_errors(pairs: DataFrame) -> DataFrame:
     return rows.select("read_pos", "num_samples", "pos", pa_.alias("pa"), ((F.col("s.back") + F.col("offset")) * F.col("scale") - pa_).alias("err"))
 
 
-def region_codes(n: int, p: Profile = PROFILE) -> np.ndarray:
-    """The place in S.REGIONS of each sample of a read of n samples."""
+def region_codes(n: int, p: Profile = PROFILE, first: int = 0, size: int | None = None) -> np.ndarray:
+    """The place in S.REGIONS of each of ``size`` samples from ``first`` on, of a read of n samples."""
     length, hop, overlap = p.chunk_samples, p.hop_samples, p.overlap_samples
+    size = n - first if size is None else size
     if n < length:
-        return np.full(n, S.REGIONS.index("short"), dtype=np.int8)
-    pos = np.arange(n)
+        return np.full(size, S.REGIONS.index("short"), dtype=np.int8)
+    pos = np.arange(first, first + size)
     regular = (n - length) // hop + 1
     aligned_over = (regular - 1) * hop + length
     return np.select(
@@ -73,6 +75,7 @@ def region_codes(n: int, p: Profile = PROFILE) -> np.ndarray:
     ).astype(np.int8)
 
 
+SUMS_ARROW = pa.list_(pa.struct([("region", pa.string()), ("samples", pa.int64()), ("abs", pa.float64()), ("sq", pa.float64())]))
 _SUMS = "array<struct<region:string,samples:long,abs:double,sq:double>>"
 
 
@@ -102,11 +105,8 @@ def read_errors(pairs: DataFrame, p: Profile = PROFILE) -> DataFrame:
                 mae.append(np.abs(err).mean())
                 std.append(level.std())
                 sums.append(_region_sums(region_codes(len(x), p), err))
-            kind = pa.list_(
-                pa.struct([("region", pa.string()), ("samples", pa.int64()), ("abs", pa.float64()), ("sq", pa.float64())])
-            )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(mae, pa.float64()), pa.array(std, pa.float64()), pa.array(sums, kind)],
+                [*batch.columns[:2], pa.array(mae, pa.float64()), pa.array(std, pa.float64()), pa.array(sums, SUMS_ARROW)],
                 ["read_pos", "num_samples", "mae", "std", "sums"],
             )
 
@@ -123,23 +123,88 @@ def by_region(reads: DataFrame) -> DataFrame:
     )
 
 
-def region_counts(lengths: DataFrame, p: Profile = PROFILE) -> DataFrame:
-    """(region, samples, reads), from the reads' lengths alone."""
+def segment_errors(rows: DataFrame, p: Profile = PROFILE, carry: Sequence[str] = ()) -> DataFrame:
+    """(read_pos, num_samples, segment, carry..., differing, level, square, back, sums) of ``pipeline.compared`` rows.
+
+    ``level`` and ``square`` sum the samples and their squares, exactly, and ``back`` what came back; ``sums``
+    has the errors by region as ``read_errors`` has them for whole reads.
+    """
+    hop = p.hop_samples
+    columns = rows.select("read_pos", "num_samples", "segment", "offset", "scale", "adc", "pa", *carry)
+    names = ["read_pos", "num_samples", "segment", "offset", "scale", *carry, "differing", "level", "square", "back", "sums"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            samples = np.zeros(len(S.REGIONS), dtype=np.int64)
-            reads = np.zeros(len(S.REGIONS), dtype=np.int64)
-            for n in batch.column(0).to_pylist():
-                count = np.bincount(region_codes(n, p), minlength=len(S.REGIONS))
-                samples += count
-                reads += count > 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(S.REGIONS), pa.array(samples), pa.array(reads)], ["region", "samples", "reads"]
-            )
+            if not batch.num_rows:
+                continue
+            n, segment, offset, scale = (batch.column(k).to_numpy() for k in (1, 2, 3, 4))
+            figures, sums = [], []
+            for k, (x, v) in enumerate(zip(from_lists(batch.column(5)), from_lists(batch.column(6)), strict=True)):
+                if len(x) != min(hop, n[k] - segment[k] * hop):
+                    raise ValueError(f"samples without a window in read {batch.column(0)[k]}")
+                y = to_adc(v, offset[k], scale[k])
+                o, s = float(offset[k]), float(scale[k])
+                err = (y.astype(np.float64) + o) * s - (x.astype(np.float64) + o) * s
+                x = x.astype(np.int64)
+                figures.append(((x != y).sum(), x.sum(), (x * x).sum(), y.astype(np.int64).sum()))
+                sums.append(_region_sums(region_codes(int(n[k]), p, int(segment[k]) * hop, len(x)), err))
+            whole = [pa.array(c, pa.int64()) for c in zip(*figures, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *batch.columns[7:], *whole, pa.array(sums, SUMS_ARROW)], names)
+
+    more = [f"{c} {columns.schema[c].dataType.simpleString()}" for c in carry]
+    kinds = ["read_pos long, num_samples long, segment long, offset float, scale float", *more]
+    return columns.mapInArrow(run, ", ".join([*kinds, f"differing long, level long, square long, back long, sums {_SUMS}"]))
+
+
+def errors_by_read(segments: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(read_pos, num_samples, carry..., mae, std) from ``segment_errors``; std from exact sums of the samples."""
+    n = F.col("num_samples").cast("double")
+    absolute = F.aggregate("sums", F.lit(0.0), lambda a, s: a + s["abs"])
+    reads = segments.groupBy("read_pos", "num_samples", *carry).agg(
+        F.sum(absolute).alias("abs"), F.sum("level").alias("level"), F.sum("square").alias("square"), F.max(F.abs("scale")).alias("scale")
+    )
+    whole = F.col("num_samples").cast("decimal(20,0)")
+    spread = (whole * F.col("square") - F.col("level").cast("decimal(20,0)") * F.col("level")).cast("double")
+    return reads.select(
+        "read_pos", "num_samples", *carry, (F.col("abs") / n).alias("mae"), (F.sqrt(spread) / n * S.f64(F.col("scale"))).alias("std")
+    )
 
-    rows = lengths.select(F.col("num_samples").cast("long")).mapInArrow(run, "region string, samples long, reads long")
-    return rows.groupBy("region").agg(F.sum("samples").alias("samples"), F.sum("reads").alias("reads")).where("samples > 0")
+
+def region_sizes(n: Column, p: Profile = PROFILE) -> dict[str, Column]:
+    """How many samples of a read of n samples are in each region, in closed form.
+
+    Edges take the first and last O samples; the tail is what the last, shifted window shares with the regular
+    one before it; seams begin each regular window after the first. Each counts what the ones before left over.
+    """
+    length, hop, overlap = p.chunk_samples, p.hop_samples, p.overlap_samples
+    zero, n = F.lit(0).cast("long"), n.cast("long")
+    regular = F.floor((n - length) / hop).cast("long") + 1
+    aligned_over = (regular - 1) * hop + length
+    first, last = F.lit(overlap).cast("long"), n - overlap
+    width = min(overlap, hop)
+
+    def seams_before(x: Column) -> Column:
+        """Seam samples before x, as if there were no edges or tail."""
+        at = F.least(F.greatest(x, F.lit(hop).cast("long")), regular * hop)
+        return (F.floor(at / hop).cast("long") - 1) * width + F.least(F.pmod(at, F.lit(hop)), F.lit(width).cast("long"))
+
+    a, b = F.greatest(n - length, first), F.least(aligned_over, last)
+    has_tail = (aligned_over < n) & (b > a)
+    edge = F.least(n, F.lit(2 * overlap).cast("long"))
+    tail = F.when(has_tail, b - a).otherwise(zero)
+    inner = F.when(last > first, seams_before(last) - seams_before(first)).otherwise(zero)
+    seam = inner - F.when(has_tail, seams_before(b) - seams_before(a)).otherwise(zero)
+    sizes = {"edge": edge, "tail": tail, "seam": seam, "interior": n - edge - tail - seam}
+    return {r: F.when(n < length, n if r == "short" else zero).otherwise(sizes.get(r, zero)) for r in S.REGIONS}
+
+
+def region_counts(lengths: DataFrame, p: Profile = PROFILE) -> DataFrame:
+    """(region, samples, reads), from the reads' lengths alone: five sums a read, whatever its length."""
+    sizes = region_sizes(F.col("num_samples"), p)
+    rows = lengths.select(
+        F.inline(F.array(*(F.struct(F.lit(r).alias("region"), size.alias("samples")) for r, size in sizes.items())))
+    ).where("samples > 0")
+    return rows.groupBy("region").agg(F.sum("samples").alias("samples"), F.count(F.lit(1)).alias("reads"))
 
 
 def region_error(errs: DataFrame, p: Profile = PROFILE) -> DataFrame:

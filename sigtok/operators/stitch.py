@@ -6,7 +6,7 @@ many small groups and not one task. Windows add up in their order, in single pre
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +29,24 @@ def to_adc(signal: np.ndarray, offset: float, scale: float) -> np.ndarray:
     return np.clip(v, -32768, 32767).astype(np.int16)
 
 
-def stitch(decoded: DataFrame, reads: DataFrame, p: Profile = PROFILE) -> DataFrame:
-    """(read_pos, num_samples, signal) of ``decoded`` windows (read_pos, seq, start, valid, center, half, y).
+def stitch_segments(decoded: DataFrame, p: Profile = PROFILE, carry: Sequence[str] = ()) -> DataFrame:
+    """(read_pos, segment, pa, carry...) of ``decoded`` windows (read_pos, seq, start, valid, center, half, y).
 
-    ``reads`` gives num_samples, offset and scale, also of reads without windows, which come out empty.
+    Segments are numbered from 0 and start every hop. ``carry`` names columns of the windows that are the same
+    for a whole read, and ``adc``, a window's own samples, which are cut to segments too.
     """
     hop, eps = p.hop_samples, np.float32(p.normalization_epsilon)
     weights = edge_weights(p)
+    fixed = [c for c in carry if c != "adc"]
+    with_adc = len(fixed) < len(carry)
+    rest = [*["adc"] * with_adc, *fixed]
+    before = ["read_pos", "segment", "seq", "at", "skip", "v", *rest]
+    after = ["read_pos", "segment", "pa", *rest]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pos, seq, start, valid, center, half = (c.to_numpy() for c in batch.columns[:6])
+            seq, start, valid, center, half = (c.to_numpy() for c in batch.columns[1:6])
+            adc = from_lists(batch.column(7)) if with_adc else None
             rows = []
             for k, y in enumerate(from_lists(batch.column(6))):
                 n, s = int(valid[k]), int(start[k])
@@ -47,43 +54,59 @@ def stitch(decoded: DataFrame, reads: DataFrame, p: Profile = PROFILE) -> DataFr
                 part = signal.astype(np.float32) * weights[:n]
                 for segment in range(s // hop, (s + n - 1) // hop + 1):
                     a, b = max(s, segment * hop), min(s + n, (segment + 1) * hop)
-                    rows.append((pos[k], segment, seq[k], a - segment * hop, part[a - s : b - s], weights[a - s : b - s]))
+                    own = adc[k][a - s : b - s] if with_adc else None
+                    rows.append((k, segment, seq[k], a - segment * hop, a - s, part[a - s : b - s], own))
             if rows:
-                pos_, segment_, seq_, at, v, w = zip(*rows, strict=True)
+                of, segment_, seq_, at, skip, v, own_ = zip(*rows, strict=True)
+                take = pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pos_, pa.int64()), pa.array(segment_, pa.int64()), pa.array(seq_, pa.int32()),
-                     pa.array(at, pa.int32()), to_lists(v, pa.float32()), to_lists(w, pa.float32())],
-                    ["read_pos", "segment", "seq", "at", "v", "w"],
+                    [batch.column(0).take(take), pa.array(segment_, pa.int64()), pa.array(seq_, pa.int32()),
+                     pa.array(at, pa.int32()), pa.array(skip, pa.int32()), to_lists(v, pa.float32()),
+                     *([to_lists(own_, pa.int16())] if with_adc else []),
+                     *(batch.column(7 + with_adc + c).take(take) for c in range(len(fixed)))],
+                    before,
                 )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, 2):
-            at = group.column("at").to_numpy()
-            values, weight = (
-                [x for c in group.column(n).chunks for x in from_lists(c)] for n in ("v", "w")
-            )
+            at, skip = (group.column(c).to_numpy() for c in ("at", "skip"))
+            values = [x for c in group.column("v").chunks for x in from_lists(c)]
             if len(set(group.column("seq").to_pylist())) != len(at):
                 raise ValueError("a window came twice")
             size = int(max(a + len(v) for a, v in zip(at, values, strict=True)))
             total, covered = np.zeros(size, dtype=np.float32), np.zeros(size, dtype=np.float32)
-            for a, v, w in zip(at, values, weight, strict=True):
+            for a, b, v in zip(at, skip, values, strict=True):
                 total[a : a + len(v)] += v
-                covered[a : a + len(v)] += w
+                covered[a : a + len(v)] += weights[b : b + len(v)]
             if not (covered > 0).all():
                 raise ValueError("samples without a window")
-            yield pa.RecordBatch.from_arrays(
-                [group.column("read_pos")[:1].combine_chunks(), group.column("segment")[:1].combine_chunks(), to_lists([total / covered], pa.float32())],
-                ["read_pos", "segment", "pa"],
-            )
-
-    parts = decoded.select("read_pos", "seq", "start", "valid", "center", "half", "y").mapInArrow(
-        cut, "read_pos long, segment long, seq int, at int, v array<float>, w array<float>"
-    )
-    parts = parts.select("read_pos", "segment", "seq", "at", "v", "w").repartition("read_pos", "segment")
-    merged = parts.sortWithinPartitions("read_pos", "segment", "seq").mapInArrow(
-        merge, "read_pos long, segment long, pa array<float>"
+            columns = [to_lists([total / covered], pa.float32())]
+            if with_adc:
+                own = np.zeros(size, dtype=np.int16)
+                for a, x in zip(at, (x for c in group.column("adc").chunks for x in from_lists(c)), strict=True):
+                    own[a : a + len(x)] = x
+                columns.append(to_lists([own], pa.int16()))
+            first = [group.column(c)[:1].combine_chunks() for c in ("read_pos", "segment", *fixed)]
+            yield pa.RecordBatch.from_arrays([*first[:2], *columns, *first[2:]], after)
+
+    columns = decoded.select("read_pos", "seq", "start", "valid", "center", "half", "y", *rest)
+    more = [f"{c} {columns.schema[c].dataType.simpleString()}" for c in rest]
+    parts = columns.mapInArrow(
+        cut, ", ".join(["read_pos long, segment long, seq int, at int, skip int, v array<float>", *more])
+    ).repartition("read_pos", "segment")
+    return parts.sortWithinPartitions("read_pos", "segment", "seq").mapInArrow(
+        merge, ", ".join(["read_pos long, segment long, pa array<float>", *more])
     )
-    whole = merged.groupBy("read_pos").agg(F.sort_array(F.collect_list(F.struct("segment", "pa"))).alias("s"))
+
+
+def stitch(decoded: DataFrame, reads: DataFrame, p: Profile = PROFILE) -> DataFrame:
+    """(read_pos, num_samples, offset, scale, signal): ``stitch_segments`` with each read in one row.
+
+    ``reads`` gives num_samples, offset and scale, also of reads without windows, which come out empty. A row
+    holds a read's whole signal, as rows of reads do; what works on segments alone doesn't need it.
+    """
+    whole = stitch_segments(decoded, p).groupBy("read_pos").agg(F.sort_array(F.collect_list(F.struct("segment", "pa"))).alias("s"))
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:

@@ -250,12 +250,9 @@ def edge_weights(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {SIGNALS} SELECT read_pos, n AS num_samples, list_sum(s)::BIGINT AS adc_sum, 0::BIGINT AS differing FROM sig""")
 def stitch_identity(spark: SparkSession, sf: str) -> DataFrame:
     """Cut, normalized, denormalized and stitched, every sample of every document is itself again."""
-    reads = A.document_reads(spark, sf)
-    back = pipeline.roundtrip(reads, codecs.Identity()).select("read_pos", F.col("signal").alias("back"))
-    both = reads.join(back, "read_pos")
-    differing = F.aggregate(F.zip_with("signal", "back", lambda a, b: (~a.eqNullSafe(b)).cast("int")), F.lit(0).cast("long"), lambda s, x: s + x)
-    total = F.aggregate("back", F.lit(0).cast("long"), lambda a, x: a + x)
-    return both.select("read_pos", "num_samples", total.alias("adc_sum"), differing.alias("differing"))
+    segments = quality.segment_errors(pipeline.compared(A.document_reads(spark, sf), codecs.Identity()))
+    back = segments.groupBy("read_pos").agg(F.sum("back").alias("adc_sum"), F.sum("differing").alias("differing"))
+    return A.read_lengths(spark, sf).join(back, "read_pos", "left").fillna(0, ["differing"])
 
 
 @query(f"""WITH {EVENTS}, {rows_sql("sig", 64, 48)}, part AS (
@@ -384,8 +381,7 @@ def mean_quant_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def mean_quant_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    reads = A.document_reads(spark, sf)
-    errs = quality.read_errors(quality.errors(reads, pipeline.roundtrip(reads, codecs.MeanQuant())))
+    errs = quality.segment_errors(pipeline.compared(A.document_reads(spark, sf), codecs.MeanQuant()))
     return quality.by_region(errs).select("region", "samples", r("mae_pa", 4).alias("mae_pa"), r("rmse_pa", 4).alias("rmse_pa"))
 
 

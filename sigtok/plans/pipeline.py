@@ -6,7 +6,7 @@ decoded where they are; one shuffle brings a read's segments together. validate:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from sigtok.errors import SigtokError
 from sigtok.functions import scalar as S
 from sigtok.operators import checks, codecs, grouping, quality
 from sigtok.operators.normalize import prepare
-from sigtok.operators.stitch import stitch
+from sigtok.operators.stitch import stitch, stitch_segments
 from sigtok.operators.windows import chunk_plan
 from sigtok.profile import PROFILE, ModelIdentity, Profile
 from sigtok.schema import READ_META
@@ -36,12 +36,29 @@ def decode(
     return stitch(codecs.decode_windows(ready, codec, batch), reads, p)
 
 
+def _decoded(reads: DataFrame, codec: codecs.Codec, p: Profile, carry: Sequence[str] = (), with_adc: bool = False) -> DataFrame:
+    """Windows through the codec and back where they are; a read's windows stay beside each other."""
+    prepared = prepare(reads, p, carry, with_adc)
+    kept = ["start", "valid", *["adc"] * with_adc, *carry]
+    encoded = codecs.encode_windows(prepared, codec, carry=kept).withColumnRenamed("scale", "half")
+    return codecs.decode_windows(encoded, codec)
+
+
 def roundtrip(reads: DataFrame, codec: codecs.Codec, p: Profile = PROFILE) -> DataFrame:
-    """decode(encode(reads)) without tokens in between: a read's windows stay beside each other."""
-    prepared = prepare(reads, p)
-    encoded = codecs.encode_windows(prepared, codec).withColumnRenamed("scale", "half")
-    plan = chunk_plan(reads.select("read_pos", "num_samples"), p).select("read_pos", "seq", "start", "valid")
-    return stitch(codecs.decode_windows(encoded.join(plan, ["read_pos", "seq"]), codec), reads, p)
+    """decode(encode(reads)) without tokens in between."""
+    return stitch(_decoded(reads, codec, p), reads, p)
+
+
+def compared(reads: DataFrame, codec: codecs.Codec, p: Profile = PROFILE, carry: Sequence[str] = ()) -> DataFrame:
+    """(read_pos, segment, pa, adc, num_samples, offset, scale, carry...): a round trip beside its source.
+
+    By segment, so that no row grows with a read beyond the source's own. Reads without samples have none. Clashing
+    names in ``carry`` are the caller's to avoid; its columns are the same for a whole read.
+    """
+    kept = ["num_samples", "gain_offset", "gain_scale", *carry]
+    named = reads.withColumns({"gain_offset": F.col("offset"), "gain_scale": F.col("scale")})
+    rows = stitch_segments(_decoded(named, codec, p, kept, True), p, ["adc", *kept])
+    return rows.withColumnsRenamed({"gain_offset": "offset", "gain_scale": "scale"})
 
 
 def stored_reads(reads: DataFrame, run_info: DataFrame, tokens: DataFrame, p: Profile = PROFILE, **limits: int) -> DataFrame:

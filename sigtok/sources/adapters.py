@@ -5,7 +5,7 @@ Reads carry read_pos (their order), num_samples, signal and their calibration.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +36,27 @@ def read_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One read per document, a sample per code point."""
+def text_reads(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One read per row of ``docs`` (doc_id, text), a sample per code point, with the columns ``keep``.
+
+    A null text is an empty read. Batch or streaming: rows are mapped where they are.
+    """
+    names = ["read_pos", "num_samples", "signal", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [np.frombuffer(t.as_py().encode("utf-32-le"), "<u4") % LEVELS for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], to_lists(codes, pa.int16())], ["read_pos", "num_samples", "signal"]
-            )
+            codes = [np.frombuffer(t.as_py().encode("utf-32-le"), "<u4") % LEVELS for t in batch.column(1)]
+            sizes = pa.array([len(c) for c in codes], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, to_lists(codes, pa.int16()), *batch.columns[2:]], names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("read_pos"), F.coalesce("text", F.lit("")).alias("text"), *keep)
+    more = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return calibrated(rows.mapInArrow(run, ", ".join(["read_pos long, num_samples long, signal array<smallint>", *more])))
 
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.coalesce("text", F.lit("")).alias("text")))
-    return calibrated(docs.mapInArrow(run, "read_pos long, num_samples long, signal array<smallint>"))
+
+def document_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_reads`` of all documents."""
+    return text_reads(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _ordered(df: DataFrame, key: str, order: list[str], adc: Column) -> DataFrame:
