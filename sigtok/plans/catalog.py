@@ -360,13 +360,34 @@ def _event_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.encode(A.event_reads(spark, sf), codecs.MeanQuant(SMALL), SMALL)
 
 
-MEANS = f"""{rows_sql("sig", 64, 48)}, padded AS (
+def means_sql(length: int, hop: int, per_token: int) -> str:
+    """Codes of every window of ``sig``: means of ``per_token`` values, mirrored beyond the window's own, quantized."""
+    return f"""{rows_sql("sig", length, hop)}, padded AS (
 SELECT read_pos, seq, j, CASE WHEN valid = 1 THEN 0 WHEN j % (2 * valid - 2) < valid THEN j % (2 * valid - 2) ELSE 2 * valid - 2 - j % (2 * valid - 2) END AS t
-FROM (SELECT DISTINCT read_pos, seq, valid FROM norm), range(0, 64) r(j)), means AS (
-SELECT p.read_pos, p.seq, j // 4 AS token, sum(CAST(n.y AS DOUBLE) ORDER BY j) / 4 AS m FROM padded p JOIN norm n ON p.read_pos = n.read_pos AND p.seq = n.seq AND p.t = n.t
+FROM (SELECT DISTINCT read_pos, seq, valid FROM norm), range(0, {length}) r(j)), means AS (
+SELECT p.read_pos, p.seq, j // {per_token} AS token, sum(CAST(n.y AS DOUBLE) ORDER BY j) / {per_token} AS m FROM padded p JOIN norm n ON p.read_pos = n.read_pos AND p.seq = n.seq AND p.t = n.t
 GROUP BY ALL), codes AS (SELECT read_pos, seq, token, least(greatest(floor((m + 1) * 0.5 * 65535 + 0.5), 0), 65535)::BIGINT AS code FROM means)"""
 
 
+MEANS = means_sql(64, 48, 4)
+#: The region of each sample, from n and pos.
+REGION = """CASE WHEN n < 8192 THEN 'short' WHEN pos < 144 OR pos >= n - 144 THEN 'edge'
+WHEN (n - 8192) % 8048 != 0 AND pos >= n - 8192 AND pos < ((n - 8192) // 8048) * 8048 + 8192 THEN 'tail'
+WHEN pos // 8048 BETWEEN 1 AND (n - 8192) // 8048 AND pos % 8048 < 144 THEN 'seam' ELSE 'interior' END"""
+#: Every sample of the documents after coding by means and stitching, with its error.
+MEAN_ERRORS = f"""{means_sql(8192, 8048, 16)}, part AS (
+SELECT n.read_pos, n.n, n.pos, n.seq, n.adc, n.o, n.k, least(1.0::DOUBLE, (n.t + 1) / 145.0::DOUBLE, (8192 - n.t) / 145.0::DOUBLE)::FLOAT AS w,
+CASE WHEN half < CAST(1e-6 AS FLOAT) THEN center ELSE CAST(CAST(CAST(code / 65535.0::DOUBLE * 2 - 1 AS FLOAT) * half AS FLOAT) + center AS FLOAT) END AS v
+FROM norm n JOIN codes c ON n.read_pos = c.read_pos AND n.seq = c.seq AND n.t // 16 = c.token), folded AS (
+SELECT read_pos, pos, any_value(n) AS n, any_value(adc) AS adc, any_value(o) AS o, any_value(k) AS k,
+list_reduce(list(CAST(v * w AS FLOAT) ORDER BY seq), lambda a, x: CAST(a + x AS FLOAT)) AS sv, list_reduce(list(w ORDER BY seq), lambda a, x: CAST(a + x AS FLOAT)) AS sw
+FROM part GROUP BY read_pos, pos), back AS (
+SELECT *, greatest(least(round_even(CAST(CAST(sv / sw AS FLOAT) AS DOUBLE) / CAST(k AS DOUBLE) - CAST(o AS DOUBLE), 0), 32767), -32768) AS y FROM folded), err AS (
+SELECT read_pos, n, pos, (adc + CAST(o AS DOUBLE)) * CAST(k AS DOUBLE) AS pa,
+(y + CAST(o AS DOUBLE)) * CAST(k AS DOUBLE) - (adc + CAST(o AS DOUBLE)) * CAST(k AS DOUBLE) AS err FROM back), region AS (
+SELECT *, {REGION} AS region FROM err)"""
+
+
 @query(f"WITH {EVENTS}, {MEANS} SELECT read_pos, seq::INT AS seq, sum(code)::BIGINT AS code_sum, sum(code * (token + 1))::BIGINT AS weighted, max(code)::INT AS top FROM codes GROUP BY 1, 2")
 def mean_quant_codes(spark: SparkSession, sf: str) -> DataFrame:
     long = F.lit(0).cast("long")
@@ -379,7 +400,8 @@ def mean_quant_codes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""WITH {SIGNALS}, {MEAN_ERRORS}
+SELECT region, count(*) AS samples, round(avg(abs(err)), 4) AS mae_pa, round(sqrt(avg(err * err)), 4) AS rmse_pa FROM region GROUP BY region""")
 def mean_quant_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     errs = quality.segment_errors(pipeline.compared(A.document_reads(spark, sf), codecs.MeanQuant()))
     return quality.by_region(errs).select("region", "samples", r("mae_pa", 4).alias("mae_pa"), r("rmse_pa", 4).alias("rmse_pa"))
@@ -425,9 +447,7 @@ def _reads(spark: SparkSession, sf: str) -> DataFrame:
 
 ERRORS = f"""{SIGNALS}, e AS (SELECT read_pos, n, CAST(o AS DOUBLE) AS o, CAST(k AS DOUBLE) AS k, unnest(s) AS x, unnest(range(0, len(s))) AS pos FROM sig), err AS (
 SELECT read_pos, n, pos, (x + o) * k AS pa, (x + (pos * 7 + x) % 5 - 2 + o) * k - (x + o) * k AS err FROM e), region AS (
-SELECT *, CASE WHEN n < 8192 THEN 'short' WHEN pos < 144 OR pos >= n - 144 THEN 'edge'
-WHEN (n - 8192) % 8048 != 0 AND pos >= n - 8192 AND pos < ((n - 8192) // 8048) * 8048 + 8192 THEN 'tail'
-WHEN pos // 8048 BETWEEN 1 AND (n - 8192) // 8048 AND pos % 8048 < 144 THEN 'seam' ELSE 'interior' END AS region FROM err), reads AS (
+SELECT *, {REGION} AS region FROM err), reads AS (
 SELECT read_pos, n, avg(abs(err)) AS mae, stddev_pop(pa) AS std FROM err GROUP BY read_pos, n)"""
 
 
