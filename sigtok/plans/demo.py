@@ -101,25 +101,28 @@ def network_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def streamed(spark: SparkSession, sf: str) -> DataFrame:
-    """Samples of all event reads as a stream: windows that the batch plan has, and those it hasn't."""
+    """Samples of all event reads as a stream, out of order: windows that the batch plan has, and those it hasn't."""
     reads = adapters.event_reads(spark, sf)
     flat = samples(reads).select("read_pos", F.col("pos").cast("long").alias("pos"), "adc", (F.col("pos") == F.col("num_samples") - 1).alias("last"))
-    source, target = work_path(spark, "samples"), work_path(spark, "stream-windows")
-    half = F.floor(F.col("pos") / 40).cast("int")
-    for k in range(4):  # a read's samples come in several micro-batches
-        flat.where(half == k if k < 3 else half >= 3).coalesce(1).write.mode("append").parquet(source)
-    stream = streams.stream_reads(spark, source, "read_pos long, pos long, adc smallint, last boolean")
-    found = streams.sample_windows(stream, SMALL)
-    q = (
-        found.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", work_path(spark, "stream-state"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    got = spark.read.schema("read_pos long, seq int, start long, valid int, samples array<smallint>").parquet(target)
+    flat = flat.withColumn("at", F.timestamp_seconds(F.col("pos") + 1_600_000_000))
+    source, target, mark = (work_path(spark, n) for n in ("samples", "stream-windows", "stream-state"))
+    # each micro-batch has a part of every stretch, and the ends come first
+    part = F.when(F.col("last"), 0).otherwise(F.pmod(F.xxhash64("read_pos", "pos"), F.lit(4)))
+    for k in range(4):
+        flat.where(part == k).orderBy(F.xxhash64("pos")).coalesce(1).write.mode("append").parquet(source)
+    stream = streams.stream_reads(spark, source, "read_pos long, pos long, adc smallint, last boolean, at timestamp")
+    with streams.state_store(spark):
+        q = (
+            streams.sample_windows(stream, SMALL)
+            .writeStream.format("parquet")
+            .option("path", target)
+            .option("checkpointLocation", mark)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        q.awaitTermination()
+    got = spark.read.schema(streams.OUTPUT).parquet(target)
     plan = chunk_plan(reads, SMALL)
     want = plan.select("read_pos", "seq", "start", "valid", F.slice("signal", F.col("start").cast("int") + 1, F.col("valid")).alias("want"))
     both = got.join(want, ["read_pos", "seq", "start", "valid"], "full")

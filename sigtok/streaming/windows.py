@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sigtok.operators.codecs import Codec
 from sigtok.plans.pipeline import encode
 from sigtok.profile import SMALL, Profile
 
+#: The state store that stateful streams of samples need.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How long after a read's last sample, by the stream's own time, it waits for more or is remembered.
+PATIENCE = "1 hour"
+OUTPUT = "read_pos long, seq int, start long, valid int, samples array<smallint>, problem string"
+
 
 def encode_stream(reads: DataFrame, codec: Codec, p: Profile) -> DataFrame:
     """Tokens of a stream of whole reads: the batch flow, as no window crosses reads."""
@@ -23,42 +31,138 @@ def stream_reads(spark: SparkSession, path: str, schema: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def sample_windows(samples: DataFrame, p: Profile = SMALL) -> DataFrame:
-    """(read_pos, seq, start, valid, samples) from a stream of samples (read_pos, pos, adc, last).
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; the session's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, PROVIDER)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
 
-    A read's state is what its next window still needs. Samples of one read arrive in pos order between
-    micro-batches; inside one they are sorted. ``last`` marks the end, which emits the aligned tail.
+class SampleWindows(StatefulProcessor):
+    """Windows of one read at a time, from samples in any order.
+
+    ``head`` holds what the next window still needs, the run of samples up to the first one missing; ``waiting``
+    holds runs that came before their turn; a timer ends the wait. A finished read is remembered until its timer,
+    so that what comes after it is known to be late.
     """
-    length, hop = p.chunk_samples, p.hop_samples
-
-    def step(key: tuple[Any], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("pos")
-        seq, start, held = state.get if state.exists else (0, 0, [])
-        held = [*held, *rows["adc"].tolist()]
-        out = []
-        while len(held) - (seq * hop - start) >= length:
-            at = seq * hop - start
-            out.append((key[0], seq, seq * hop, length, held[at : at + length]))
+
+    def __init__(self, p: Profile) -> None:
+        self.p = p
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # seq: the next window; first: the position of the first held sample; n: the read's length where known, -1 where not
+        self.head = handle.getValueState("head", "seq int, first long, held binary, n long, done boolean")
+        self.waiting = handle.getListState("waiting", "pos long, adc binary")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows)).sort_values("pos", kind="stable")
+        seq, first, held, n, done = self.head.get() if self.head.exists() else (0, 0, b"", -1, False)
+        samples, now = np.frombuffer(held, np.int16), int(came["at"].max().timestamp() * 1000)
+        out: list[tuple] = []
+        pos, adc = came["pos"].to_numpy(np.int64), came["adc"].to_numpy(np.int16)
+        ends = pos[came["last"].to_numpy(bool)]
+        if n < 0 and len(ends):
+            n = int(ends.min()) + 1
+        runs = [(int(r[0]), np.frombuffer(r[1], np.int16)) for r in self.waiting.get()] if self.waiting.exists() else []
+        had = np.concatenate([np.arange(a, a + len(x)) for a, x in runs]) if runs else np.empty(0, np.int64)
+        # a sample that was there, or comes a second time, or after the end, is late
+        late = (pos < first + len(samples)) | np.isin(pos, had) | np.concatenate([[False], pos[1:] == pos[:-1]])
+        late |= (pos >= n) if n >= 0 else False
+        late |= done
+        out += [(*r, "late") for r in self._runs(key, pos[late], adc[late])]
+        runs += [(r[2], np.array(r[4], np.int16)) for r in self._runs(key, pos[~late], adc[~late])]
+        runs.sort(key=lambda r: r[0])
+        if done:
+            self._put(seq, first, samples, n, done, [], now)
+            yield self._frame(out)
+            return
+        while runs and runs[0][0] == first + len(samples):
+            samples = np.concatenate([samples, runs.pop(0)[1]])
+        seq, first, samples = self._cut(key, out, seq, first, samples)
+        if n >= 0 and first + len(samples) == n:
+            self._tail(key, out, seq, first, samples, n)
+            done, samples = True, samples[:0]
+            first = n
+        self._put(seq, first, samples, n, done, runs, now)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """The wait is over: what is missing, what waited for it, and all state goes."""
+        out: list[tuple] = []
+        if self.head.exists():
+            seq, first, held, n, done = self.head.get()
+            at = first + len(held) // 2
+            if not done:
+                runs = sorted((int(r[0]), np.frombuffer(r[1], np.int16)) for r in self.waiting.get()) if self.waiting.exists() else []
+                missing = (runs[0][0] if runs else max(n, at)) - at
+                out.append((key[0], None, at, missing, [], "gap" if missing else "no end"))
+                out += [(key[0], None, a, len(x), x.tolist(), "after a gap") for a, x in runs]
+        self.head.clear()
+        self.waiting.clear()
+        yield self._frame(out)
+
+    def _cut(self, key: tuple, out: list, seq: int, first: int, samples: np.ndarray) -> tuple[int, int, np.ndarray]:
+        """Emits full windows; keeps what the next one and a tail, which may reach back a window's length, need."""
+        length, hop = self.p.chunk_samples, self.p.hop_samples
+        while first + len(samples) - seq * hop >= length:
+            at = seq * hop - first
+            out.append((key[0], seq, seq * hop, length, samples[at : at + length].tolist(), None))
             seq += 1
-            # the tail window may reach back over up to a window's length
-            drop = max(0, len(held) - (length + hop))
-            drop = min(drop, seq * hop - start)
-            held, start = held[drop:], start + drop
-        if bool(rows["last"].any()):
-            n = start + len(held)
-            if n and (seq == 0 or (seq - 1) * hop + length < n):
-                at = max(n - length, 0)
-                part = held[at - start :]
-                out.append((key[0], seq, at, len(part), part))
-            state.remove()
+        drop = min(max(0, len(samples) - (length + hop)), max(0, seq * hop - first))
+        return seq, first + drop, samples[drop:]
+
+    def _tail(self, key: tuple, out: list, seq: int, first: int, samples: np.ndarray, n: int) -> None:
+        length, hop = self.p.chunk_samples, self.p.hop_samples
+        if n and (seq == 0 or (seq - 1) * hop + length < n):
+            at = max(n - length, 0)
+            part = samples[at - first :]
+            out.append((key[0], seq, at, len(part), part.tolist(), None))
+
+    @staticmethod
+    def _runs(key: tuple, pos: np.ndarray, adc: np.ndarray) -> list[tuple]:
+        """(read, None, start, length, samples) of each run of positions."""
+        cuts = [0, *(np.flatnonzero(np.diff(pos) != 1) + 1).tolist(), len(pos)]
+        return [(key[0], None, int(pos[a]), b - a, adc[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+
+    def _put(self, seq: int, first: int, samples: np.ndarray, n: int, done: bool, runs: list, now: int) -> None:
+        self.head.update((seq, first, samples.astype(np.int16).tobytes(), n, done))
+        if runs:
+            self.waiting.put([(a, np.asarray(x, np.int16).tobytes()) for a, x in runs])
         else:
-            state.update((seq, start, held))
-        yield pd.DataFrame(out, columns=["read_pos", "seq", "start", "valid", "samples"])
-
-    return samples.groupBy("read_pos").applyInPandasWithState(
-        step,
-        "read_pos long, seq int, start long, valid int, samples array<smallint>",
-        "seq int, start long, held array<smallint>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+            self.waiting.clear()
+        timers = list(self.handle.listTimers())
+        for t in timers:
+            if t < now:
+                self.handle.deleteTimer(t)
+        if not timers or max(timers) < now:
+            self.handle.registerTimer(now)
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["read_pos", "seq", "start", "valid", "samples", "problem"])
+        return frame.astype({"read_pos": "int64", "seq": "Int32", "start": "int64", "valid": "int32"})
+
+
+def sample_windows(samples: DataFrame, p: Profile = SMALL, patience: str = PATIENCE) -> DataFrame:
+    """OUTPUT from a stream of samples (read_pos, pos, adc, last, at), in any order within and between micro-batches.
+
+    A window comes out as soon as the samples up to its end are there; ``last`` marks a read's last sample, with
+    which the aligned tail comes out. Rows with a ``problem`` are no windows but the side output: ``late`` samples
+    that were there before or lie beyond the end; and when the stream's time ``at`` is ``patience`` past an unfinished
+    read's last sample, the ``gap`` it waited for with what came ``after a gap``, or that it has ``no end``. Samples
+    older than that Spark drops and counts in the query's progress. Start the query inside ``state_store``.
+    """
+    timed = samples.select("read_pos", "pos", "adc", "last", "at").withWatermark("at", patience)
+    return timed.groupBy("read_pos").transformWithStateInPandas(SampleWindows(p), OUTPUT, "append", "eventTime")
