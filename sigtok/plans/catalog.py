@@ -748,6 +748,28 @@ def token_file_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return token_roundtrip(spark, sf)
 
 
+@query(f"WITH {EVENTS}, {MEANS} SELECT read_pos, seq::INT AS seq, sum(code)::BIGINT AS code_sum, sum(code * (token + 1))::BIGINT AS weighted FROM codes GROUP BY 1, 2")
+def token_file_windows(spark: SparkSession, sf: str) -> DataFrame:
+    from sigtok.plans.demo import token_window_rows
+
+    long = F.lit(0).cast("long")
+    return token_window_rows(spark, sf).select(
+        "read_pos",
+        "seq",
+        F.aggregate("codes", long, lambda a, x: a + x).alias("code_sum"),
+        F.aggregate(F.transform("codes", lambda x, i: x.cast("long") * (i + 1)), long, lambda a, x: a + x).alias("weighted"),
+    )
+
+
+@query(f"""WITH {EVENTS}, {plan_sql("sig", 64, 48)}, total AS (SELECT count(*) AS all_reads FROM counted)
+SELECT read_pos, n AS num_samples, k_chunks::BIGINT AS num_chunks FROM counted, total
+WHERE read_pos >= all_reads // 4 AND read_pos < all_reads - all_reads // 4""")
+def token_file_range(spark: SparkSession, sf: str) -> DataFrame:
+    from sigtok.plans.demo import token_read_range
+
+    return token_read_range(spark, sf).select("read_pos", "num_samples", "num_chunks")
+
+
 @query("SELECT * FROM (VALUES ('tokens', 'tokens'), ('zip', 'zip'), ('pod5', 'pod5'), ('text', 'unknown')) AS t(file, kind)")
 def sniff_formats(spark: SparkSession, sf: str) -> DataFrame:
     from sigtok.plans.demo import sniffed

@@ -60,12 +60,18 @@ def full_reads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return reads, spark.createDataFrame(infos, RUN_INFO)
 
 
-def token_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+def _token_file(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """The event reads as rows of a token file, and the file."""
     reads, run_info = full_reads(spark, sf)
     codec = codecs.MeanQuant(SMALL)
     stored = pipeline.stored_reads(reads, run_info, pipeline.encode(reads, codec, SMALL), SMALL, group_chunks=64, group_reads=40)
     path = work_path(spark, "tokens")
     tokens.write_tokens(stored, path, SMALL)
+    return stored, path
+
+
+def token_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    stored, path = _token_file(spark, sf)
     back = tokens.read_tokens(spark, path)
     names = [c for c in stored.columns if c != "read_pos"]
     right = back.select("read_pos", *(F.col(c).alias(f"_{c}") for c in names))
@@ -74,6 +80,19 @@ def token_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("reads"), *counts)
 
 
+def token_window_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of a token file, read as rows of their own: no row holds a read's codes."""
+    return tokens.read_windows(spark, _token_file(spark, sf)[1])
+
+
+def token_read_range(spark: SparkSession, sf: str) -> DataFrame:
+    """The middle half of a token file's reads; groups outside it are not read."""
+    path = _token_file(spark, sf)[1]
+    n = tokens.read_header(path).read_count
+    rows = tokens.read_tokens(spark, path, with_codes=False)
+    return rows.where((F.col("read_pos") >= n // 4) & (F.col("read_pos") < n - n // 4))
+
+
 def sniffed(spark: SparkSession) -> DataFrame:
     folder = work_path(spark, "sniff").removeprefix("file://")
     os.makedirs(folder)

@@ -241,6 +241,70 @@ def test_write_is_atomic_and_ordered(spark, data, tmp_path):
     assert path.read_bytes() == first and [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
+def left(df):
+    """(partitions, read positions) of a scan."""
+    return df.rdd.getNumPartitions(), sorted(r.read_pos for r in df.select("read_pos").collect())
+
+
+def test_filters_on_ids_leave_out_groups(spark, tmp_path):
+    path = tmp_path / "t"
+    path.write_bytes(file_of(GROUPS))
+    for df in (tokens.read_tokens(spark, str(path)), tokens.read_windows(spark, str(path))):
+        # read 0 has no windows
+        first = [0] if "num_chunks" in df.columns else []
+        scan = lambda c, df=df: (left(df.where(c))[0], sorted(set(left(df.where(c))[1])))
+        assert scan("read_pos >= 4") == (2, [4, 5, 6])
+        assert scan("read_pos > 4 and read_pos < 6") == (1, [5])
+        assert scan("read_pos = 2") == (1, [2])
+        assert scan("read_pos in (0, 3, 6)") == (2, [*first, 3, 6])
+        assert scan("group_id = 1") == (1, [4])
+        assert scan("group_id <= 1 and read_pos <= 3") == (1, [*first, 1, 2, 3])
+        assert scan("read_pos in (1, 5) and group_id in (1, 2)") == (1, [5])
+        assert scan("read_pos > 6") == (1, []) and scan("read_pos < 0") == (1, []) and scan("group_id = 7") == (1, [])
+        # what isn't a range of ids is left to Spark
+        assert scan("not read_pos = 2") == (3, [*first, 1, 3, 4, 5, 6])
+        assert scan("read_pos = 2 or group_id = 2") == (3, [2, 5, 6])
+        assert scan("read_pos <=> 2")[1] == [2] and scan("num_samples > 90")[1] == [3, 6]
+        assert scan("read_pos is null")[1] == []
+
+
+def test_reads_that_are_not_asked_for_have_no_windows_read(tmp_path):
+    path = tmp_path / "t"
+    rows = [row(0, 200), row(1, 90)]
+    whole = bytearray(file_of([rows]))
+    at = whole.index(rows[0]["read_id"]) + tokens.META.itemsize
+    whole[at : at + 4] = struct.pack("<f", float("nan"))  # read 0's first center can't be
+    path.write_bytes(whole)
+    header, parts = tokens.plan_scan(str(path))
+    wanted = tokens.Wanted(bounds={"group_id": (0, 9), "read_pos": (1, 1)})
+    for rows_of in (lambda w: [r["read_pos"] for r in tokens.iter_group(str(path), parts[0], SMALL, wanted=w)],
+                    lambda w: [r for b in tokens.iter_windows(str(path), parts[0], SMALL, w) for r in b.column(1).to_pylist()]):
+        assert set(rows_of(wanted)) == {1}
+        with pytest.raises(SigtokError, match="finite"):
+            rows_of(None)
+
+
+def test_window_rows_are_bounded_however_long_a_read_is(spark, tmp_path):
+    path = tmp_path / "t"
+    n = SMALL.hop_samples * 2500 + 17
+    groups = [[row(0, n), row(1, 0), row(2, 90)], [row(3, 64, 1)]]
+    path.write_bytes(file_of(groups))
+    header, parts = tokens.plan_scan(str(path))
+    batches = list(tokens.iter_windows(str(path), parts[0], SMALL, rows=1000))
+    k = tokens.chunk_total(n, SMALL)
+    assert [b.num_rows for b in batches] == [1000, 1000, k - 2000, 2] and max(b.nbytes for b in batches) < 120_000
+    got = {(r.read_pos, r.seq): r for r in tokens.read_windows(spark, str(path)).collect()}
+    t = SMALL.tokens_per_chunk
+    want = [(r, i) for g in groups for r in g for i in range(len(r["centers"]))]
+    assert len(got) == len(want)
+    for r, i in want:
+        g = got[r["read_pos"], i]
+        assert (g.group_id, g.num_samples, g.codes) == (r["group_id"], r["num_samples"], r["codes"][i * t : (i + 1) * t])
+        assert np.float32(g.center) == np.float32(r["centers"][i]) and np.float32(g.scale) == np.float32(r["scales"][i])
+    with pytest.raises(Exception, match="reads or windows"):
+        spark.read.format(tokens.FORMAT).option("path", str(path)).option("rows", "samples").load()
+
+
 def test_atomic_file(tmp_path):
     target = tmp_path / "x"
     with AtomicFile(str(target)) as fh:
