@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from sigtok.errors import SigtokError
 from sigtok.functions import scalar as S
 from sigtok.profile import PROFILE, Profile
-from sigtok.schema import END_REASONS
+from sigtok.schema import END_REASONS, RUN_INFO_TEXTS
 
 MAX_TEXT = 1 << 20
 MAX_SAMPLES = 1 << 40
@@ -47,6 +50,11 @@ RULES = (
     Rule("end_reason", ("end_reason",), lambda p: F.col("end_reason").isin(*END_REASONS)),
     Rule("context_tags", ("context_tags",), lambda p: _pairs_ok("context_tags")),
     Rule("tracking_id", ("tracking_id",), lambda p: _pairs_ok("tracking_id")),
+    Rule(
+        "run_info_texts",
+        RUN_INFO_TEXTS,
+        lambda p: reduce(lambda a, b: a & b, (F.octet_length(c) <= MAX_TEXT for c in RUN_INFO_TEXTS)),
+    ),
     Rule("signal_length", ("signal", "num_samples"), lambda p: F.size("signal") == F.col("num_samples")),
     Rule("num_samples", ("num_samples",), lambda p: (F.col("num_samples") >= 0) & (F.col("num_samples") <= MAX_SAMPLES)),
     Rule(
@@ -86,16 +94,37 @@ def nulls(df: DataFrame, key: str = "read_pos") -> DataFrame:
     return df.select(key, F.explode(missing).alias("column"))
 
 
-def enforce(df: DataFrame, p: Profile = PROFILE, rules: list[Rule] | None = None) -> DataFrame:
-    """``df`` itself; a row that breaks a rule raises an error that names it when the row is computed."""
+def enforce(
+    df: DataFrame, p: Profile = PROFILE, rules: list[Rule] | None = None, key: str | None = None, full: bool = False
+) -> DataFrame:
+    """``df`` itself; a row that breaks a rule raises an error that names it when the row is computed.
+
+    With ``key`` the error says which row. ``full`` makes a null in any column an error too.
+    """
     chosen = rules if rules is not None else applicable(df)
+    where = F.concat(F.lit(f" at {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))) if key else F.lit("")
     ok = F.lit(True)
+    for c in df.columns if full else ():
+        fault = F.raise_error(F.concat(F.lit(f"column {c} is null"), where)).cast("boolean")
+        ok = ok & F.when(F.col(c).isNotNull(), True).otherwise(fault)
     for r in chosen:
         good = F.coalesce(r.good(p), F.lit(False))
-        ok = ok & F.when(good, True).otherwise(F.raise_error(F.lit(f"rule {r.name} is broken")).cast("boolean"))
+        ok = ok & F.when(good, True).otherwise(F.raise_error(F.concat(F.lit(f"rule {r.name} is broken"), where)).cast("boolean"))
     return df.where(ok)
 
 
+def require_types(df: DataFrame, schema: StructType, about: str) -> DataFrame:
+    """``df``, if it has the columns of ``schema`` in their types, times as whole milliseconds among them."""
+    have = {f.name: f.dataType for f in df.schema}
+    for f in schema.fields:
+        if f.name not in have:
+            raise SigtokError(f"{about} has no column {f.name}")
+        # arrays may allow nulls here; values are looked at row by row
+        if have[f.name].simpleString() != f.dataType.simpleString():
+            raise SigtokError(f"{about}.{f.name} is {have[f.name].simpleString()}, not {f.dataType.simpleString()}")
+    return df
+
+
 def tree_difference(want: DataFrame, have: DataFrame) -> DataFrame:
     """(path, problem) between two tables (path, shape, dtype): missing, unexpected or mismatched."""
     missing = want.join(have, "path", "left_anti").select("path", F.lit("missing").alias("problem"))

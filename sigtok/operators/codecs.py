@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigtok.operators.arrow import from_lists, matrix, refilled, to_lists
-from sigtok.operators.quantize import search
+from sigtok.operators.quantize import Book
 from sigtok.profile import PROFILE, Profile
 
 #: Windows that a codec sees at once.
@@ -60,10 +60,11 @@ class VectorQuant:
 
     def __init__(self, words: np.ndarray, p: Profile = PROFILE) -> None:
         self.words, self.tokens = words.astype(np.float32), p.tokens_per_chunk
+        self.book = Book(self.words)
 
     def encode(self, y: np.ndarray) -> np.ndarray:
         flat = y.reshape(len(y) * self.tokens, -1)
-        return search(flat, self.words).reshape(len(y), self.tokens).astype(np.int32)
+        return self.book.search(flat).reshape(len(y), self.tokens).astype(np.int32)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return self.words[codes].reshape(len(codes), -1)

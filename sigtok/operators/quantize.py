@@ -1,7 +1,7 @@
 """Exact nearest codewords: a broadcast form for small codebooks, a blocked one for large.
 
-Ties go to the lowest code. The blocked form visits the codebook tile by tile and keeps each row's best,
-so the distance matrix never exists as a whole; results don't depend on the tile.
+Ties go to the lowest code. The blocked form visits the tiles of the codebook that are within reach and keeps
+each row's best, so the distance matrix never exists as a whole; results don't depend on the tile.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtok.operators.arrow import matrix
+from sigtok.session import small
 
 #: The join form is for codebooks of at most so many words.
 SMALL_CODEBOOK = 4096
@@ -49,24 +50,69 @@ def codebook_array(codebook: DataFrame) -> np.ndarray:
     return np.array([r["vec"] for r in rows], dtype=np.float32)
 
 
+class Book:
+    """A codebook in tiles of words of like length, so that most tiles are out of reach of a latent.
+
+    The distance of two vectors is at least the difference of their lengths. Latents are taken in order of length,
+    too, and visit tiles from the nearest in length on, until the bound is beyond their best word. A tile's product
+    finds the few candidates; direct differences, summed dimension by dimension, decide between them, and the lowest
+    code wins ties. So the result is that of comparing with every word, whatever the tiles.
+    """
+
+    def __init__(self, words: np.ndarray, block: int = 256) -> None:
+        words = words.astype(np.float64)
+        lengths = np.sqrt((words * words).sum(axis=1))
+        self.order = np.argsort(lengths, kind="stable")
+        self.words, self.lengths = words[self.order], lengths[self.order]
+        self.squares = self.lengths**2
+        self.starts = np.arange(0, len(words), block)
+        self.ends = np.minimum(self.starts + block, len(words))
+        #: Pairs of a latent and a tile that were compared.
+        self.visited = 0
+
+    def search(self, z: np.ndarray) -> np.ndarray:
+        z = z.astype(np.float64)
+        code = np.zeros(len(z), dtype=np.int64)
+        lengths = np.sqrt((z * z).sum(axis=1))
+        by_length = np.argsort(lengths, kind="stable")
+        for at in range(0, len(z), 256):
+            rows = by_length[at : at + 256]
+            code[rows] = self._nearest(z[rows], lengths[rows])
+        return code
+
+    def _nearest(self, z: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        low, high = self.lengths[self.starts], self.lengths[self.ends - 1]
+        apart = np.maximum(0, np.maximum(low[None] - lengths[:, None], lengths[:, None] - high[None]))
+        best, code = np.full(len(z), np.inf), np.full(len(z), len(self.words), dtype=np.int64)
+        slack = 1e-6 * (1 + lengths**2)
+        for tile in np.argsort(apart.min(axis=0), kind="stable"):
+            rows = np.flatnonzero(apart[:, tile] ** 2 <= best + slack)
+            if not len(rows):
+                if apart[:, tile].min() ** 2 > (best + slack).max():
+                    break
+                continue
+            self.visited += len(rows)
+            a, b = self.starts[tile], self.ends[tile]
+            d = lengths[rows, None] ** 2 + self.squares[a:b] - 2 * (z[rows] @ self.words[a:b].T)
+            rounding = slack[rows, None] + 1e-12 * self.squares[b - 1]
+            r, k = np.nonzero(d <= np.minimum(d.min(axis=1), best[rows])[:, None] + rounding)
+            if not len(r):
+                continue
+            exact = np.zeros(len(r))
+            for x, w in zip(z[rows].T, self.words[a:b].T, strict=True):
+                exact += (x[r] - w[k]) ** 2
+            which = self.order[a:b][k]
+            first = np.lexsort((which, exact, r))
+            first = first[np.concatenate([[True], r[first][1:] != r[first][:-1]])]
+            own, e, c = rows[r[first]], exact[first], which[first]
+            better = (e < best[own]) | ((e == best[own]) & (c < code[own]))
+            best[own[better]], code[own[better]] = e[better], c[better]
+        return code
+
+
 def search(z: np.ndarray, words: np.ndarray, block: int = 256) -> np.ndarray:
-    """Lowest-index nearest word of each row, tile by tile, in double precision."""
-    z = z.astype(np.float64)
-    best = np.full(len(z), np.inf)
-    code = np.zeros(len(z), dtype=np.int64)
-    norms = (z * z).sum(axis=1)
-    for at in range(0, len(words), block):
-        part = words[at : at + block].astype(np.float64)
-        # a product finds the few candidates, direct differences decide between them
-        d = norms[:, None] + (part * part).sum(axis=1) - 2 * (z @ part.T)
-        near = d <= d.min(axis=1, keepdims=True) + 1e-6 * (1 + norms[:, None])
-        for r, k in zip(*np.nonzero(near), strict=True):
-            exact = 0.0
-            for x in (z[r] - part[k]) ** 2:
-                exact += x
-            if exact < best[r]:
-                best[r], code[r] = exact, at + k
-    return code
+    """Lowest-index nearest word of each row, in double precision."""
+    return Book(words, block).search(z)
 
 
 def nearest_blocked(latents: DataFrame, words: np.ndarray, block: int = 256, id_col: str = "id") -> DataFrame:
@@ -74,9 +120,10 @@ def nearest_blocked(latents: DataFrame, words: np.ndarray, block: int = 256, id_
     shared = latents.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = Book(shared.value, block)
         for batch in batches:
             if batch.num_rows:
-                code = search(matrix(batch.column(1)), shared.value, block)
+                code = book.search(matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code, pa.int32())], [id_col, "code"])
 
     return latents.select(F.col(id_col).cast("long").alias(id_col), "z").mapInArrow(run, f"{id_col} long, code int")
@@ -84,7 +131,7 @@ def nearest_blocked(latents: DataFrame, words: np.ndarray, block: int = 256, id_
 
 def lookup(codes: DataFrame, codebook: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, code, vec) of rows (id, code); a code without a word has a null vector."""
-    return codes.join(F.broadcast(codebook.select("code", "vec")), "code", "left").select(id_col, "code", "vec")
+    return codes.join(small(codebook.select("code", "vec")), "code", "left").select(id_col, "code", "vec")
 
 
 def project(base: np.ndarray, w: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -92,4 +139,4 @@ def project(base: np.ndarray, w: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return (base.astype(np.float32) @ w.astype(np.float32) + bias).astype(np.float32)
 
 
-__all__ = ["codebook_array", "lookup", "nearest", "nearest_blocked", "project", "search", "squared_distance"]
+__all__ = ["Book", "codebook_array", "lookup", "nearest", "nearest_blocked", "project", "search", "squared_distance"]

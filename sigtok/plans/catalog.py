@@ -770,6 +770,30 @@ def token_file_range(spark: SparkSession, sf: str) -> DataFrame:
     return token_read_range(spark, sf).select("read_pos", "num_samples", "num_chunks")
 
 
+@query(f"""WITH {EVENTS}, {plan_sql("sig", 64, 48)}, summed AS (
+SELECT read_pos, n, k_chunks, coalesce(sum(k_chunks) OVER (ORDER BY read_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counted)
+SELECT read_pos, n AS num_samples, k_chunks::BIGINT AS num_chunks FROM summed WHERE before < 100""")
+def token_file_subset(spark: SparkSession, sf: str) -> DataFrame:
+    from sigtok.plans.demo import token_subset
+
+    return token_subset(spark, sf).select("read_pos", "num_samples", "num_chunks")
+
+
+#: Rules by the place of their fault; a read without samples' count has no signal either.
+FAULT_NAMES = """calibration sample_rate read_id pore_type end_reason context_tags tracking_id run_info_texts signal_length num_samples
+num_chunks extrema window_stats codes decoded""".split()
+
+
+@query(f"""WITH reads AS (SELECT DISTINCT user_id AS read_pos FROM events), faults AS (
+SELECT unnest({FAULT_NAMES}) AS rule, unnest(range({len(FAULT_NAMES)})) AS k UNION ALL SELECT 'signal_length', {FAULT_NAMES.index("num_samples")})
+SELECT rule, count(*) AS reads FROM reads JOIN faults ON read_pos % {len(FAULT_NAMES) + 1} = k GROUP BY rule""")
+def faults_by_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rule on reads that are made to break it."""
+    from sigtok.plans.demo import fault_counts
+
+    return fault_counts(spark, sf)
+
+
 @query("SELECT * FROM (VALUES ('tokens', 'tokens'), ('zip', 'zip'), ('pod5', 'pod5'), ('text', 'unknown')) AS t(file, kind)")
 def sniff_formats(spark: SparkSession, sf: str) -> DataFrame:
     from sigtok.plans.demo import sniffed

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigtok.functions import scalar as S
-from sigtok.operators import codecs, network, quality
+from sigtok.operators import checks, codecs, network, quality
 from sigtok.operators.windows import chunk_plan, samples
 from sigtok.plans import pipeline
 from sigtok.profile import SMALL, NetworkConfig, Profile
 from sigtok.schema import END_REASONS, PAIRS, READ_META, RUN_INFO, RUN_INFO_RANGES, RUN_INFO_TEXTS
-from sigtok.session import work_path
+from sigtok.session import small, work_path
 from sigtok.sources import adapters, tokens
 from sigtok.streaming import windows as streams
 
@@ -93,6 +93,64 @@ def token_read_range(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where((F.col("read_pos") >= n // 4) & (F.col("read_pos") < n - n // 4))
 
 
+#: Windows that the subset is cut at.
+SUBSET = 100
+
+
+def token_subset(spark: SparkSession, sf: str) -> DataFrame:
+    """The first reads of a token file up to SUBSET windows, as a token file of their own."""
+    path, part = _token_file(spark, sf)[1], work_path(spark, "tokens-subset")
+    tokens.write_subset(path, part, SUBSET)
+    return tokens.read_tokens(spark, part)
+
+
+def faults() -> dict[str, dict[str, Column]]:
+    """How a read is made to break each rule."""
+    return {
+        "calibration": {"scale": F.lit(0.0)},
+        "sample_rate": {"sample_rate": F.lit(4000)},
+        "read_id": {"read_id": F.lit(b"short")},
+        "pore_type": {"pore_type": F.repeat(F.lit("é"), (1 << 19) + 1)},
+        "end_reason": {"end_reason": F.lit("odd")},
+        "context_tags": {"context_tags": F.array(F.struct(F.lit("key").alias("key"), F.lit(None).cast("string").alias("value")))},
+        "tracking_id": {"tracking_id": F.array_repeat(F.struct(F.lit("k").alias("key"), F.lit("v").alias("value")), 32768)},
+        "run_info_texts": {"sample_id": F.repeat(F.lit("x"), (1 << 20) + 1)},
+        "signal_length": {"signal": F.concat("signal", F.array(F.lit(0).cast("smallint")))},
+        "num_samples": {"num_samples": F.lit(-1).cast("long"), "num_chunks": F.lit(0).cast("long"), "signal": F.lit(None).cast("array<smallint>")},
+        "num_chunks": {"num_chunks": F.col("num_chunks") + 1},
+        "extrema": {"lo": F.lit(float("-inf"))},
+        "window_stats": {"half": F.lit(-1.0).cast("float")},
+        "codes": {"codes": F.array_repeat(F.lit(65536), 16)},
+        "decoded": {"y": F.array(F.lit(float("nan")).cast("float"))},
+    }
+
+
+def faulty_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Event reads with everything that rules look at, each with the fault of its number, or none."""
+    reads, run_info = full_reads(spark, sf)
+    infos = run_info.select(*(c for c in run_info.columns if c not in reads.columns or c == "acquisition_id"))
+    whole = reads.join(small(infos), "acquisition_id").withColumns(
+        {
+            "num_chunks": S.chunk_count(F.col("num_samples"), SMALL), "lo": F.lit(0.0).cast("float"), "hi": F.lit(1.0).cast("float"),
+            "center": F.lit(0.5).cast("float"), "half": F.lit(0.5).cast("float"),
+            "codes": F.array_repeat(F.lit(7), SMALL.tokens_per_chunk), "y": F.array(F.lit(0.5).cast("float")),
+        }
+    )
+    known = faults()
+    which = F.pmod("read_pos", F.lit(len(known) + 1))
+    changed: dict[str, Column] = {}
+    for k, columns in enumerate(known.values()):
+        for name, value in columns.items():
+            kind = whole.schema[name].dataType
+            changed[name] = F.when(which == k, value.cast(kind)).otherwise(changed.get(name, F.col(name)))
+    return whole.select(*(changed.get(c, F.col(c)).alias(c) for c in whole.columns))
+
+
+def fault_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads by the rule that they break."""
+    return checks.violations(faulty_reads(spark, sf), "read_pos", SMALL).groupBy("rule").agg(F.count(F.lit(1)).alias("reads"))
+
+
 def sniffed(spark: SparkSession) -> DataFrame:
     folder = work_path(spark, "sniff").removeprefix("file://")
     os.makedirs(folder)

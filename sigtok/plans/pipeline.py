@@ -6,9 +6,12 @@ decoded where they are; one shuffle brings a read's segments together. validate:
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sigtok.errors import SigtokError
@@ -18,7 +21,8 @@ from sigtok.operators.normalize import prepare
 from sigtok.operators.stitch import stitch, stitch_segments
 from sigtok.operators.windows import chunk_plan
 from sigtok.profile import PROFILE, ModelIdentity, Profile
-from sigtok.schema import READ_META
+from sigtok.schema import READ_META, READS, RUN_INFO
+from sigtok.session import small
 from sigtok.sources import tokens as token_files
 
 
@@ -66,7 +70,7 @@ def stored_reads(reads: DataFrame, run_info: DataFrame, tokens: DataFrame, p: Pr
     by_read = tokens.groupBy("read_pos").agg(F.sort_array(F.collect_list(F.struct("seq", "center", "scale", "codes"))).alias("t"))
     infos = grouping.first_rows(run_info.withColumn("_row", F.lit(0)), "acquisition_id", "_row").drop("_row")
     info = F.struct(*(F.col(c) for c in run_info.columns)).alias("run_info")
-    with_info = reads.join(F.broadcast(infos.select("acquisition_id", info)), "acquisition_id", "left")
+    with_info = reads.join(small(infos.select("acquisition_id", info)), "acquisition_id", "left")
     with_info = with_info.withColumn(
         "run_info",
         F.when(F.col("run_info").isNotNull(), F.col("run_info")).otherwise(
@@ -107,31 +111,64 @@ def window_tokens(stored: DataFrame, p: Profile = PROFILE) -> DataFrame:
 def encode_file(
     spark: SparkSession, source: str, target: str, codec: str = "mean-quant", p: Profile = PROFILE, force: bool = False, batch: int = codecs.BATCH
 ) -> DataFrame:
-    """Parquet reads (READS, with a run_info table beside them) to a token file; the report has one row."""
-    reads = spark.read.parquet(f"{source}/reads").withColumns(
-        {"offset": F.col("calibration_offset"), "scale": F.col("calibration_scale")}
-    )
-    run_info = spark.read.parquet(f"{source}/run_info")
-    broken = checks.violations(reads, "read_pos", p).unionByName(
-        checks.violations(run_info, "acquisition_id", p).select(F.lit(-1).cast("long").alias("read_pos"), "rule")
-    )
-    if first := broken.head(1):
-        raise SigtokError(f"rule {first[0]['rule']} is broken", f"at read {first[0]['read_pos']}")
-    stored = stored_reads(reads, run_info, encode(reads, codecs.create(codec, p), p, batch), p)
-    token_files.write_tokens(stored, target, p, ModelIdentity(), force)
-    return report(reads, p)
+    """Parquet reads (READS, with a run_info table beside them) to a token file; the report has one row.
 
-
-def decode_file(spark: SparkSession, source: str, target: str, codec: str = "mean-quant", force: bool = False) -> DataFrame:
-    """A token file to Parquet reads; only files of this version's model and codec profile fields are taken."""
+    Reads are checked by the plan that encodes them and counted by the plan that is written, so nothing is read
+    for a check or a report alone.
+    """
+    began = time.monotonic()
+    run_info = checks.require_types(spark.read.parquet(f"{source}/run_info"), RUN_INFO, "run_info")
+    for fault, what in ((checks.nulls(run_info, "acquisition_id"), "column"), (checks.violations(run_info, "acquisition_id", p), "rule")):
+        if first := fault.head(1):
+            raise SigtokError(f"{what} {first[0][what]} is {'null' if what == 'column' else 'broken'}", f"at run info {first[0]['acquisition_id']}")
+    given = checks.require_types(spark.read.parquet(f"{source}/reads"), READS, "reads")
+    reads = given.withColumns({"offset": F.col("calibration_offset"), "scale": F.col("calibration_scale")})
+    checked = checks.enforce(reads, p, key="read_pos", full=True)
+    stored = stored_reads(reads, run_info, encode(checked, codecs.create(codec, p), p, batch), p)
+    seen = Observation("encode-file")
+    n, k = F.col("num_samples"), F.col("num_chunks")
+    stored = stored.observe(
+        seen, F.count(F.lit(1)).alias("reads"), F.count(F.when(n == 0, 1)).alias("empty_reads"), F.coalesce(F.sum(k), F.lit(0)).alias("chunks"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("samples"), F.coalesce(F.max("group_id") + 1, F.lit(0)).alias("groups"),
+        F.coalesce(F.sum(S.payload_bytes(k, p)), F.lit(0)).alias("payload_bytes"),
+    )
+    try:
+        token_files.write_tokens(stored, target, p, ModelIdentity(), force)
+    except PySparkException as e:
+        if fault := re.search(r"(?:rule \w+ is broken|column \w+ is null) at read_pos -?\w+", str(e)):
+            raise SigtokError(fault[0]) from e
+        raise
+    return written(spark, seen.get, began)
+
+
+def written(spark: SparkSession, seen: dict[str, int], began: float) -> DataFrame:
+    """The report's row: what was counted, its ratio to 16-bit samples, and the seconds since ``began``."""
+    row = dict(seen) | {
+        "ratio": round(2.0 * seen["samples"] / max(1, seen["payload_bytes"]), 6), "seconds": round(time.monotonic() - began, 3),
+    }
+    kinds = ", ".join(f"{name} {'double' if isinstance(v, float) else 'long'}" for name, v in row.items())
+    return spark.createDataFrame([tuple(row.values())], kinds)
+
+
+def decode_file(
+    spark: SparkSession, source: str, target: str, codec: str = "mean-quant", force: bool = False, p: Profile = PROFILE
+) -> DataFrame:
+    """A token file to Parquet reads. Before anything is decoded, the file has to be of this version's model and of the
+    profile ``p``, and all its end reasons known. Windows are read as rows, so no task holds a read's codes."""
     header = token_files.read_header(source)
     if header.model != ModelIdentity():
         raise SigtokError(f"the file was written by model {header.model.repo_id}")
-    p = header.profile
-    stored = token_files.read_tokens(spark, source)
+    if header.profile != p:
+        other = [name for name, v in header.profile.to_json_dict().items() if v != p.to_json_dict()[name]]
+        raise SigtokError(f"the file's profile differs in {', '.join(other)}")
+    stored = token_files.read_tokens(spark, source, with_codes=False)
+    rules = [r for r in checks.RULES if r.name == "end_reason"]
+    if first := checks.violations(stored, "read_pos", p, rules).head(1):
+        raise SigtokError("the file has an end reason that isn't known", f"at read {first[0]['read_pos']}")
     reads = stored.select(*(c for c in READ_META.names if c in stored.columns), F.col("run_info.acquisition_id").alias("acquisition_id"))
     reads = reads.withColumns({"offset": F.col("calibration_offset"), "scale": F.col("calibration_scale")})
-    signals = decode(window_tokens(stored, p), reads, codecs.create(codec, p), p).select("read_pos", "signal")
+    tokens = token_files.read_windows(spark, source).select("read_pos", "seq", "center", "scale", "codes")
+    signals = decode(tokens, reads, codecs.create(codec, p), p).select("read_pos", "signal")
     mode = "overwrite" if force else "error"
     reads.drop("offset", "scale").join(signals, "read_pos").withColumn("file", F.lit(target)).write.mode(mode).parquet(f"{target}/reads")
     infos = stored.select("run_info.*", F.col("read_pos").alias("_pos"))

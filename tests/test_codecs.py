@@ -117,6 +117,41 @@ def test_blocked_search_of_65536_codewords(spark):
     assert [got[n] for n in range(40, 60)] == list(range(100, 120))
 
 
+def naive_nearest(z, words):
+    """Sums dimension by dimension, the lowest code on ties."""
+    out = []
+    for row in z.astype(np.float64):
+        d = np.zeros(len(words))
+        for k in range(len(row)):
+            d += (row[k] - words[:, k].astype(np.float64)) ** 2
+        out.append(int(np.argmin(d)))
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1000])
+def test_pruned_search_equals_every_word(block):
+    rng = np.random.default_rng(8)
+    base = (rng.standard_normal((150, 6)) * np.exp(rng.normal(0, 2, 150))[:, None]).astype(np.float32)
+    words = np.concatenate([base, base[::-1], np.zeros((2, 6), np.float32)])  # every word twice
+    z = np.concatenate([(rng.standard_normal((90, 6)) * np.exp(rng.normal(0, 2, 90))[:, None]).astype(np.float32), base[:20], np.zeros((1, 6), np.float32)])
+    book = quantize.Book(words, block)
+    assert book.search(z).tolist() == naive_nearest(z, words)
+    assert len(book.starts) < 2 or book.visited < len(z) * len(book.starts)
+    assert book.search(z[:0]).tolist() == []
+
+
+def test_search_at_the_released_width_visits_few_tiles():
+    """65 536 words of lengths over some orders: the result is brute force's, most tiles stay unseen."""
+    rng = np.random.default_rng(9)
+    n = 65_536
+    words = (rng.standard_normal((n, 16)) * np.exp(rng.normal(0, 1, n))[:, None]).astype(np.float32)
+    z = (words[rng.integers(0, n, 300)] * rng.uniform(0.97, 1.03, (300, 16))).astype(np.float32)
+    book = quantize.Book(words)
+    got = book.search(z)
+    assert got.tolist() == naive_nearest(z, words)
+    assert book.visited < 0.5 * len(z) * len(book.starts)
+
+
 # ---- the network
 
 

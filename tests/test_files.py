@@ -7,6 +7,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sigtok.__main__ import main
 from sigtok.errors import SigtokError, UsageError
@@ -319,21 +320,93 @@ def test_atomic_file(tmp_path):
             bad()
 
 
-def test_encode_and_decode_files(spark, data, tmp_path):
+@pytest.mark.parametrize("limit", [0, 1, 2, 4, 7, 9, 10, 11, 100])
+def test_subset_copies_the_first_reads(tmp_path, limit):
+    path, part = tmp_path / "t", tmp_path / "part"
+    path.write_bytes(file_of(GROUPS))
+    _, rows = load(path)
+    want, chunks = [], 0
+    for r in rows:
+        if chunks >= limit:
+            break
+        want.append(r)
+        chunks += r["num_chunks"]
+    header = tokens.write_subset(str(path), str(part), limit)
+    got_header, got = load(part)
+    assert got == want or [{k: str(v) for k, v in r.items()} for r in got] == [{k: str(v) for k, v in r.items()} for r in want]
+    assert header == got_header and header.read_count == len(want)
+    if len(want) == len(rows):
+        assert part.read_bytes() == path.read_bytes()
+    with pytest.raises(UsageError):
+        tokens.write_subset(str(path), str(part), limit)
+    with pytest.raises(UsageError, match="input"):
+        tokens.write_subset(str(path), str(path), limit, force=True)
+
+
+def given_reads(spark, data, tmp_path):
     reads, run_info = demo.full_reads(spark, data)
     reads.drop("offset", "scale").write.parquet(f"{tmp_path}/in/reads")
     run_info.write.parquet(f"{tmp_path}/in/run_info")
+    return spark.read.parquet(f"{tmp_path}/in/reads"), spark.read.parquet(f"{tmp_path}/in/run_info")
+
+
+def test_encode_and_decode_files(spark, data, tmp_path):
+    reads, run_info = given_reads(spark, data, tmp_path)
     report = pipeline.encode_file(spark, f"{tmp_path}/in", f"{tmp_path}/t", "mean-quant", SMALL).first()
-    assert report.reads == reads.count()
-    pipeline.decode_file(spark, f"{tmp_path}/t", f"{tmp_path}/out")
+    _, rows = load(tmp_path / "t")
+    assert (report.reads, report.samples) == (reads.count(), sum(r["num_samples"] for r in rows))
+    assert (report.chunks, report.groups) == (sum(r["num_chunks"] for r in rows), 1 + max(r["group_id"] for r in rows))
+    assert report.payload_bytes == sum(tokens.payload_bytes(r["num_chunks"], SMALL) for r in rows) and report.empty_reads == 0
+    assert report.ratio == pytest.approx(2 * report.samples / report.payload_bytes, abs=1e-6) and report.seconds > 0
+    pipeline.decode_file(spark, f"{tmp_path}/t", f"{tmp_path}/out", p=SMALL)
     back = {r.read_pos: r for r in spark.read.parquet(f"{tmp_path}/out/reads").collect()}
     for r in reads.collect():
         b = back[r.read_pos]
         assert len(b.signal) == r.num_samples and b.read_id == r.read_id and b.acquisition_id == r.acquisition_id and b.pore_type == r.pore_type
     assert spark.read.parquet(f"{tmp_path}/out/run_info").count() == 2
-    with pytest.raises(SigtokError, match="sample_rate"):
-        run_info.selectExpr("* except (sample_rate)", "4000 as sample_rate").write.mode("overwrite").parquet(f"{tmp_path}/in/run_info")
-        pipeline.encode_file(spark, f"{tmp_path}/in", f"{tmp_path}/t2", "mean-quant", SMALL)
+
+
+def test_input_is_checked_where_it_is_encoded(spark, data, tmp_path):
+    reads, run_info = given_reads(spark, data, tmp_path)
+    faults = [
+        (reads.withColumn("calibration_scale", F.when(F.col("read_pos") == 3, 0).otherwise(F.col("calibration_scale")).cast("float")), "rule calibration is broken at read_pos 3"),
+        (reads.withColumn("end_reason", F.when(F.col("read_pos") == 2, "odd").otherwise(F.col("end_reason"))), "rule end_reason is broken at read_pos 2"),
+        (reads.withColumn("signal", F.when(F.col("read_pos") == 4, F.slice("signal", 1, 2)).otherwise(F.col("signal"))), "rule signal_length is broken at read_pos 4"),
+        (reads.withColumn("open_pore_level", F.when(F.col("read_pos") == 5, None).otherwise(F.col("open_pore_level"))), "column open_pore_level is null at read_pos 5"),
+        (reads.withColumn("num_samples", F.col("num_samples").cast("int")), "reads.num_samples is int, not bigint"),
+        (reads.drop("well"), "reads has no column well"),
+    ]
+    for n, (bad, message) in enumerate(faults):
+        bad.write.parquet(f"{tmp_path}/bad{n}/reads")
+        run_info.write.parquet(f"{tmp_path}/bad{n}/run_info")
+        with pytest.raises(SigtokError, match=message):
+            pipeline.encode_file(spark, f"{tmp_path}/bad{n}", f"{tmp_path}/t{n}", "mean-quant", SMALL)
+        assert not (tmp_path / f"t{n}").exists()
+    infos = [
+        (run_info.selectExpr("* except (sample_rate)", "4000 as sample_rate"), "rule sample_rate is broken"),
+        (run_info.withColumn("sample_id", F.when(F.col("acquisition_id") == "run-0", None).otherwise(F.col("sample_id"))), "column sample_id is null"),
+        (run_info.withColumn("software", F.repeat(F.lit("x"), (1 << 20) + 1)), "rule run_info_texts is broken"),
+        (run_info.withColumn("protocol_start_time_ms", F.timestamp_millis(F.lit(5))), "run_info.protocol_start_time_ms is timestamp, not bigint"),
+    ]
+    for n, (bad, message) in enumerate(infos):
+        bad.write.parquet(f"{tmp_path}/info{n}/run_info")
+        reads.limit(0).write.parquet(f"{tmp_path}/info{n}/reads")
+        with pytest.raises(SigtokError, match=message):
+            pipeline.encode_file(spark, f"{tmp_path}/info{n}", f"{tmp_path}/t", "mean-quant", SMALL)
+
+
+def test_files_are_checked_before_they_are_decoded(spark, tmp_path):
+    path, out = tmp_path / "t", str(tmp_path / "out")
+    path.write_bytes(file_of(GROUPS))
+    with pytest.raises(SigtokError, match="profile differs in chunk_samples, overlap_samples, hop_samples, tokens_per_chunk"):
+        pipeline.decode_file(spark, str(path), out)
+    path.write_bytes(file_of([[row(0, 64), row(1, 200, end_reason="a new one")]]))
+    with pytest.raises(SigtokError, match="end reason that isn't known"):
+        pipeline.decode_file(spark, str(path), out, p=SMALL)
+    path.write_bytes(file_of(GROUPS, header=replace(tokens.Header(SMALL), read_count=7, model=replace(tokens.Header().model, revision="1" * 40))))
+    with pytest.raises(SigtokError, match="written by model"):
+        pipeline.decode_file(spark, str(path), out, p=SMALL)
+    assert not (tmp_path / "out").exists()
 
 
 def test_missing_run_info_is_an_error(spark, data):
