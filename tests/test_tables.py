@@ -44,6 +44,42 @@ def test_admission_by_file_and_table_size(spark):
         grouping.admit(df, PROFILE, table_bytes=20, dictionaries=["tag"]).collect()
 
 
+def folded_with_tables(rows, group_chunks, group_reads, table_bytes):
+    """The fold one read after the other: (chunks, tag) rows, a tag of n characters taking n + 3 bytes."""
+    out, group, chunks, n, tags = [], 0, 0, 0, set()
+    for k, tag in rows:
+        size = sum(len(t) + 3 for t in tags | {tag})
+        if n and (chunks + k > group_chunks or n >= group_reads or size > table_bytes):
+            group, chunks, n, tags = group + 1, 0, 0, set()
+        chunks, n, tags = chunks + k, n + 1, tags | {tag}
+        out.append(group)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_admission_over_many_ranges(spark, seed):
+    """Ranges of a few reads, files of many ranges and of one read, positions with gaps."""
+    rng = np.random.default_rng(seed)
+    rows, want = [], {}
+    group_chunks, group_reads, table_bytes = [int(x) for x in (rng.integers(1, 12), rng.integers(1, 9), rng.integers(12, 40))]
+    for file, n in (("a", 150), ("b", 1), ("c", 37), ("d", 64)):
+        at = np.sort(rng.choice(4 * n, n, replace=False))
+        chunks = rng.choice([0, 0, 1, 1, 2, 3, 20], n)
+        tags = ["x" * int(k) for k in rng.integers(1, 9, n)]
+        groups = folded_with_tables(zip(chunks, tags), group_chunks, group_reads, table_bytes)
+        for a, k, tag, g in zip(at, chunks, tags, groups):
+            rows.append((file, int(a), int(0 if k == 0 else PROFILE.chunk_samples + (k - 1) * PROFILE.hop_samples), tag))
+            want[file, int(a)] = (int(k), g)
+    df = spark.createDataFrame(rows, "file string, read_pos long, num_samples long, tag string").repartition(3)
+    got = grouping.admit(df, PROFILE, group_chunks, group_reads, table_bytes, ["tag"], span=group_reads + seed).collect()
+    assert {(r.file, r.read_pos): (r.num_chunks, r.group_id) for r in got} == want
+    plain = grouping.admit(df.drop("tag"), PROFILE, group_chunks, group_reads, span=1).collect()
+    for file in "abcd":
+        mine = sorted((r.read_pos, r.num_chunks, r.group_id) for r in plain if r.file == file)
+        assert [g for _, _, g in mine] == folded([k for _, k, _ in mine], group_chunks, group_reads)
+    assert grouping.admit(df.where("false")).count() == 0
+
+
 def test_dictionaries(spark):
     rows = spark.createDataFrame([(0, "b", 1), (0, "a", 2), (0, "b", 3), (1, "c", 4)], "g int, v string, o int")
     table = grouping.dictionary(rows, "g", "v", "o")
