@@ -242,9 +242,15 @@ def denormalize(spark: SparkSession, sf: str) -> DataFrame:
 # ---- stitching
 
 
-@query("""SELECT t::INT AS t, CAST(least(1.0::DOUBLE, (t + 1) / 145.0::DOUBLE, (8192 - t) / 145.0::DOUBLE) AS FLOAT) AS weight FROM range(0, 8192) x(t)""")
+@query(f"""WITH {LENGTHS}, {plan_sql("lens")}, seams AS (SELECT read_pos, i, start, valid, unnest([0, 1, 72, 143, 144, valid - 145, valid - 144, valid - 1]) AS t FROM plan)
+SELECT DISTINCT read_pos, i::INT AS seq, t::INT AS t, CAST(least(1.0::DOUBLE, (t + 1) / 145.0::DOUBLE, (8192 - t) / 145.0::DOUBLE) AS FLOAT) AS weight
+FROM seams WHERE t >= 0 AND t < valid""")
 def edge_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(PROFILE.chunk_samples).select(F.col("id").cast("int").alias("t"), S.edge_weight(F.col("id"), PROFILE).alias("weight"))
+    """Weights about the ends of every document's windows."""
+    v, o = F.col("valid"), PROFILE.overlap_samples
+    places = F.array(*(F.lit(k) for k in (0, 1, o // 2, o - 1, o)), v - o - 1, v - o, v - 1)
+    rows = windows.chunk_plan(A.read_lengths(spark, sf)).select("read_pos", "seq", "valid", F.explode(F.array_distinct(places)).alias("t"))
+    return rows.where((F.col("t") >= 0) & (F.col("t") < v)).select("read_pos", "seq", "t", S.edge_weight(F.col("t"), PROFILE).alias("weight"))
 
 
 @query(f"""WITH {SIGNALS} SELECT read_pos, n AS num_samples, list_sum(s)::BIGINT AS adc_sum, 0::BIGINT AS differing FROM sig""")
@@ -649,9 +655,12 @@ def tree_difference(spark: SparkSession, sf: str) -> DataFrame:
 # ---- small numeric operators
 
 
-@query("""SELECT b::INT AS bin, (CASE WHEN b < 21 THEN 0 WHEN b < 52 THEN 1 WHEN b < 103 THEN 2 ELSE 3 END)::INT AS band FROM range(0, 257) r(b)""")
+@query("""SELECT event_id, (abs(value)::BIGINT % 257)::INT AS bin, (CASE WHEN abs(value)::BIGINT % 257 < 21 THEN 0 WHEN abs(value)::BIGINT % 257 < 52 THEN 1
+WHEN abs(value)::BIGINT % 257 < 103 THEN 2 ELSE 3 END)::INT AS band FROM (SELECT event_id, floor(value) AS value FROM events)""")
 def band_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(257).select(F.col("id").cast("int").alias("bin"), S.band_of(F.col("id"), RELEASED_NETWORK).alias("band"))
+    """The band of a bin that each event's value points to."""
+    bin_ = F.pmod(F.abs(F.floor("value")), F.lit(257)).cast("int")
+    return A.table(spark, sf, "events").select("event_id", bin_.alias("bin"), S.band_of(bin_, RELEASED_NETWORK).alias("band"))
 
 
 @query("SELECT doc_id AS read_pos, ceil(ceil(ceil(ceil(n_chars / 2) / 2) / 2) / 2)::INT AS tokens, 16 AS factor FROM documents")
@@ -661,9 +670,14 @@ def tokens_for(spark: SparkSession, sf: str) -> DataFrame:
     return A.read_lengths(spark, sf).select("read_pos", S.tokens_for(F.col("num_samples"), strides).alias("tokens"), factor.alias("factor"))
 
 
-@query("SELECT i::INT AS i, round(0.5 - 0.5 * cos(2 * pi() * i / 511), 12) AS w FROM range(0, 512) r(i)")
+@query("""SELECT vec_id, round(list_sum(list_transform(range(len(embedding)), lambda i: embedding[i + 1]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * i / (len(embedding) - 1))))), 5) AS windowed
+FROM embeddings WHERE embedding IS NOT NULL""")
 def hann_window(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(512).select(F.col("id").cast("int").alias("i"), r(S.hann(F.col("id"), 512), 12).alias("w"))
+    """Every vector under a Hann window of its length, summed."""
+    rows = A.table(spark, sf, "embeddings").where("embedding is not null")
+    n = 64
+    weighed = F.zip_with("embedding", F.array(*(S.hann(F.lit(i), n) for i in range(n))), lambda v, w: v.cast("double") * w)
+    return rows.select("vec_id", r(F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x), 5).alias("windowed"))
 
 
 @query("""WITH f AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
@@ -794,11 +808,39 @@ def faults_by_rule(spark: SparkSession, sf: str) -> DataFrame:
     return fault_counts(spark, sf)
 
 
-@query("SELECT * FROM (VALUES ('tokens', 'tokens'), ('zip', 'zip'), ('pod5', 'pod5'), ('text', 'unknown')) AS t(file, kind)")
+@query("""SELECT kind, count(*) AS files, sum(size)::BIGINT AS bytes FROM (
+SELECT CASE doc_id % 4 WHEN 0 THEN 'tokens' WHEN 1 THEN 'zip' WHEN 2 THEN 'pod5' ELSE 'unknown' END AS kind,
+strlen(coalesce(text, '')) + CASE doc_id % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 8 ELSE 1 END AS size FROM documents) GROUP BY kind""")
 def sniff_formats(spark: SparkSession, sf: str) -> DataFrame:
-    from sigtok.plans.demo import sniffed
-
-    return sniffed(spark)
+    """Documents as contents of files that begin as files of each format do."""
+    from sigtok.sources import tokens
+
+    k = F.pmod("doc_id", F.lit(4))
+    start = F.when(k == 0, F.lit(tokens.MAGIC)).when(k == 1, F.lit(b"PK\x03\x04")).when(k == 2, F.lit(b"\x8bPOD\r\n\x1a\n")).otherwise(F.lit(b"\x00"))
+    content = F.concat(start, F.coalesce("text", F.lit("")).cast("binary"))
+    rows = A.table(spark, sf, "documents").select(tokens.kind_of(content).alias("kind"), F.octet_length(content).alias("size"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("""WITH s AS (SELECT l_suppkey AS read_pos, count(*) AS n, list(l_quantity::INT ORDER BY l_orderkey, l_linenumber, l_quantity::INT) AS q FROM lineitem GROUP BY 1)
+SELECT read_pos, n AS num_samples, list_sum(list_transform(range(len(q)), lambda i: q[i + 1] * (i % 97)))::BIGINT AS weighted FROM s""")
+def supplier_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads of medium length, a supplier's quantities in order."""
+    weighted = F.aggregate(F.transform("signal", lambda x, i: x.cast("long") * F.pmod(i, F.lit(97))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return A.supplier_reads(spark, sf).select("read_pos", "num_samples", weighted.alias("weighted"))
+
+
+@query(f"""WITH {LENGTHS}, {plan_sql("lens")} SELECT k_chunks::BIGINT AS num_chunks, count(DISTINCT read_pos) AS reads, sum(valid)::BIGINT AS samples
+FROM plan GROUP BY k_chunks""")
+def views_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables as SQL views: reads joined with their windows."""
+    from sigtok.plans.views import register
+
+    names = register(spark, sf)
+    return spark.sql(
+        f"SELECT r.num_chunks, count(DISTINCT r.read_pos) AS reads, sum(c.valid) AS samples "
+        f"FROM {names['reads']} r JOIN {names['chunks']} c ON r.read_pos = c.read_pos GROUP BY r.num_chunks"
+    )
 
 
 @query()

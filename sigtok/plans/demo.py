@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,15 +149,6 @@ def fault_counts(spark: SparkSession, sf: str) -> DataFrame:
     return checks.violations(faulty_reads(spark, sf), "read_pos", SMALL).groupBy("rule").agg(F.count(F.lit(1)).alias("reads"))
 
 
-def sniffed(spark: SparkSession) -> DataFrame:
-    folder = work_path(spark, "sniff").removeprefix("file://")
-    os.makedirs(folder)
-    for name, start in (("tokens", tokens.MAGIC), ("zip", b"PK\x03\x04rest"), ("pod5", b"\x8bPOD\r\n\x1a\n"), ("text", b"hello"), ("empty", b"")):
-        with open(f"{folder}/{name}", "wb") as fh:
-            fh.write(start)
-    return tokens.sniff(spark, folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "kind")
-
-
 #: A network small enough for a check on processors: 64 samples to 16 tokens.
 TINY = NetworkConfig(
     enc_channels=(4, 8, 8), enc_down_strides=(2, 2), enc_stage_num_res_blocks=(1, 2), latent_dim=8, latent_bilstm_layers=1,

@@ -74,6 +74,22 @@ def test_any_order_and_a_restart(spark, tmp_path, few_partitions):
     assert len(run(spark, tmp_path)) == len(both)
 
 
+def test_stream_of_whole_reads_gives_the_batch_tokens(spark, tmp_path, few_partitions):
+    from sigtok.operators import codecs
+    from sigtok.plans import pipeline
+    from tests.test_signal import reads
+
+    table = reads(spark, [signal(k, n) for k, n in enumerate((0, 1, 64, 65, 300, 777))])
+    for k in range(3):
+        table.where(f"read_pos % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = streams.stream_reads(spark, f"{tmp_path}/in", table.schema)
+    found = streams.encode_stream(stream, codecs.MeanQuant(SMALL), SMALL)
+    q = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/mark").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = spark.read.schema(found.schema).parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, pipeline.encode(table, codecs.MeanQuant(SMALL), SMALL).collect()))
+
+
 def test_late_samples_gaps_and_missing_ends(spark, tmp_path, few_partitions):
     whole, gap, endless = rows_of(1, 200), rows_of(2, 200), rows_of(3, 130, ended=False)
     put(spark, tmp_path, whole + [r for r in gap if r[1] not in (70, 71, 150)] + endless)

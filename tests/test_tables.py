@@ -166,6 +166,31 @@ def test_query_without_sql_runs(spark, data, name):
         assert rows[0].windows == rows[0].equal > 0
 
 
+def test_validation_report(spark):
+    from sigtok.operators import codecs
+    from sigtok.plans import pipeline
+
+    rng = np.random.default_rng(4)
+    original = reads(spark, [rng.integers(0, 900, n) for n in (0, 5, 64, 90, 300)])
+    tables = pipeline.validate(original, pipeline.roundtrip(original, codecs.MeanQuant(SMALL), SMALL), SMALL)
+    found = {name: df.collect() for name, df in tables.items()}
+    assert found["input"][0].reads == 5 and found["input"][0].samples == 459
+    assert sum(r.samples for r in found["by_region"]) == 459
+    assert sum(r.reads for r in found["by_length"]) == sum(r.reads for r in found["by_level"]) == 4
+    assert found["percentiles"][0].p5 <= found["percentiles"][0].p95 and found["mae_over_std"][0].mae_over_std > 0
+
+
+def test_views(spark, data):
+    from sigtok.plans import views
+
+    names = views.register(spark, data, "test_")
+    assert names == {t: f"test_{t}" for t in ("reads", "chunks", "tokens", "codebook")}
+    one = spark.sql("SELECT count(*) AS n, count(DISTINCT t.read_pos) AS reads, min(size(t.codes)) AS codes FROM test_tokens t JOIN test_chunks c USING (read_pos, seq)").first()
+    reads_ = spark.sql("SELECT sum(num_chunks) AS n, count(*) AS reads FROM test_reads WHERE num_samples > 0").first()
+    assert (one.n, one.reads, one.codes) == (reads_.n, reads_.reads, PROFILE.tokens_per_chunk)
+    assert spark.sql("SELECT count(*) FROM test_codebook").first()[0] == 64
+
+
 def test_entry(spark, data):
     rows = driver.entry(spark).collect()
     assert rows and all(r.end <= r.num_samples for r in rows)
