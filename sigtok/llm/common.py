@@ -105,6 +105,13 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return batch_map(df, run, schema)
 
 
+def slices(batch: pa.RecordBatch, nbytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in slices of about ``nbytes``, one row at least."""
+    rows = max(1, batch.num_rows * nbytes // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def ordinals(df: DataFrame, key: str, order: list[str], out: str, rows: int, salt_by: str) -> DataFrame:
     """Adds ``out``: gapless ordinals from 0 in each ``key``, without a window over a whole key.
 

@@ -13,9 +13,6 @@ the others all lines of the window go. A line of a longer run is in the window f
 than MIN_WORDS words of the run are left, in the window back from the run's end. So what goes is each
 later copy of each maximal repeated run of at least MIN_WORDS words, and nothing else.
 
-``whole_runs=False`` leaves out the windows back: up to MIN_WORDS - 1 words at the end of a run stay. That
-is what OP4_SQL defines, so the query ``op4_suffix_lines`` asks for it; nothing else does.
-
 Nothing is collected: intervals are grouped minima, joins on hot ranks can be split. White lines count
 for nothing and go only inside a cut run.
 
@@ -26,6 +23,7 @@ cut alike; empty tables give empty results. Other columns are kept by ``drop_rep
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigtok.llm.common import arrow_map, documents, fresh, small, whole_text, write_shared
+from sigtok.llm.common import batch_map, documents, fresh, slices, small, whole_text, write_shared
 
 MIN_WORDS = 50
 #: Buckets of the first ranking, by the top bits of line ids.
 BUCKET_BITS = 14
+#: Bytes of texts whose lines a worker holds at a time.
+LINES_BYTES = 512 << 10
 #: Cut ranges are broadcast up to so many.
 SMALL_CUTS = 500_000
 
@@ -49,7 +49,12 @@ def text_key(text: str) -> Column:
 def line_rows(df: DataFrame, text: str, key: str) -> DataFrame:
     """(doc_id, text_key, seq, line, h1, h2, words): the lines with words of each whole text."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, LINES_BYTES):
+                yield lines_of(part)
+
+    def lines_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         of, seq, at, hashes, words = [], [], [], [], []
         for n, value in enumerate(batch.column(2)):
@@ -74,7 +79,7 @@ def line_rows(df: DataFrame, text: str, key: str) -> DataFrame:
         text_key(text).alias("text_key"),
         F.col(text).cast("binary").alias("text"),
     )
-    return arrow_map(body, run, "doc_id long, text_key long, seq int, line int, h1 long, h2 long, words long")
+    return batch_map(body, run, "doc_id long, text_key long, seq int, line int, h1 long, h2 long, words long")
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:
@@ -117,7 +122,7 @@ def doubled(state: DataFrame, level: int, width: int) -> DataFrame:
 
 
 def repeated_runs(
-    df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, whole_runs: bool = True
+    df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS
 ) -> DataFrame:
     """(doc_id, text_key, first, last): lines first to last of a text are a later copy of a run."""
     lines = write_shared(line_rows(df, text, key), "lines")
@@ -140,12 +145,9 @@ def repeated_runs(
         F.when(F.size("enough") > 0, F.size(F.collect_list("line").over(ahead)) - F.size("enough") + 1),
     )
     # windows back start here as long as the next line's own window doesn't fit
-    n_ends = F.lit(1)
-    if whole_runs:
-        following = F.lead("run_lines").over(inside)
-        fits = F.greatest(F.lit(1), following - F.col("run_lines") + 1)
-        n_ends = F.when(following.isNull(), F.size("enough")).otherwise(fits)
-    state = state.withColumn("n_ends", n_ends)
+    following = F.lead("run_lines").over(inside)
+    fits = F.greatest(F.lit(1), following - F.col("run_lines") + 1)
+    state = state.withColumn("n_ends", F.when(following.isNull(), F.size("enough")).otherwise(fits))
     ends = F.transform(F.slice("enough", 1, F.col("n_ends")), lambda x: x["line"])
     state = write_shared(
         state.select(
@@ -188,52 +190,45 @@ def repeated_runs(
     )
 
 
-def cuts(
-    df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, whole_runs: bool = True
-) -> DataFrame:
-    """(doc_id, text_key, cuts): for each text with later copies the line ranges that go, merged."""
-    ranges = F.sort_array(F.collect_set(F.struct("first", "last")))
-    merged = F.aggregate(
-        ranges,
-        F.array().cast("array<struct<first:int,last:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["first"] <= F.element_at(acc, -1)["last"] + 1),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(acc, -1)["first"].alias("first"),
-                        F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(x))),
+def cuts(df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, cuts): for each text with later copies the line ranges that go, merged and in order.
+
+    One sweep over a text's ranges: a range that begins beyond all lines before it begins a new cut.
+    """
+    ranges = repeated_runs(df, text, key, min_words).distinct()
+    along = Window.partitionBy("doc_id", "text_key").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.col("first") > F.max("last").over(along) + 1, F.lit(True))
+    merged = (
+        ranges.withColumn("begins", begins.cast("int"))
+        .withColumn("cut", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .groupBy("doc_id", "text_key", "cut")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
     )
-    runs = repeated_runs(df, text, key, min_words, whole_runs)
-    return runs.groupBy("doc_id", "text_key").agg(merged.alias("cuts"))
+    return merged.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts"))
+
+
+def without(lines: Column, cuts: Column) -> Column:
+    """``lines`` less the ranges of ``cuts``: the slices between them, each copied once."""
+    size = F.size(lines)
+    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["last"] + 1))
+    ends = F.concat(F.transform(cuts, lambda c: c["first"]), F.array(size))
+    return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
 
 
 def with_cuts(
-    df: DataFrame,
-    text: str = "text",
-    key: str = "doc_id",
-    min_words: int = MIN_WORDS,
-    out: str = "_cuts",
-    whole_runs: bool = True,
+    df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, out: str = "_cuts"
 ) -> DataFrame:
     """``df`` with a column ``out``, null where nothing goes, and its text without those lines."""
-    found = write_shared(cuts(df, text, key, min_words, whole_runs), "cuts")
+    found = write_shared(cuts(df, text, key, min_words), "cuts")
     n = found.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()[0]
     doc, own = fresh(df, "_doc"), fresh(df, "_key")
     found = found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(own), F.col("cuts").alias(out))
     side = F.broadcast(found) if n <= SMALL_CUTS else found
     at = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long"))
     joined = df.join(side, (at == F.col(doc)) & (text_key(text) == F.col(own)) & F.col(text).isNotNull(), "left")
-    left = F.filter(
-        F.split(text, "\n", -1),
-        lambda _, i: ~F.exists(out, lambda c: (i >= c["first"]) & (i <= c["last"])),
-    )
-    cleaned = F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    # the lines are a lambda's own, so that they are split once and not for each cut
+    left = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: without(lines, F.col(out)))
+    cleaned = F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(F.get(left, F.lit(0)), "\n"))
     return joined.select(*(cleaned.alias(c) if c == text else F.col(c) for c in df.columns), out)
 
 
@@ -249,7 +244,7 @@ def op4_suffix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_join(
         F.transform("_cuts", lambda c: F.concat_ws("-", c["first"].cast("string"), c["last"].cast("string"))), ","
     )
-    return with_cuts(documents(spark, sf_dir), whole_runs=False).select(
+    return with_cuts(documents(spark, sf_dir)).select(
         "doc_id",
         F.coalesce(size, F.lit(0).cast("long")).alias("n_cut_lines"),
         F.coalesce(listed, F.lit("")).alias("cut_lines"),
@@ -257,7 +252,7 @@ def op4_suffix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Runs by their text instead of ranks: the words from each line on that first reach 50.
+#: Runs by their text instead of ranks: what first reaches 50 words from each line on, and back from each line.
 OP4_SQL = r"""
 WITH lines AS (
     SELECT doc_id, i - 1 AS line, s[i] AS body,
@@ -269,14 +264,21 @@ WITH lines AS (
     SELECT *, row_number() OVER w AS seq, sum(words) OVER w AS total
     FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line)
 ), ends AS (
-    SELECT a.doc_id, a.seq, a.line, min(b.seq) AS last_seq
+    SELECT a.doc_id, a.seq, min(b.seq) AS last_seq
     FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.seq BETWEEN a.seq AND a.seq + 49
          AND b.total >= a.total - a.words + 50
     GROUP BY ALL
+), backs AS (
+    SELECT b.doc_id, max(a.seq) AS seq, b.seq AS last_seq
+    FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.seq BETWEEN b.seq - 49 AND b.seq
+         AND b.total >= a.total - a.words + 50
+    GROUP BY ALL
+), stretches AS (
+    SELECT doc_id, seq, last_seq FROM ends UNION SELECT doc_id, seq, last_seq FROM backs
 ), runs AS (
-    SELECT e.doc_id, e.line, max(p.line) AS last, string_agg(p.body, chr(10) ORDER BY p.seq) AS body
-    FROM ends e JOIN placed p ON p.doc_id = e.doc_id AND p.seq BETWEEN e.seq AND e.last_seq
-    GROUP BY e.doc_id, e.line
+    SELECT e.doc_id, min(p.line) AS line, max(p.line) AS last, string_agg(p.body, chr(10) ORDER BY p.seq) AS body
+    FROM stretches e JOIN placed p ON p.doc_id = e.doc_id AND p.seq BETWEEN e.seq AND e.last_seq
+    GROUP BY e.doc_id, e.seq, e.last_seq
 ), later AS (
     SELECT doc_id, line, last FROM (
         SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, line) AS copy FROM runs) WHERE copy > 1
