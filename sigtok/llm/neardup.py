@@ -52,7 +52,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class _Words(Cache):
     """A word's hash."""
 
-    budget = 24 << 20
+    budget = 12 << 20
 
     def _make(self, word: bytes) -> int:
         return xxhash.xxh3_64_intdigest(word)

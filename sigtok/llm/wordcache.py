@@ -18,7 +18,7 @@ import re
 import sys
 from array import array
 
-#: Bytes of one cache; an encoder has two.
+#: Bytes of one cache; an encoder has two, of units and of the pieces that they are made of.
 CACHE_BYTES = 64 << 20
 #: What an entry takes besides its characters and ids: two objects and two slots of a table.
 ENTRY_BYTES = 150
@@ -75,20 +75,23 @@ class Cache(dict):
 class _Pieces(Cache):
     """A pre-token -> id bytes."""
 
-    def __init__(self, model) -> None:
+    def __init__(self, model, budget: int) -> None:
+        self.budget = budget
         super().__init__()
         self._tokenize = model.tokenize
         symbols = byte_symbols()
         self._charmap = "".join(symbols[b] for b in range(256))
 
     def _make(self, piece: str) -> bytes:
-        symbols = codecs.charmap_decode(piece.encode(), "strict", self._charmap)[0]
+        # printable ASCII stands for itself
+        symbols = piece if piece.isascii() and piece.isprintable() and " " not in piece else codecs.charmap_decode(piece.encode(), "strict", self._charmap)[0]
         return packed([t.id for t in self._tokenize(symbols)])
 
 
 class _HfUnits(Cache):
     """unit -> id bytes."""
 
+    piece_budget = CACHE_BYTES
     #: A separator, letters that all classes of the tokenizers call letters, and a run of marks.
     _plain = re.compile(r"([ \n]?)([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
@@ -98,7 +101,9 @@ class _HfUnits(Cache):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(self.tokenizer.model)
+        if any(map(self._plain, self.special)):
+            raise ValueError("a special token is letters and marks")
+        self.pieces = _Pieces(self.tokenizer.model, self.piece_budget)
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -140,15 +145,17 @@ class ByteLevelUnits(_HfUnits):
 class LowerWordUnits(_HfUnits):
     """For lower-casing vocabularies that drop white space: units are what stands between separators."""
 
-    budget = CACHE_BYTES // 2
+    budget, piece_budget = CACHE_BYTES * 3 // 4, CACHE_BYTES // 4
 
     def _make(self, unit: str) -> bytes:
         found = self._plain(unit)
-        if found is None or any(x in unit for x in self.special):
+        # no special token is letters and then marks, as _plain has them
+        if found is None:
             return self.whole(unit)
-        _, word, tail = found.groups()
-        out = self.pieces[word.lower()] if word else b""
-        return out + self.pieces[tail] if tail else out
+        word, tail = found[2], found[3]
+        if not tail:
+            return self.pieces[word.lower()] if word else b""
+        return self.pieces[word.lower()] + self.pieces[tail] if word else self.pieces[tail]
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
