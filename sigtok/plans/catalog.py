@@ -281,6 +281,20 @@ def stitch_exploded(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""SELECT count(*) AS reads, count(*) FILTER (doc_id % 5 = 0 OR n_chars = 0) AS empty_reads, count(*) FILTER (doc_id % 5 <> 0 AND n_chars > 0) AS compared,
+0::BIGINT AS differing FROM documents""")
+def empty_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth read without samples: all come back, the empty ones empty, and the comparison passes them over."""
+    docs = A.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("text"))
+    reads = A.text_reads(docs)
+    back = pipeline.roundtrip(reads, codecs.Identity()).select("read_pos", "signal")
+    both = reads.select("read_pos", "num_samples").join(back, "read_pos", "left")
+    kept = both.agg(F.count("signal").alias("reads"), F.count(F.when((F.col("num_samples") == 0) & (F.size("signal") == 0), 1)).alias("empty_reads"))
+    differ = F.exists(F.zip_with("signal", "back", lambda a, b: ~a.eqNullSafe(b)), lambda x: x).cast("long")
+    compared = quality.errors(reads, back).agg(F.count(F.lit(1)).alias("compared"), F.coalesce(F.sum(differ), F.lit(0)).alias("differing"))
+    return kept.join(compared, F.lit(True))  # one row each
+
+
 @query(f"""WITH {LENGTHS}, {plan_sql("lens")} SELECT read_pos, k_chunks::BIGINT AS num_chunks, k_chunks::BIGINT AS present, k_chunks::BIGINT AS distinct_seq, true AS ok FROM counted""")
 def stitch_cover_guard(spark: SparkSession, sf: str) -> DataFrame:
     reads = A.read_lengths(spark, sf)
