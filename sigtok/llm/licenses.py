@@ -233,34 +233,54 @@ class Matcher:
             return found
         if self.anchors.isdisjoint(words):
             return None
-        lines = [x.split() for x in spaced.split(b"\n")]
-        units = list(enumerate(lines))
-        if len(lines) > 1:
-            units += [(a, [w for x in lines[a:b] for w in x]) for a, b in comment_blocks(text)]
-            units.append((-1, words))
+        # (score, -place of the template, line); of equal scores the template listed first wins, then the first unit
         best = (-1.0, 0, 0)
-        for line, unit in units:
+        for line, unit in self._units(text, spaced, words):
             if not self.anchors.isdisjoint(unit):
                 score, k = self._scored(unit)
-                # of equal scores the template listed first wins, then the unit that comes first
                 if (score, -k) > best[:2]:
                     best = (score, -k, line)
         score, k, line = best
         return (self.templates[-k][0], score, line) if score >= self.threshold else None
 
+    @staticmethod
+    def _units(text: bytes, spaced: bytes, words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+        """(line, words) of each line, each block of comment lines, and the whole text."""
+        lines = spaced.split(b"\n")
+        for n, line in enumerate(lines):
+            yield n, line.split()
+        if len(lines) > 1:
+            for a, b in comment_blocks(text):
+                yield a, b" ".join(lines[a:b]).split()
+            yield -1, words
+
+    def _known(self, words: list[bytes]) -> Iterator[bytes]:
+        """The terms of templates in a unit; where a term of three words is one, so are its first two."""
+        idf = self.idf
+        for k, word in enumerate(words):
+            if word in idf:
+                yield word
+                if k + 1 < len(words) and (two := word + b" " + words[k + 1]) in idf:
+                    yield two
+                    if k + 2 < len(words) and (three := two + b" " + words[k + 2]) in idf:
+                        yield three
+
     def _scored(self, words: list[bytes]) -> tuple[float, int]:
         """The best similarity of a unit to a template, and that template's place."""
-        weights = self._weights(Counter(grams(words)))
+        weights = self._weights(Counter(self._known(words)))
         scores: dict[int, float] = {}
         for t in sorted(weights):
             for k, w in self.index[t]:
                 scores[k] = scores.get(k, 0.0) + weights[t] * w
         known = sum(weights[t] ** 2 for t in sorted(weights))
-        others = Counter(w for w in words if w not in self.idf)
-        # titles and tags are held against all words
-        every = known + sum(((1 + math.log(n)) * self.unseen) ** 2 for n in others.values())
-        known, every = math.sqrt(known), math.sqrt(every)
-        found = ((round(v / (known if k < len(STATEMENTS) else every), 6), -k) for k, v in scores.items())
+        norm = every = math.sqrt(known)
+        # titles and tags are held against all words, which can only lower what they have
+        if any(k >= len(STATEMENTS) and v >= (self.threshold - 1e-6) * norm for k, v in scores.items()):
+            others = Counter(w for w in words if w not in self.idf)
+            every = math.sqrt(known + sum(((1 + math.log(n)) * self.unseen) ** 2 for n in others.values()))
+            found = ((round(v / (norm if k < len(STATEMENTS) else every), 6), -k) for k, v in scores.items())
+        else:
+            found = ((round(v / norm, 6), -k) for k, v in scores.items() if k < len(STATEMENTS))
         score, k = max(found, default=(-1.0, 0))
         return score, -k
 
