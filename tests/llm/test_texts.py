@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -429,6 +430,49 @@ def test_op5_base_equals_plain_expressions():
         assert [x for x in scan(t) if x[0] in secretscan.BASE] == base_spans(t), repr(t)
 
 
+def more_spans(t):
+    """Spans beyond the base by searching every rule's expression over the whole text, without keywords or anchors."""
+    crc = lambda body: secretscan.base62(zlib.crc32(body[:-6].encode()), 6) == body[-6:]
+    found = []
+    for kind, pattern, good in (
+        ("github", r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])", lambda m: crc(m[1])),
+        ("npm", r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])", lambda m: crc(m[1])),
+        ("github_pat", r"github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}(?![A-Za-z0-9])", lambda m: True),
+        ("slack", r"xox[abprs]-[0-9A-Za-z-]{10,}", lambda m: True),
+        ("google", r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])", lambda m: True),
+        ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", None),
+    ):
+        for m in re.finditer(pattern, t):
+            if good is None:
+                head = m[0].split(".")[0]
+                try:
+                    ok = "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+                except (ValueError, TypeError):
+                    ok = False
+            else:
+                ok = good(m)
+            if ok:
+                found.append((kind, m.start(), m.end()))
+    return sorted(found)
+
+
+def test_op5_other_kinds_equal_plain_expressions():
+    rng = random.Random(31)
+    body = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5"
+    good = body + secretscan.base62(zlib.crc32(body.encode()), 6)
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    parts = ["ghp_", "gho_", "GHS_", "npm_", "github_pat_", "github_pat_" + "A1" * 11 + "_", good, body, "A1" * 11, "_", "b2" * 29 + "c", "_" + "b2" * 29 + "c", "xoxb-", "xoxz-", "12345-abcde", "AIza", "aiza",
+             "q" * 35, "eyJ", head, ".", "e30", "c2ln", " ", "\n", "-", "x", "ſ", "İ", "K"]
+    kinds = {"github", "npm", "github_pat", "slack", "google", "jwt"}
+    scan, seen = secretscan.scanner().spans, Counter()
+    for _ in range(20_000):
+        t = "".join(rng.choices(parts, k=rng.randrange(1, 12)))
+        got = sorted(x for x in scan(t) if x[0] in kinds)
+        assert got == more_spans(t), repr(t)
+        seen.update(k for k, _, _ in got)
+    assert set(seen) == kinds and min(seen.values()) > 4
+
+
 def test_op5_checksums_decide():
     body = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5"
     good = secretscan.base62(zlib.crc32(body.encode()), 6)

@@ -1,5 +1,6 @@
 """op6, op8, op9: ids equal the libraries', on odd texts and whole tables."""
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -53,6 +54,8 @@ def test_op8(docs):
         ids = processor.encode(text or "")
         assert full[n].ids == ids and full[n].decoded == processor.decode(ids)
         assert got[n].n_tokens == len(ids)
+        assert got[n].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[n].decoded_sha256 == hashlib.sha256(processor.decode(ids).encode()).hexdigest()
     assert got[6].ids_sha256 == got[18].ids_sha256
     assert pieces.digests(docs([])).count() == 0
 
@@ -152,3 +155,36 @@ def test_op9_plan_is_a_packing(seed):
 def test_op9_large_items_pair_at_most_twice():
     runs, n = packing.plan({700: 4, 1000: 2, 1400: 1}, 2048)
     assert n == 4
+
+
+def plain_matching(lengths, capacity):
+    """The method one piece at a time: large ones pair, longest first, with the longest that fits; the rest go to the tightest gap."""
+    large = sorted((x for x in lengths if 3 * x > capacity), reverse=True)
+    gaps = []
+    while large:
+        x = large.pop(0)
+        mate = next((y for y in large if x + y <= capacity), 0)
+        if mate:
+            large.remove(mate)
+        gaps.append(capacity - x - mate)
+    for x in sorted((x for x in lengths if 3 * x <= capacity), reverse=True):
+        gap = min((g for g in gaps if g >= x), default=None)
+        if gap is None:
+            gap = capacity
+        else:
+            gaps.remove(gap)
+        gaps.append(gap - x)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_op9_plan_takes_as_few_sequences_as_the_plain_method(seed):
+    rng = random.Random(100 + seed)
+    capacity = rng.choice([12, 30, 100, 2048])
+    counts = {}
+    for _ in range(rng.randrange(1, 30)):
+        counts[rng.randint(1, capacity)] = rng.randint(1, 12)
+    _, n = packing.plan(dict(counts), capacity)
+    plain = plain_matching([x for x, k in counts.items() for _ in range(k)], capacity)
+    least = -(-sum(x * k for x, k in counts.items()) // capacity)
+    assert least <= n <= plain + 1
