@@ -17,7 +17,7 @@ Nothing is collected: intervals are grouped minima, joins on hot ranks can be sp
 for nothing and go only inside a cut run.
 
 Defined results: null texts stay null and uncut; rows of one doc_id and text are one document and are
-cut alike; empty tables give empty results. Other columns are kept by ``drop_repeats`` as they are.
+cut alike, also those of a null doc_id; texts of any length are split whole; empty tables give empty results. Other columns are kept by ``drop_repeats`` as they are.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ categories get codes of 12 - category bits (with the value's own bits always 12)
 same column, and a comment segment has the payload's true length.
 
 Defined results: a null text is an empty one with one row of zero bytes; equal texts give equal values;
-other columns are ignored; an empty table gives an empty one. Broken media raise ValueError.
+repeated rows and rows of a null doc_id stay, each with its own; a text of any length is stored whole; other
+columns are ignored; an empty table gives an empty one. Broken media raise ValueError.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ the threshold. What grows with the data stays in tables; a side is broadcast onl
 
 Defined results: null, empty and white texts have no shingles and are linked with nothing; a text of
 fewer words than a shingle has is one shingle; rows of one doc_id are one document, rows without one are
-linked with nothing and stay; other columns are ignored; an empty table gives an empty one.
+linked with nothing and stay; the shingles of a text of any length are one set in a task; other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Pieces of one length are alike, so the plan is made from the counts by length al
 sequence s and offset o on". Pieces are numbered within their length over the whole table and look up
 their run. What comes to the driver and what is broadcast is bounded by the capacity, not by the data.
 
-Defined results: a null text is an empty one and has the end id alone; repeated rows are packed each;
+Defined results: a null text is an empty one and has the end id alone; repeated rows and rows of a null
+doc_id are packed each; texts of any length are cut into pieces of the capacity;
 an empty table gives an empty result; other columns are ignored.
 """
 

@@ -9,7 +9,9 @@ No piece holds a space mark after another character, and none a newline, so text
 units (a space or newline with what follows), which a bounded cache keeps. Text that the units don't
 cover (runs of spaces, a literal space mark, NUL) is cut at the same places by a slower path.
 
-Defined results: a null or empty text has no ids and decodes to an empty one; other columns are ignored.
+Defined results: a null or empty text has no ids and decodes to an empty one; repeated rows and rows of a null
+doc_id stay, each with its own; texts of any length are encoded whole; an empty table gives an empty one; other
+columns are ignored.
 """
 
 from __future__ import annotations

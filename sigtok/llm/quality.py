@@ -12,7 +12,8 @@ All of it is DataFrame operations. The table of vote patterns that EM runs on ha
 2 ** len(RULES) rows, whatever the number of documents; one row of sums comes back per iteration.
 
 Defined results: a null text has no words and, with under 50 words, fails; empty tables give empty
-results; repeated rows are judged alike; other columns are ignored.
+results; repeated rows are judged alike, also those of a null doc_id; texts of any length are
+counted whole; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ then dropped for its length or checksum.
 
 A private key without its END line is covered as far as lines of base64 follow.
 
-Defined results: a null text is an empty one without spans; equal texts give equal spans; other columns
-are ignored; an empty table gives an empty one. Spans count code points, end exclusive.
+Defined results: a null text is an empty one without spans; equal texts give equal spans; repeated
+rows and rows of a null doc_id stay, each with its own; texts of any length are scanned whole, in linear time; other
+columns are ignored; an empty table gives an empty one. Spans count code points, end exclusive.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Groups are numbered inside their size and look up their run; rows of the at most
 largest groups get their shard by a broadcast, so that a hot text isn't shuffled to one task.
 
 Defined results: a null text is an empty group key with 0 bytes of text; equal texts share a shard;
-equal rows are numbered in any order among themselves; an empty table gives an empty result; columns
+equal rows are numbered in any order among themselves; a null doc_id stays null; a text's length is its bytes, however
+many; an empty table gives an empty result; columns
 of the input that have other names are ignored.
 """
 

@@ -6,7 +6,7 @@ encoding; row indexes and a Bloom filter on ``doc_id`` let readers skip stripes
 splits of a file are read by stripe.
 
 Defined results: a null text is an empty one and has the end id alone; rows of equal doc_id stay next to
-each other in one file; other columns are ignored; an empty table gives files without rows.
+each other in one file, those of a null one come first; texts of any length are one row; other columns are ignored; an empty table gives files without rows.
 """
 
 from __future__ import annotations
