@@ -244,7 +244,7 @@ def op4_suffix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_join(
         F.transform("_cuts", lambda c: F.concat_ws("-", c["first"].cast("string"), c["last"].cast("string"))), ","
     )
-    return with_cuts(documents(spark, sf_dir)).select(
+    return with_cuts(documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id",
         F.coalesce(size, F.lit(0).cast("long")).alias("n_cut_lines"),
         F.coalesce(listed, F.lit("")).alias("cut_lines"),
