@@ -33,6 +33,8 @@ class WholeText(Exception):
 
 
 def packed(ids: list[int]) -> bytes:
+    if len(ids) == 1:
+        return ids[0].to_bytes(4, "little")
     out = array("I", ids)
     if sys.byteorder == "big":
         out.byteswap()
@@ -81,10 +83,15 @@ class _Pieces(Cache):
         self._tokenize = model.tokenize
         symbols = byte_symbols()
         self._charmap = "".join(symbols[b] for b in range(256))
+        self._space = symbols[0x20]
 
     def _make(self, piece: str) -> bytes:
-        # printable ASCII stands for itself
-        symbols = piece if piece.isascii() and piece.isprintable() and " " not in piece else codecs.charmap_decode(piece.encode(), "strict", self._charmap)[0]
+        # letters and digits of ASCII stand for themselves, a space before them for one symbol
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isascii() and word.isalnum():
+            symbols = word if word is piece else self._space + word
+        else:
+            symbols = codecs.charmap_decode(piece.encode(), "strict", self._charmap)[0]
         return packed([t.id for t in self._tokenize(symbols)])
 
 
@@ -112,6 +119,7 @@ class _HfUnits(Cache):
 class ByteLevelUnits(_HfUnits):
     """For byte-level vocabularies whose pre-tokens may begin with one space."""
 
+    budget, piece_budget = CACHE_BYTES * 3 // 2, CACHE_BYTES // 2
     _odd = re.compile(r"[^\S \n]").search
 
     def _make(self, unit: str) -> bytes:
@@ -120,17 +128,23 @@ class ByteLevelUnits(_HfUnits):
             if self._odd(unit):
                 raise WholeText
             return self.whole(unit)
-        sep, word, tail = found.groups()
+        sep, word, tail = found[1], found[2], found[3]
+        pieces = self.pieces
         if not word and not tail:
             if sep:
                 raise WholeText
             return b""
-        out, pieces = b"", self.pieces
         if sep == "\n":
-            out, sep = pieces[sep], ""
-        if word:
-            out, sep = out + pieces[sep + word], ""
-        return out + pieces[sep + tail] if tail else out
+            start = pieces[sep]
+            if not tail:
+                return start + pieces[word]
+            return start + pieces[word] + pieces[tail] if word else start + pieces[tail]
+        if not word:
+            return pieces[sep + tail]
+        if not tail:
+            return pieces._make(unit)  # kept as a unit
+        out = self.get(sep + word)
+        return (pieces[sep + word] if out is None else out) + pieces[tail]
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as ``Tokenizer.encode`` without added special tokens gives them."""
