@@ -9,6 +9,7 @@ interval's least from its greatest value, so rounds end; a few are usual, as the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -30,11 +31,6 @@ def _bucket(v: Column, lo: Column, hi: Column) -> Column:
 
 def _located(values: DataFrame, open_: DataFrame, by: list[str]) -> DataFrame:
     """The values that lie in an interval that is still open, with its ends; intervals of a group are disjoint."""
-    if not by:
-        at = F.lit(None).cast("struct<lo:double,hi:double>")
-        for lo, hi in {(r["lo"], r["hi"]) for r in open_.collect()}:  # at most two for each quantile
-            at = F.when(F.col("v").between(lo, hi), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))).otherwise(at)
-        return values.select("v", at.alias("at")).where("at is not null").select("v", "at.lo", "at.hi")
     intervals = open_.select(*by, "lo", "hi").distinct()
     if intervals.count() <= SMALL:
         intervals = F.broadcast(intervals)
@@ -44,11 +40,47 @@ def _located(values: DataFrame, open_: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _kept(targets: DataFrame, by: list[str]) -> DataFrame:
-    """Without groups there are two targets for each quantile; else they are a table."""
-    if by:
-        return stored(targets, "quantile-targets")
-    return targets.sparkSession.createDataFrame(targets.collect(), targets.schema)
+def _inside(values: DataFrame, intervals: set[tuple[float, float]]) -> DataFrame:
+    """``_located`` without groups, for a few intervals."""
+    at = F.lit(None).cast("struct<lo:double,hi:double>")
+    for lo, hi in intervals:
+        at = F.when(F.col("v").between(lo, hi), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))).otherwise(at)
+    return values.select("v", at.alias("at")).where("at is not null").select("v", "at.lo", "at.hi")
+
+
+def _counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Located values by bucket: how many, how many in the buckets before, the least and the greatest."""
+    counts = rows.groupBy(*by, "lo", "hi", _bucket(F.col("v"), F.col("lo"), F.col("hi")).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("greatest")
+    )
+    along = Window.partitionBy(*by, "lo", "hi").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("c").over(along), F.lit(0)))
+
+
+def _whole(values: DataFrame, marks: Mapping[str, float]) -> DataFrame:
+    """Quantiles of all values: a job for the bounds and one a round, which brings back a row for each rank at most."""
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    places = {name: q * (n - 1) for name, q in marks.items()}
+    # rank -> (rank within the interval, its ends)
+    ranks = {r: (r, low, high) for at in places.values() for r in (math.floor(at), math.ceil(at))} if n else {}
+    while open_ := {r: t for r, t in ranks.items() if t[1] < t[2]}:
+        counts = _counts(_inside(values, {(lo, hi) for _, lo, hi in open_.values()}), [])
+        holds = (
+            (F.col("lo") == lo) & (F.col("hi") == hi) & (F.col("before") <= k) & (k < F.col("before") + F.col("c"))
+            for k, lo, hi in open_.values()
+        )
+        found = counts.where(reduce(lambda a, b: a | b, holds)).collect()
+        for r, (k, lo, hi) in open_.items():
+            row = next(x for x in found if (x["lo"], x["hi"]) == (lo, hi) and x["before"] <= k < x["before"] + x["c"])
+            ranks[r] = k - row["before"], row["least"], row["greatest"]
+    row = []
+    for at in places.values():
+        if n:
+            a, b = ranks[math.floor(at)][1], ranks[math.ceil(at)][1]
+            row.append(a + (b - a) * (at - math.floor(at)))
+        else:
+            row.append(None)
+    return values.sparkSession.createDataFrame([tuple(row)], ", ".join(f"`{name}` double" for name in marks))
 
 
 def quantiles(df: DataFrame, value: str | Column, marks: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
@@ -63,28 +95,24 @@ def quantiles(df: DataFrame, value: str | Column, marks: Mapping[str, float], by
     v = F.when(F.abs(v) == float("inf"), F.raise_error(F.lit("quantiles of infinite values")).cast("double")).otherwise(v)
     all_values = df.select(*(F.col(g).alias(k) for g, k in zip(groups, by, strict=True)), F.when(~F.isnan(v), v).alias("v"))
     values = all_values.where("v is not null")
+    if not by:
+        return _whole(values, marks)
     bounds = all_values.groupBy(*by).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     place = [F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("n") - 1)).alias("at")) for name, q in marks.items()]
     targets = bounds.withColumn("mark", F.explode(F.array(*place))).withColumn("rank", F.explode(F.array(F.floor("mark.at"), F.ceil("mark.at"))))
     targets = targets.select(
         *by, F.col("mark.name").alias("name"), F.col("mark.at").alias("at"), F.col("rank").alias("side"), F.col("rank"), "lo", "hi"
     ).distinct()
-    targets = _kept(targets, by)
+    targets = stored(targets, "quantile-targets")
     while (open_ := targets.where("lo < hi")).head(1):
-        rows = _located(values, open_, by)
-        counts = rows.groupBy(*by, "lo", "hi", _bucket(F.col("v"), F.col("lo"), F.col("hi")).alias("bucket")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("greatest")
-        )
-        along = Window.partitionBy(*by, "lo", "hi").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("before", F.coalesce(F.sum("c").over(along), F.lit(0)))
-        t, c = open_.alias("t"), counts.alias("c")
+        t, c = open_.alias("t"), _counts(_located(values, open_, by), by).alias("c")
         same = reduce(lambda a, b: a & b, (F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*by, "lo", "hi"]))
         inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))
         found = t.join(c, same & inside).select(
             *(F.col(f"t.{k}") for k in by), "name", "at", "side", (F.col("rank") - F.col("before")).alias("rank"),
             F.col("least").alias("lo"), F.col("greatest").alias("hi"),
         )
-        targets = _kept(targets.where("lo = hi or lo is null").unionByName(found), by)
+        targets = stored(targets.where("lo = hi or lo is null").unionByName(found), "quantile-targets")
 
     def end(name: str, side: Column) -> Column:
         return F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("lo")))

@@ -70,7 +70,7 @@ def test_no_values(spark):
 def test_no_task_gets_more_than_buckets(spark):
     """What is shuffled is counts by bucket, however many rows there are and whatever they repeat."""
     df = spark.range(0, 40_000, 1, 4).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.rand(3) * 100).alias("v"))
-    rows = selection._located(df, spark.createDataFrame([(0.0, 100.0)], "lo double, hi double"), [])
+    rows = selection._inside(df, {(0.0, 100.0)})
     counts = rows.groupBy(selection._bucket(F.col("v"), F.col("lo"), F.col("hi"))).count()
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "Sort " not in plan and "Python" not in plan
