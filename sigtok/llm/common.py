@@ -83,14 +83,19 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def limit_batches(spark: SparkSession, nbytes: int) -> None:
+    """Rows go to Python workers in batches of at most ``nbytes`` or one row, from now on in this session."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= nbytes:
+        spark.conf.set(name, str(nbytes))
+
+
 def batch_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches of at most BATCH_BYTES or one row.
 
     The session's own limit is lowered to that for good, as plans are executed later.
     """
-    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    limit_batches(df.sparkSession, BATCH_BYTES)
     return df.mapInArrow(fn, schema)
 
 

@@ -132,13 +132,17 @@ def token_pieces(
     vocabulary: str = VOCABULARY,
     capacity: int = CAPACITY,
     with_ids: bool = False,
+    share: int = 1,
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): only documents over the capacity are cut."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]): only documents over the capacity are cut.
+
+    Workers' caches take a ``share``-th of their budgets; that changes no result.
+    """
     end = np.asarray([END_ID], dtype="<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = loaded(LowerWordUnits, vocabulary)
+        units = loaded(LowerWordUnits, vocabulary, share)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -188,9 +192,9 @@ def sequences(placed: DataFrame) -> DataFrame:
     )
 
 
-def pack(df: DataFrame) -> DataFrame:
-    """Where each piece of each document of ``df`` goes."""
-    return place(write_shared(token_pieces(df), "pieces"))
+def pack(df: DataFrame, share: int = 1) -> DataFrame:
+    """Where each piece of each document of ``df`` goes; ``share`` as in ``token_pieces``."""
+    return place(write_shared(token_pieces(df, share=share), "pieces"))
 
 
 def op9_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,15 +102,17 @@ class _HfUnits(Cache):
     #: A separator, letters that all classes of the tokenizers call letters, and a run of marks.
     _plain = re.compile(r"([ \n]?)([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, share: int = 1) -> None:
+        """The caches take a ``share``-th of their budgets."""
         from tokenizers import Tokenizer
 
+        self.budget //= share
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(map(self._plain, self.special)):
             raise ValueError("a special token is letters and marks")
-        self.pieces = _Pieces(self.tokenizer.model, self.piece_budget)
+        self.pieces = _Pieces(self.tokenizer.model, self.piece_budget // share)
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
