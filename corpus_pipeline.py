@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtok.llm import linedup, neardup, packing, quality, secretscan
-from sigtok.llm.common import documents, write_shared
+from sigtok.llm.common import documents, limit_batches, write_shared
+
+
+#: Stages of a pipeline follow each other in the same executors, whose memory they share with each other's workers.
+BATCH_BYTES = 1 << 20
+CACHE_SHARE = 4
 
 
 def _recounted(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,22 +34,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs of 50 words and more go; so do documents of which only white space is left."""
+    limit_batches(spark, BATCH_BYTES)
     return _recounted(linedup.drop_repeats(docs), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest doc_id: five words, 80 percent."""
+    limit_batches(spark, BATCH_BYTES)
     return neardup.drop_near_duplicates(docs, size=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; no document goes."""
+    limit_batches(spark, BATCH_BYTES)
     return _recounted(secretscan.redact(docs), docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in sequences of 2048 tokens; the columns are the packing's own."""
-    return packing.pack(docs)
+    limit_batches(spark, BATCH_BYTES)
+    return packing.pack(docs, CACHE_SHARE)
 
 
 STAGES = [
