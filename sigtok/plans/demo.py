@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,12 +60,19 @@ def full_reads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return reads, spark.createDataFrame(infos, RUN_INFO)
 
 
+def _plain_path(spark: SparkSession, name: str) -> str:
+    """A shared path as token files take it: mounted like any folder, without a scheme; its folder exists."""
+    path = work_path(spark, name).removeprefix("file://")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return path
+
+
 def _token_file(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     """The event reads as rows of a token file, and the file."""
     reads, run_info = full_reads(spark, sf)
     codec = codecs.MeanQuant(SMALL)
     stored = pipeline.stored_reads(reads, run_info, pipeline.encode(reads, codec, SMALL), SMALL, group_chunks=64, group_reads=40)
-    path = work_path(spark, "tokens")
+    path = _plain_path(spark, "tokens")
     tokens.write_tokens(stored, path, SMALL)
     return stored, path
 
@@ -97,7 +106,7 @@ SUBSET = 100
 
 def token_subset(spark: SparkSession, sf: str) -> DataFrame:
     """The first reads of a token file up to SUBSET windows, as a token file of their own."""
-    path, part = _token_file(spark, sf)[1], work_path(spark, "tokens-subset")
+    path, part = _token_file(spark, sf)[1], _plain_path(spark, "tokens-subset")
     tokens.write_subset(path, part, SUBSET)
     return tokens.read_tokens(spark, part)
 
