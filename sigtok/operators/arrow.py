@@ -1,11 +1,17 @@
-"""Arrow plumbing: lists of fixed-type numbers, and groups of sorted batches."""
+"""Arrow plumbing: lists of fixed-type numbers, groups of sorted batches, steps that follow each other in one worker."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+#: What ``mapInArrow`` takes.
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: Bytes of texts or lists that a step works on at a time, however many rows an Arrow batch has.
+PIECE_BYTES = 2 << 20
 
 
 def to_lists(arrays: Sequence[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -29,6 +35,38 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.stack(rows) if rows else np.empty((0, 0))
 
 
+def chained(*steps: Step) -> Step:
+    """The steps one after the other in the same worker: between them nothing goes through the JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return run
+
+
+def picked(*names: str) -> Step:
+    return lambda batches: (b.select(list(names)) for b in batches)
+
+
+def _row_bytes(column: pa.Array) -> np.ndarray:
+    if pa.types.is_list(column.type):
+        return np.diff(column.offsets.to_numpy()).astype(np.int64) * (column.type.value_type.bit_width // 8)
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], *columns: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``limit`` bytes of the text or list ``columns``, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(sum(_row_bytes(batch.column(k)) for k in columns))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Consecutive rows with equal values in the first ``keys`` columns, of batches sorted by them."""
     held: list[pa.RecordBatch] = []

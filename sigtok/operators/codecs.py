@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtok.operators.arrow import from_lists, matrix, refilled, to_lists
+from sigtok.operators.arrow import Step, from_lists, matrix, refilled, to_lists
 from sigtok.operators.quantize import Book
 from sigtok.profile import PROFILE, Profile
 
@@ -91,26 +91,20 @@ register("mean-quant", MeanQuant, "segment means, quantized")
 register("identity", lambda p: Identity(), "lossless, for checks")
 
 
-def encode_windows(prepared: DataFrame, codec: Codec, batch: int = BATCH, carry: Sequence[str] = ()) -> DataFrame:
-    """(read_pos, seq, center, scale, codes, carry...) of prepared windows, where they are: no shuffle.
-
-    The codec sees ``batch`` windows a call, over the edges of reads and Arrow batches, but for a partition's last.
-    """
-    columns = prepared.select("read_pos", "seq", "center", F.col("half").alias("scale"), "y", *carry)
+def encoder(codec: Codec, batch: int = BATCH, carry: Sequence[str] = ()) -> Step:
+    """From (read_pos, seq, center, scale, y, carry...) to the same with codes for y, ``batch`` windows a call."""
     names = ["read_pos", "seq", "center", "scale", "codes", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in refilled(batches, batch):
-            codes = codec.encode(matrix(part.column(4)).astype(np.float32))
+            codes = codec.encode(matrix(part.column(4)).astype(np.float32, copy=False))
             yield pa.RecordBatch.from_arrays([*part.columns[:4], to_lists(list(codes), pa.int32()), *part.columns[5:]], names)
 
-    more = [f"{c} {columns.schema[c].dataType.simpleString()}" for c in carry]
-    return columns.mapInArrow(run, ", ".join(["read_pos long, seq int, center float, scale float, codes array<int>", *more]))
+    return run
 
 
-def decode_windows(tokens: DataFrame, codec: Codec, batch: int = BATCH) -> DataFrame:
-    """``tokens`` with y instead of codes; values that aren't finite are an error."""
-    rest = [c for c in tokens.columns if c != "codes"]
+def decoder(codec: Codec, rest: Sequence[str], batch: int = BATCH) -> Step:
+    """From (rest..., codes) to (rest..., y); values that aren't finite are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in refilled(batches, batch):
@@ -119,5 +113,21 @@ def decode_windows(tokens: DataFrame, codec: Codec, batch: int = BATCH) -> DataF
                 raise ValueError("the decoder gave values that aren't finite")
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], to_lists(list(y), pa.float32())], [*rest, "y"])
 
+    return run
+
+
+def encode_windows(prepared: DataFrame, codec: Codec, batch: int = BATCH, carry: Sequence[str] = ()) -> DataFrame:
+    """(read_pos, seq, center, scale, codes, carry...) of prepared windows, where they are: no shuffle.
+
+    The codec sees ``batch`` windows a call, over the edges of reads and Arrow batches, but for a partition's last.
+    """
+    columns = prepared.select("read_pos", "seq", "center", F.col("half").alias("scale"), "y", *carry)
+    more = [f"{c} {columns.schema[c].dataType.simpleString()}" for c in carry]
+    return columns.mapInArrow(encoder(codec, batch, carry), ", ".join(["read_pos long, seq int, center float, scale float, codes array<int>", *more]))
+
+
+def decode_windows(tokens: DataFrame, codec: Codec, batch: int = BATCH) -> DataFrame:
+    """``tokens`` with y instead of codes; values that aren't finite are an error."""
+    rest = [c for c in tokens.columns if c != "codes"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema if f.name != "codes")
-    return tokens.select(*rest, "codes").mapInArrow(run, f"{kinds}, y array<float>")
+    return tokens.select(*rest, "codes").mapInArrow(decoder(codec, rest, batch), f"{kinds}, y array<float>")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigtok.functions import scalar as S
-from sigtok.operators.arrow import from_lists, to_lists
+from sigtok.operators.arrow import Step, chained, from_lists, picked, sliced, to_lists
 from sigtok.operators.windows import chunk_plan, window_signals
 from sigtok.profile import PROFILE, Profile
 
@@ -66,17 +66,16 @@ def prepare_window(adc: np.ndarray, offset: float, scale: float, p: Profile) ->
     return reflect_fill(y, p.chunk_samples), center, half
 
 
-def prepare(reads: DataFrame, p: Profile = PROFILE, carry: Sequence[str] = (), with_adc: bool = False) -> DataFrame:
-    """(read_pos, seq, start, valid, center, half, y[, adc], carry...): every window ready for a codec.
+def cutter(p: Profile, carry: Sequence[str] = (), with_adc: bool = False) -> Step:
+    """From (read_pos, offset, scale, signal, carry...) to (read_pos, seq, start, valid, center, half, y[, adc], carry..., last).
 
-    Windows are cut inside the task that holds the read: no shuffle, and arrays cross to Python once.
-    ``carry`` names columns of the reads that go with each of their windows; ``adc`` are its own samples.
+    A read's windows follow each other; ``last`` marks the last of them.
     """
-    names = ["read_pos", "seq", "start", "valid", "center", "half", "y", *["adc"] * with_adc, *carry]
+    names = ["read_pos", "seq", "start", "valid", "center", "half", "y", *["adc"] * with_adc, *carry, "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, hop = p.chunk_samples, p.hop_samples
-        for batch in batches:
+        for batch in sliced(batches, 3):
             offset, scale = (c.to_pylist() for c in batch.columns[1:3])
             rows: list[tuple] = []
             size = 0
@@ -86,16 +85,16 @@ def prepare(reads: DataFrame, p: Profile = PROFILE, carry: Sequence[str] = (), w
                 for i in range(count):
                     start = min(i * hop, max(n - length, 0))
                     part = signal[start : start + length]
-                    rows.append((k, i, start, part, *prepare_window(part, offset[k], scale[k], p)))
+                    rows.append((k, i, start, part, *prepare_window(part, offset[k], scale[k], p), i == count - 1))
                     size += length
-                    if size >= 1 << 21:
+                    if size >= 1 << 19:
                         yield packed(batch, rows)
                         rows, size = [], 0
             if rows:
                 yield packed(batch, rows)
 
     def packed(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
-        of, seq, start, parts, y, center, half = zip(*rows, strict=True)
+        of, seq, start, parts, y, center, half, last = zip(*rows, strict=True)
         at = pa.array(of, pa.int64())
         columns = [
             batch.column(0).take(at),
@@ -107,13 +106,25 @@ def prepare(reads: DataFrame, p: Profile = PROFILE, carry: Sequence[str] = (), w
             to_lists(y, pa.float32()),
             *([to_lists(parts, pa.int16())] if with_adc else []),
             *(batch.column(4 + c).take(at) for c in range(len(carry))),
+            pa.array(last, pa.bool_()),
         ]
         return pa.RecordBatch.from_arrays(columns, names)
 
+    return run
+
+
+def prepare(reads: DataFrame, p: Profile = PROFILE, carry: Sequence[str] = (), with_adc: bool = False) -> DataFrame:
+    """(read_pos, seq, start, valid, center, half, y[, adc], carry...): every window ready for a codec.
+
+    Windows are cut inside the task that holds the read: no shuffle, and arrays cross to Python once.
+    ``carry`` names columns of the reads that go with each of their windows; ``adc`` are its own samples.
+    """
     columns = reads.select("read_pos", "offset", "scale", "signal", *carry)
+    names = ["read_pos", "seq", "start", "valid", "center", "half", "y", *["adc"] * with_adc, *carry]
     more = [f"{c} {columns.schema[c].dataType.simpleString()}" for c in carry]
     fixed = "read_pos long, seq int, start long, valid int, center float, half float, y array<float>"
-    return columns.mapInArrow(run, ", ".join([fixed, *["adc array<smallint>"] * with_adc, *more]))
+    step = chained(cutter(p, carry, with_adc), picked(*names))
+    return columns.mapInArrow(step, ", ".join([fixed, *["adc array<smallint>"] * with_adc, *more]))
 
 
-__all__ = ["chunk_plan", "exploded_windows", "prepare", "prepare_window", "reflect_fill", "window_stats"]
+__all__ = ["chunk_plan", "cutter", "exploded_windows", "prepare", "prepare_window", "reflect_fill", "window_stats"]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtok.functions import scalar as S
-from sigtok.operators.arrow import from_lists
+from sigtok.operators.arrow import Step, from_lists, sliced
 from sigtok.operators.selection import quantiles
 from sigtok.operators.stitch import to_adc
 from sigtok.profile import PROFILE, Profile
@@ -94,9 +94,7 @@ def read_errors(pairs: DataFrame, p: Profile = PROFILE) -> DataFrame:
     """(read_pos, num_samples, mae, std, sums): a read's errors, std over the population, sums by region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, 4, 5):
             offset, scale = (batch.column(k).to_numpy().astype(np.float64) for k in (2, 3))
             mae, std, sums = [], [], []
             for k, (x, y) in enumerate(zip(from_lists(batch.column(4)), from_lists(batch.column(5)), strict=True)):
@@ -123,20 +121,13 @@ def by_region(reads: DataFrame) -> DataFrame:
     )
 
 
-def segment_errors(rows: DataFrame, p: Profile = PROFILE, carry: Sequence[str] = ()) -> DataFrame:
-    """(read_pos, num_samples, segment, carry..., differing, level, square, back, sums) of ``pipeline.compared`` rows.
-
-    ``level`` and ``square`` sum the samples and their squares, exactly, and ``back`` what came back; ``sums``
-    has the errors by region as ``read_errors`` has them for whole reads.
-    """
+def segment_folder(p: Profile, carry: Sequence[str] = ()) -> Step:
+    """From (read_pos, num_samples, segment, offset, scale, adc, pa, carry...) to the rows of ``segment_errors``."""
     hop = p.hop_samples
-    columns = rows.select("read_pos", "num_samples", "segment", "offset", "scale", "adc", "pa", *carry)
     names = ["read_pos", "num_samples", "segment", "offset", "scale", *carry, "differing", "level", "square", "back", "sums"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, 5, 6):
             n, segment, offset, scale = (batch.column(k).to_numpy() for k in (1, 2, 3, 4))
             figures, sums = [], []
             for k, (x, v) in enumerate(zip(from_lists(batch.column(5)), from_lists(batch.column(6)), strict=True)):
@@ -151,9 +142,24 @@ def segment_errors(rows: DataFrame, p: Profile = PROFILE, carry: Sequence[str] =
             whole = [pa.array(c, pa.int64()) for c in zip(*figures, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *batch.columns[7:], *whole, pa.array(sums, SUMS_ARROW)], names)
 
+    return run
+
+
+def segment_kinds(columns: DataFrame, carry: Sequence[str] = ()) -> str:
+    """The types of ``segment_folder``'s rows, those of ``carry`` as in ``columns``."""
     more = [f"{c} {columns.schema[c].dataType.simpleString()}" for c in carry]
     kinds = ["read_pos long, num_samples long, segment long, offset float, scale float", *more]
-    return columns.mapInArrow(run, ", ".join([*kinds, f"differing long, level long, square long, back long, sums {_SUMS}"]))
+    return ", ".join([*kinds, f"differing long, level long, square long, back long, sums {_SUMS}"])
+
+
+def segment_errors(rows: DataFrame, p: Profile = PROFILE, carry: Sequence[str] = ()) -> DataFrame:
+    """(read_pos, num_samples, segment, carry..., differing, level, square, back, sums) of ``pipeline.compared`` rows.
+
+    ``level`` and ``square`` sum the samples and their squares, exactly, and ``back`` what came back; ``sums``
+    has the errors by region as ``read_errors`` has them for whole reads.
+    """
+    columns = rows.select("read_pos", "num_samples", "segment", "offset", "scale", "adc", "pa", *carry)
+    return columns.mapInArrow(segment_folder(p, carry), segment_kinds(columns, carry))
 
 
 def errors_by_read(segments: DataFrame, carry: Sequence[str] = ()) -> DataFrame:

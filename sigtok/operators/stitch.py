@@ -6,6 +6,7 @@ many small groups and not one task. Windows add up in their order, in single pre
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtok.functions import scalar as S
-from sigtok.operators.arrow import from_lists, sorted_groups, to_lists
+from sigtok.operators.arrow import PIECE_BYTES, Step, from_lists, sliced, sorted_groups, to_lists
 from sigtok.operators.normalize import exploded_windows
 from sigtok.profile import PROFILE, Profile
 
@@ -29,6 +30,116 @@ def to_adc(signal: np.ndarray, offset: float, scale: float) -> np.ndarray:
     return np.clip(v, -32768, 32767).astype(np.int16)
 
 
+def weighed(y: np.ndarray, valid: int, center: np.float32, half: np.float32, weights: np.ndarray, eps: np.float32) -> np.ndarray:
+    """A window's own samples, denormalized, times their weights."""
+    signal = np.full(valid, center) if half < eps else y[:valid] * half + center
+    return signal.astype(np.float32, copy=False) * weights[:valid]
+
+
+def joiner(p: Profile, fixed: Sequence[str] = (), with_adc: bool = False) -> Step:
+    """``stitch_segments`` of windows that follow each other as ``cutter`` gives them, without a shuffle.
+
+    From (read_pos, seq, start, valid, center, half, last, y[, adc], fixed...) to (read_pos, segment, pa[, adc], fixed...).
+    Windows start in order, so what lies before the segment of a window's start is done when the window comes.
+    """
+    hop, eps, weights = p.hop_samples, np.float32(p.normalization_epsilon), edge_weights(p)
+    names = ["read_pos", "segment", "pa", *["adc"] * with_adc, *fixed]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = covered = np.zeros(0, dtype=np.float32)
+        own = np.zeros(0, dtype=np.int16)
+        base, rows, size = 0, [], 0
+        for batch in batches:
+            seq, start, valid, center, half, last = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:7])
+            adc = from_lists(batch.column(8)) if with_adc else None
+            for k, y in enumerate(from_lists(batch.column(7))):
+                n, s = int(valid[k]), int(start[k])
+                if seq[k] == 0:
+                    total, covered, own, base = total[:0], covered[:0], own[:0], 0
+                done = s // hop * hop
+                rows += cut(k, base, total[: done - base], covered[: done - base], own[: done - base])
+                keep, at, size_ = total[done - base :], s - done, s + n - done
+                grown = np.zeros((2, size_), dtype=np.float32)
+                grown[0, : len(keep)], grown[1, : len(keep)] = keep, covered[done - base :]
+                grown[0, at:] += weighed(y, n, center[k], half[k], weights, eps)
+                grown[1, at:] += weights[:n]
+                if with_adc:
+                    own = np.concatenate([own[done - base :][:at], adc[k]])
+                total, covered, base = grown[0], grown[1], done
+                if last[k]:
+                    rows += cut(k, base, total, covered, own)
+                size += 6 * n
+                if size >= PIECE_BYTES and rows:
+                    yield packed(batch, rows)
+                    rows, size = [], 0
+            if rows:
+                yield packed(batch, rows)
+                rows, size = [], 0
+
+    def cut(k: int, base: int, total: np.ndarray, covered: np.ndarray, own: np.ndarray) -> list[tuple]:
+        return [
+            (k, (base + a) // hop, total[a : a + hop] / covered[a : a + hop], own[a : a + hop]) for a in range(0, len(total), hop)
+        ]
+
+    def packed(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        of, segment, values, own = zip(*rows, strict=True)
+        at = pa.array(of, pa.int64())
+        columns = [batch.column(0).take(at), pa.array(segment, pa.int64()), to_lists(values, pa.float32())]
+        columns += [to_lists(own, pa.int16())] if with_adc else []
+        return pa.RecordBatch.from_arrays([*columns, *(batch.column(7 + with_adc + c + 1).take(at) for c in range(len(fixed)))], names)
+
+    return run
+
+
+def by_read(segments: Step, fixed: Sequence[str]) -> Step:
+    """Whole reads again: from (read_pos, offset, scale, signal, num_samples, fixed...) through ``segments``, which gives
+    their segments (read_pos, segment, pa) in order, to (read_pos, num_samples, offset, scale, signal, fixed...).
+
+    Reads without samples have no segment and come out empty.
+    """
+    names = ["read_pos", "num_samples", "offset", "scale", "signal", *fixed]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        #: reads on their way, in slices: rows, lengths, what came back
+        under_way: deque[tuple[pa.RecordBatch, list[int], list[np.ndarray]]] = deque()
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, 3):
+                under_way.append((batch, [len(x) for x in from_lists(batch.column(3))], []))
+                yield batch.select(["read_pos", "offset", "scale", "signal"])
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            while under_way:
+                batch, sizes, back = under_way[0]
+                while len(back) < len(sizes) and not sizes[len(back)]:
+                    back.append(np.zeros(0, dtype=np.int16))
+                if len(back) < len(sizes):
+                    return
+                if sizes != batch.column(4).to_pylist():
+                    wrong = next(k for k, n in enumerate(batch.column(4).to_pylist()) if n != sizes[k])
+                    raise ValueError(f"samples without a window in read {batch.column(0)[wrong]}")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(4), *batch.columns[1:3], to_lists(back, pa.int16()), *batch.columns[5:]], names
+                )
+                under_way.popleft()
+
+        parts: list[np.ndarray] = []
+        size = 0
+        for part in segments(noted()):
+            for v in from_lists(part.column(2)):
+                yield from finished()  # reads without samples before this one
+                batch, sizes, back = under_way[0]
+                k = len(back)
+                parts.append(to_adc(v, batch.column(1)[k].as_py(), batch.column(2)[k].as_py()))
+                size += len(v)
+                if size == sizes[k]:
+                    back.append(np.concatenate(parts))
+                    parts, size = [], 0
+        yield from finished()
+
+    return run
+
+
 def stitch_segments(decoded: DataFrame, p: Profile = PROFILE, carry: Sequence[str] = ()) -> DataFrame:
     """(read_pos, segment, pa, carry...) of ``decoded`` windows (read_pos, seq, start, valid, center, half, y).
 
@@ -44,14 +155,13 @@ def stitch_segments(decoded: DataFrame, p: Profile = PROFILE, carry: Sequence[st
     after = ["read_pos", "segment", "pa", *rest]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 6):
             seq, start, valid, center, half = (c.to_numpy() for c in batch.columns[1:6])
             adc = from_lists(batch.column(7)) if with_adc else None
             rows = []
             for k, y in enumerate(from_lists(batch.column(6))):
                 n, s = int(valid[k]), int(start[k])
-                signal = np.full(n, center[k]) if half[k] < eps else y[:n] * half[k] + center[k]
-                part = signal.astype(np.float32) * weights[:n]
+                part = weighed(y, n, center[k], half[k], weights, eps)
                 for segment in range(s // hop, (s + n - 1) // hop + 1):
                     a, b = max(s, segment * hop), min(s + n, (segment + 1) * hop)
                     own = adc[k][a - s : b - s] if with_adc else None
@@ -108,9 +218,7 @@ def stitch(decoded: DataFrame, reads: DataFrame, p: Profile = PROFILE) -> DataFr
     whole = stitch_segments(decoded, p).groupBy("read_pos").agg(F.sort_array(F.collect_list(F.struct("segment", "pa"))).alias("s"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, 4):
             n, offset, scale = (batch.column(k).to_numpy() for k in (1, 2, 3))
             out = []
             for k, v in enumerate(from_lists(batch.column(4))):

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from sigtok.errors import SigtokError
 from sigtok.functions import scalar as S
 from sigtok.operators import checks, codecs, grouping, quality
-from sigtok.operators.normalize import prepare
-from sigtok.operators.stitch import stitch, stitch_segments
+from sigtok.operators.arrow import Step, chained, picked
+from sigtok.operators.normalize import cutter, prepare
+from sigtok.operators.stitch import by_read, joiner, stitch
 from sigtok.operators.windows import chunk_plan
 from sigtok.profile import PROFILE, ModelIdentity, Profile
 from sigtok.schema import READ_META, READS, RUN_INFO
@@ -26,9 +27,19 @@ from sigtok.session import small
 from sigtok.sources import tokens as token_files
 
 
-def encode(reads: DataFrame, codec: codecs.Codec, p: Profile = PROFILE, batch: int = codecs.BATCH) -> DataFrame:
-    """(read_pos, seq, center, scale, codes) of every window."""
-    return codecs.encode_windows(prepare(reads, p), codec, batch)
+def encode(
+    reads: DataFrame, codec: codecs.Codec, p: Profile = PROFILE, batch: int = codecs.BATCH, carry: Sequence[str] = (), places: bool = False
+) -> DataFrame:
+    """(read_pos, seq, center, scale, codes[, start, valid], carry...) of every window, cut and encoded by one worker."""
+    more = [*["start", "valid"] * places, *carry]
+    step = chained(cutter(p, carry), picked("read_pos", "seq", "center", "half", "y", *more), codecs.encoder(codec, batch, more))
+    columns = reads.select("read_pos", "offset", "scale", "signal", *carry)
+    kinds = ["read_pos long, seq int, center float, scale float, codes array<int>", *["start long, valid int"] * places, *_kinds(columns, carry)]
+    return columns.mapInArrow(step, ", ".join(kinds))
+
+
+def _kinds(df: DataFrame, names: Sequence[str]) -> list[str]:
+    return [f"{c} {df.schema[c].dataType.simpleString()}" for c in names]
 
 
 def decode(
@@ -48,9 +59,33 @@ def _decoded(reads: DataFrame, codec: codecs.Codec, p: Profile, carry: Sequence[
     return codecs.decode_windows(encoded, codec)
 
 
-def roundtrip(reads: DataFrame, codec: codecs.Codec, p: Profile = PROFILE) -> DataFrame:
-    """decode(encode(reads)) without tokens in between."""
-    return stitch(_decoded(reads, codec, p), reads, p)
+def _segments(codec: codecs.Codec, p: Profile, fixed: Sequence[str] = (), with_adc: bool = False) -> Step:
+    """From ``cutter``'s reads to ``joiner``'s segments: windows through the codec and back and stitched by one worker."""
+    kept = ["start", "valid", "last", *["adc"] * with_adc, *fixed]
+    head = ["read_pos", "seq", "center", "scale"]
+    return chained(
+        cutter(p, fixed, with_adc),
+        picked("read_pos", "seq", "center", "half", "y", *kept),
+        codecs.encoder(codec, carry=kept),
+        picked(*head, *kept, "codes"),
+        codecs.decoder(codec, [*head, *kept]),
+        picked("read_pos", "seq", "start", "valid", "center", "scale", "last", "y", *["adc"] * with_adc, *fixed),
+        joiner(p, fixed, with_adc),
+    )
+
+
+def roundtrip(reads: DataFrame, codec: codecs.Codec, p: Profile = PROFILE, carry: Sequence[str] = ()) -> DataFrame:
+    """decode(encode(reads)) without tokens in between, where the reads are: no shuffle. ``carry`` as in ``compared``."""
+    columns = reads.select("read_pos", "offset", "scale", "signal", "num_samples", *carry)
+    kinds = ["read_pos long, num_samples long, offset float, scale float, signal array<smallint>", *_kinds(columns, carry)]
+    return columns.mapInArrow(by_read(_segments(codec, p), carry), ", ".join(kinds))
+
+
+def _gained(reads: DataFrame, carry: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """What ``compared`` reads, and the columns that go with each segment."""
+    fixed = ["num_samples", "gain_offset", "gain_scale", *carry]
+    named = reads.withColumns({"gain_offset": F.col("offset"), "gain_scale": F.col("scale")})
+    return named.select("read_pos", "offset", "scale", "signal", *fixed), fixed
 
 
 def compared(reads: DataFrame, codec: codecs.Codec, p: Profile = PROFILE, carry: Sequence[str] = ()) -> DataFrame:
@@ -59,12 +94,20 @@ def compared(reads: DataFrame, codec: codecs.Codec, p: Profile = PROFILE, carry:
     By segment, so that no row grows with a read beyond the source's own. Reads without samples have none. Clashing
     names in ``carry`` are the caller's to avoid; its columns are the same for a whole read.
     """
-    kept = ["num_samples", "gain_offset", "gain_scale", *carry]
-    named = reads.withColumns({"gain_offset": F.col("offset"), "gain_scale": F.col("scale")})
-    rows = stitch_segments(_decoded(named, codec, p, kept, True), p, ["adc", *kept])
+    columns, fixed = _gained(reads, carry)
+    kinds = ["read_pos long, segment long, pa array<float>, adc array<smallint>", *_kinds(columns, fixed)]
+    rows = columns.mapInArrow(_segments(codec, p, fixed, True), ", ".join(kinds))
     return rows.withColumnsRenamed({"gain_offset": "offset", "gain_scale": "scale"})
 
 
+def segment_errors(reads: DataFrame, codec: codecs.Codec, p: Profile = PROFILE, carry: Sequence[str] = ()) -> DataFrame:
+    """``quality.segment_errors`` of ``compared``, by the same worker: signals cross to Python once and don't come back."""
+    columns, fixed = _gained(reads, carry)
+    order = ["read_pos", "num_samples", "segment", "gain_offset", "gain_scale", "adc", "pa", *carry]
+    step = chained(_segments(codec, p, fixed, True), picked(*order), quality.segment_folder(p, carry))
+    return columns.mapInArrow(step, quality.segment_kinds(columns, carry))
+
+
 def stored_reads(reads: DataFrame, run_info: DataFrame, tokens: DataFrame, p: Profile = PROFILE, **limits: int) -> DataFrame:
     """Rows of a token file: metadata, group, run info and the windows' tokens by read."""
     by_read = tokens.groupBy("read_pos").agg(F.sort_array(F.collect_list(F.struct("seq", "center", "scale", "codes"))).alias("t"))
