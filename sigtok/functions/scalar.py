@@ -78,6 +78,15 @@ def pa_to_adc(pa: Column, offset: Column, scale: Column) -> Column:
     return F.greatest(F.least(v, F.lit(32767.0)), F.lit(-32768.0)).cast("short")
 
 
+def millionths(v: Column) -> Column:
+    """round(v * 1000000) of a single-precision value within [-1, 1], half away from zero, without round()'s decimals.
+
+    The product has 44 bits at most, so no sum with a half is rounded up to the next whole number.
+    """
+    x = f64(v) * 1000000
+    return (F.signum(x) * F.floor(F.abs(x) + 0.5)).cast("long")
+
+
 def edge_weight(t: Column, p: Profile) -> Column:
     n, o = p.chunk_samples, p.overlap_samples + 1.0
     return f32(F.least(F.lit(1.0), (t + 1) / F.lit(o), (F.lit(n) - t) / F.lit(o)))

@@ -20,23 +20,24 @@ def window_stats(reads: DataFrame, p: Profile = PROFILE) -> DataFrame:
 
     Calibration is monotone, so only two samples of a window are calibrated; a negative scale swaps them.
     """
-    plan = window_signals(reads, p)
+    return _with_stats(window_signals(reads, p)).select("read_pos", "seq", "start", "valid", "lo", "hi", "center", "half")
+
+
+def _with_stats(plan: DataFrame) -> DataFrame:
     a = S.adc_to_pa(F.array_min("samples"), F.col("offset"), F.col("scale"))
     b = S.adc_to_pa(F.array_max("samples"), F.col("offset"), F.col("scale"))
-    lo_hi = plan.select("read_pos", "seq", "start", "valid", F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
-    return lo_hi.withColumn("center", S.midpoint(F.col("lo"), F.col("hi"))).withColumn(
-        "half", S.half_range(F.col("lo"), F.col("hi"))
-    )
+    lo_hi = plan.withColumns({"lo": F.least(a, b), "hi": F.greatest(a, b)})
+    return lo_hi.withColumns({"center": S.midpoint(F.col("lo"), F.col("hi")), "half": S.half_range(F.col("lo"), F.col("hi"))})
 
 
 def exploded_windows(reads: DataFrame, p: Profile = PROFILE) -> DataFrame:
-    """(read_pos, num_samples, seq, start, valid, t, pos, pa, center, half, y), one row per window sample."""
-    plan = window_signals(reads, p)
-    stats = window_stats(reads, p).select("read_pos", "seq", "center", "half")
-    rows = plan.select(
-        "read_pos", "num_samples", "offset", "scale", "seq", "start", "valid", F.posexplode("samples").alias("t", "adc")
+    """(read_pos, num_samples, seq, start, valid, t, pos, pa, center, half, y), one row per window sample.
+
+    A window's statistics go with its samples when it is exploded, so that no sample meets them in a join.
+    """
+    rows = _with_stats(window_signals(reads, p)).select(
+        "read_pos", "seq", "num_samples", "offset", "scale", "start", "valid", F.posexplode("samples").alias("t", "adc"), "center", "half"
     )
-    rows = rows.join(stats, ["read_pos", "seq"])
     pa_ = S.adc_to_pa(F.col("adc"), F.col("offset"), F.col("scale"))
     rows = rows.withColumn("pos", F.col("start") + F.col("t")).withColumn("pa", pa_)
     return rows.withColumn("y", S.normalized(F.col("pa"), F.col("center"), F.col("half"), p))
