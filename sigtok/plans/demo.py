@@ -170,8 +170,7 @@ def network_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Event reads through an untrained network of random weights: sizes are right, errors are what they are."""
     p = Profile.of(64, 16, TINY.tokens_for(64), TINY.codebook_size)
     codec = network.NetworkCodec(network.Network(TINY, network.random_weights(TINY, 5)))
-    reads = adapters.event_reads(spark, sf)
-    errs = quality.read_errors(quality.errors(reads, pipeline.roundtrip(reads, codec, p)), p)
+    errs = pipeline.segment_errors(adapters.event_reads(spark, sf), codec, p)
     return quality.by_region(errs).select("region", "samples", F.round("mae_pa", 2).alias("mae_pa"))
 
 
