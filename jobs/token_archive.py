@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import LOG, config_of, parser, session
 from sigtok.operators import codecs
-from sigtok.operators.normalize import prepare
+from sigtok.plans import pipeline
 from sigtok.profile import PROFILE, Profile
 from sigtok.sources.adapters import text_reads
 
@@ -53,8 +53,7 @@ def encoded(docs: DataFrame, config: Config, p: Profile = PROFILE) -> DataFrame:
     """Rows of the archive, but for ``batch``, from rows (doc_id, text, partition)."""
     part = config.partition
     reads = text_reads(docs, [part])
-    windows = prepare(reads, p, ["num_samples", part])
-    tokens = codecs.encode_windows(windows, codecs.create(config.codec, p), config.windows_per_call, ["start", "valid", "num_samples", part])
+    tokens = pipeline.encode(reads, codecs.create(config.codec, p), p, config.windows_per_call, ["num_samples", part], places=True)
     digits = F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 4, "0"))
     rows = tokens.select(
         "read_pos", "num_samples", "seq", "start", "valid", "center", "scale", F.array_join(digits, "").alias("codes"), part

@@ -124,6 +124,11 @@ def by_hand(rows):
     return out
 
 
+def test_an_archive_cuts_and_encodes_in_one_worker(spark):
+    rows = token_archive.encoded(spark.createDataFrame(ODD, DOCS), token_archive.Config())
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+
+
 def test_report_against_whole_reads(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "source").union(spark.createDataFrame(ODD, DOCS))
     folder, target = str(tmp_path / "docs"), str(tmp_path / "report")
