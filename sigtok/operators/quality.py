@@ -90,8 +90,8 @@ def _region_sums(codes: np.ndarray, err: np.ndarray) -> list[dict]:
     ]
 
 
-def read_errors(pairs: DataFrame, p: Profile = PROFILE) -> DataFrame:
-    """(read_pos, num_samples, mae, std, sums): a read's errors, std over the population, sums by region."""
+def read_folder(p: Profile) -> Step:
+    """From (read_pos, num_samples, offset, scale, signal, back) to the rows of ``read_errors``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 4, 5):
@@ -108,8 +108,13 @@ def read_errors(pairs: DataFrame, p: Profile = PROFILE) -> DataFrame:
                 ["read_pos", "num_samples", "mae", "std", "sums"],
             )
 
+    return run
+
+
+def read_errors(pairs: DataFrame, p: Profile = PROFILE) -> DataFrame:
+    """(read_pos, num_samples, mae, std, sums): a read's errors, std over the population, sums by region."""
     columns = pairs.select("read_pos", "num_samples", "offset", "scale", "signal", "back")
-    return columns.mapInArrow(run, f"read_pos long, num_samples long, mae double, std double, sums {_SUMS}")
+    return columns.mapInArrow(read_folder(p), f"read_pos long, num_samples long, mae double, std double, sums {_SUMS}")
 
 
 def by_region(reads: DataFrame) -> DataFrame:

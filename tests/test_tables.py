@@ -166,6 +166,21 @@ def test_query_without_sql_runs(spark, data, name):
         assert rows[0].windows == rows[0].equal > 0
 
 
+def test_errors_of_reads_work_on_slices_of_large_batches():
+    import pyarrow as pa
+
+    from sigtok.operators import quality
+    from sigtok.operators.arrow import PIECE_BYTES
+    from sigtok.profile import PROFILE
+
+    n, size = 2000, 3000
+    at, one = pa.array(range(n), pa.int64()), pa.array([0.5] * n, pa.float32())
+    signal = pa.ListArray.from_arrays(pa.array(range(0, (n + 1) * size, size), pa.int32()), pa.array([7] * (n * size), pa.int16()))
+    batch = pa.RecordBatch.from_arrays([at, pa.array([size] * n, pa.int64()), one, one, signal, signal], ["read_pos", "num_samples", "offset", "scale", "signal", "back"])
+    for out, held in ((list(quality.read_folder(PROFILE)(iter([batch]))), 4 * size), (list(catalog.moved(iter([batch.select(["read_pos", "signal"])]))), 2 * size)):
+        assert sum(b.num_rows for b in out) == n and max(b.num_rows for b in out) * held <= PIECE_BYTES
+
+
 def test_empty_reads_go_through_the_round_trip_once(spark, data):
     plan = catalog.QUERIES["empty_reads"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 2  # texts to reads, and the round trip
