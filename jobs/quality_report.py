@@ -13,7 +13,7 @@ length), ``read_mae`` (percentiles of the reads' errors) and ``overall`` (mae_pa
 samples or reads a figure is from. Percentiles are exact, by selection.
 
 Null texts are reads without samples: they count in ``input`` and ``read_length`` alone. Ids name the reads in the
-shuffle that stitches them, so a null or repeated id is an error that says which. A null partition value is a
+sums of their segments, so a null or repeated id is an error that says which. A null partition value is a
 partition of its own. An empty table writes nothing.
 """
 
@@ -65,8 +65,8 @@ def figures(docs: DataFrame, config: Config) -> DataFrame:
     lengths = stored(lengths, "report-lengths")
     if twice := lengths.groupBy("read_pos").count().where("count > 1 or read_pos is null").head(1):
         raise SigtokError(f"reads need ids of their own; {twice[0]['read_pos']} isn't one")
-    compared = pipeline.compared(text_reads(docs, [part]), codecs.create(config.codec, p), p, [part])
-    segments = stored(quality.segment_errors(compared, p, [part]), "report-segments")
+    errors = pipeline.segment_errors(text_reads(docs, [part]), codecs.create(config.codec, p), p, [part])
+    segments = stored(errors, "report-segments")
     reads = stored(quality.errors_by_read(segments, [part]), "report-reads")
 
     n = F.col("num_samples")

@@ -124,6 +124,14 @@ def by_hand(rows):
     return out
 
 
+def test_a_report_codes_and_compares_in_one_worker_without_a_shuffle(spark, monkeypatch):
+    plans = {}
+    keep = quality_report.stored
+    monkeypatch.setattr(quality_report, "stored", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), keep(df, name))[1])
+    quality_report.figures(spark.createDataFrame(ODD, DOCS), quality_report.Config())
+    assert plans["report-segments"].count("MapInArrow") == 2 and "Exchange" not in plans["report-segments"]
+
+
 def test_an_archive_cuts_and_encodes_in_one_worker(spark):
     rows = token_archive.encoded(spark.createDataFrame(ODD, DOCS), token_archive.Config())
     assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
