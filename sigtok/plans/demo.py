@@ -14,7 +14,7 @@ from sigtok.operators.windows import chunk_plan, samples
 from sigtok.plans import pipeline
 from sigtok.profile import SMALL, NetworkConfig, Profile
 from sigtok.schema import END_REASONS, PAIRS, READ_META, RUN_INFO, RUN_INFO_RANGES, RUN_INFO_TEXTS
-from sigtok.session import small, work_path
+from sigtok.session import small, stored, work_path
 from sigtok.sources import adapters, tokens
 from sigtok.streaming import windows as streams
 
@@ -180,11 +180,12 @@ def streamed(spark: SparkSession, sf: str) -> DataFrame:
     flat = samples(reads).select("read_pos", F.col("pos").cast("long").alias("pos"), "adc", (F.col("pos") == F.col("num_samples") - 1).alias("last"))
     flat = flat.withColumn("at", F.timestamp_seconds(F.col("pos") + 1_600_000_000))
     source, target, mark = (work_path(spark, n) for n in ("samples", "stream-windows", "stream-state"))
-    # each micro-batch has a part of every stretch, and the ends come first
+    # each micro-batch has a part of every stretch, in as many files as there are cores, and the ends come first
     part = F.when(F.col("last"), 0).otherwise(F.pmod(F.xxhash64("read_pos", "pos"), F.lit(4)))
+    flat, files = stored(flat, "stream-samples"), spark.sparkContext.defaultParallelism
     for k in range(4):
-        flat.where(part == k).orderBy(F.xxhash64("pos")).coalesce(1).write.mode("append").parquet(source)
-    stream = streams.stream_reads(spark, source, "read_pos long, pos long, adc smallint, last boolean, at timestamp")
+        flat.where(part == k).repartition(files).sortWithinPartitions(F.xxhash64("pos")).write.mode("append").parquet(source)
+    stream = streams.stream_reads(spark, source, "read_pos long, pos long, adc smallint, last boolean, at timestamp", files)
     with streams.state_store(spark):
         q = (
             streams.sample_windows(stream, SMALL)

@@ -7,8 +7,8 @@ from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sigtok.operators.codecs import Codec
@@ -46,12 +46,18 @@ def state_store(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+_Window = Row("read_pos", "seq", "start", "valid", "samples", "problem")
+#: What is kept of a read. seq: the next window; first: the position of the first sample of ``held``; n: the read's length
+#: where known, -1 where not; timer: when its wait ends, -1 before the first; places: starts and lengths of the runs in ``waiting``.
+STATE = "seq int, first long, held binary, n long, done boolean, timer long, places binary, waiting binary"
+
+
 class SampleWindows(StatefulProcessor):
     """Windows of one read at a time, from samples in any order.
 
-    ``head`` holds what the next window still needs, the run of samples up to the first one missing; ``waiting``
-    holds runs that came before their turn; a timer ends the wait. A finished read is remembered until its timer,
-    so that what comes after it is known to be late.
+    The state holds what the next window still needs, the run of samples up to the first one missing, and the runs
+    that came before their turn; a timer ends the wait. A finished read is remembered until its timer, so that what
+    comes after it is known to be late. All of it is one value, as each call for state costs more than a few samples.
     """
 
     def __init__(self, p: Profile) -> None:
@@ -59,59 +65,73 @@ class SampleWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # seq: the next window; first: the position of the first held sample; n: the read's length where known, -1 where not
-        self.head = handle.getValueState("head", "seq int, first long, held binary, n long, done boolean")
-        self.waiting = handle.getListState("waiting", "pos long, adc binary")
+        self.read = handle.getValueState("read", STATE)
 
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows)).sort_values("pos", kind="stable")
-        seq, first, held, n, done = self.head.get() if self.head.exists() else (0, 0, b"", -1, False)
-        samples, now = np.frombuffer(held, np.int16), int(came["at"].max().timestamp() * 1000)
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        _, pos_, adc_, last_, ms = zip(*rows, strict=True)
+        pos = np.array(pos_, np.int64)
+        order = np.argsort(pos, kind="stable")
+        pos, adc, now = pos[order], np.array(adc_, np.int16)[order], max(ms)
+        ends = pos[np.array(last_, bool)[order]]
+        seq, first, held, n, done, timer, runs = self._get() or (0, 0, b"", -1, False, -1, [])
+        samples = np.frombuffer(held, np.int16)
         out: list[tuple] = []
-        pos, adc = came["pos"].to_numpy(np.int64), came["adc"].to_numpy(np.int16)
-        ends = pos[came["last"].to_numpy(bool)]
         if n < 0 and len(ends):
             n = int(ends.min()) + 1
-        runs = [(int(r[0]), np.frombuffer(r[1], np.int16)) for r in self.waiting.get()] if self.waiting.exists() else []
         had = np.concatenate([np.arange(a, a + len(x)) for a, x in runs]) if runs else np.empty(0, np.int64)
         # a sample that was there, or comes a second time, or after the end, is late
         late = (pos < first + len(samples)) | np.isin(pos, had) | np.concatenate([[False], pos[1:] == pos[:-1]])
         late |= (pos >= n) if n >= 0 else False
         late |= done
-        out += [(*r, "late") for r in self._runs(key, pos[late], adc[late])]
+        if late.any():
+            out += [(*r, "late") for r in self._runs(key, pos[late], adc[late])]
+        if done:
+            self._put(seq, first, samples, n, done, [], now, timer)
+            return self._rows(out)
         runs += [(r[2], np.array(r[4], np.int16)) for r in self._runs(key, pos[~late], adc[~late])]
         runs.sort(key=lambda r: r[0])
-        if done:
-            self._put(seq, first, samples, n, done, [], now)
-            yield self._frame(out)
-            return
-        while runs and runs[0][0] == first + len(samples):
-            samples = np.concatenate([samples, runs.pop(0)[1]])
+        ready = 0
+        end = first + len(samples)
+        while ready < len(runs) and runs[ready][0] == end:
+            end += len(runs[ready][1])
+            ready += 1
+        if ready:
+            samples, runs = np.concatenate([samples, *(x for _, x in runs[:ready])]), runs[ready:]
         seq, first, samples = self._cut(key, out, seq, first, samples)
         if n >= 0 and first + len(samples) == n:
             self._tail(key, out, seq, first, samples, n)
             done, samples = True, samples[:0]
             first = n
-        self._put(seq, first, samples, n, done, runs, now)
-        yield self._frame(out)
+        self._put(seq, first, samples, n, done, runs, now, timer)
+        return self._rows(out)
 
-    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         """The wait is over: what is missing, what waited for it, and all state goes."""
         out: list[tuple] = []
-        if self.head.exists():
-            seq, first, held, n, done = self.head.get()
+        if known := self._get():
+            seq, first, held, n, done, _, runs = known
             at = first + len(held) // 2
             if not done:
-                runs = sorted((int(r[0]), np.frombuffer(r[1], np.int16)) for r in self.waiting.get()) if self.waiting.exists() else []
                 missing = (runs[0][0] if runs else max(n, at)) - at
                 out.append((key[0], None, at, missing, [], "gap" if missing else "no end"))
                 out += [(key[0], None, a, len(x), x.tolist(), "after a gap") for a, x in runs]
-        self.head.clear()
-        self.waiting.clear()
-        yield self._frame(out)
+        self.read.clear()
+        return self._rows(out)
+
+    def _get(self) -> tuple | None:
+        """The state, its waiting runs as (start, samples) in order."""
+        known = self.read.get()
+        if known is None:
+            return None
+        *rest, places, waiting = known
+        samples, runs, at = np.frombuffer(waiting, np.int16), [], 0
+        for start, size in np.frombuffer(places, np.int64).reshape(-1, 2).tolist():
+            runs.append((start, samples[at : at + size]))
+            at += size
+        return (*rest, runs)
 
     def _cut(self, key: tuple, out: list, seq: int, first: int, samples: np.ndarray) -> tuple[int, int, np.ndarray]:
         """Emits full windows; keeps what the next one and a tail, which may reach back a window's length, need."""
@@ -136,23 +156,19 @@ class SampleWindows(StatefulProcessor):
         cuts = [0, *(np.flatnonzero(np.diff(pos) != 1) + 1).tolist(), len(pos)]
         return [(key[0], None, int(pos[a]), b - a, adc[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
 
-    def _put(self, seq: int, first: int, samples: np.ndarray, n: int, done: bool, runs: list, now: int) -> None:
-        self.head.update((seq, first, samples.astype(np.int16).tobytes(), n, done))
-        if runs:
-            self.waiting.put([(a, np.asarray(x, np.int16).tobytes()) for a, x in runs])
-        else:
-            self.waiting.clear()
-        timers = list(self.handle.listTimers())
-        for t in timers:
-            if t < now:
-                self.handle.deleteTimer(t)
-        if not timers or max(timers) < now:
+    def _put(self, seq: int, first: int, samples: np.ndarray, n: int, done: bool, runs: list, now: int, timer: int) -> None:
+        if timer < now:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
             self.handle.registerTimer(now)
+            timer = now
+        places = np.array([(a, len(x)) for a, x in runs], np.int64).tobytes()
+        waiting = np.concatenate([x for _, x in runs]).astype(np.int16).tobytes() if runs else b""
+        self.read.update((seq, first, samples.astype(np.int16).tobytes(), n, done, timer, places, waiting))
 
     @staticmethod
-    def _frame(out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["read_pos", "seq", "start", "valid", "samples", "problem"])
-        return frame.astype({"read_pos": "int64", "seq": "Int32", "start": "int64", "valid": "int32"})
+    def _rows(out: list[tuple]) -> Iterator[Row]:
+        return (_Window(*r) for r in out)
 
 
 def sample_windows(samples: DataFrame, p: Profile = SMALL, patience: str = PATIENCE) -> DataFrame:
@@ -164,5 +180,5 @@ def sample_windows(samples: DataFrame, p: Profile = SMALL, patience: str = PATIE
     read's last sample, the ``gap`` it waited for with what came ``after a gap``, or that it has ``no end``. Samples
     older than that Spark drops and counts in the query's progress. Start the query inside ``state_store``.
     """
-    timed = samples.select("read_pos", "pos", "adc", "last", "at").withWatermark("at", patience)
-    return timed.groupBy("read_pos").transformWithStateInPandas(SampleWindows(p), OUTPUT, "append", "eventTime")
+    timed = samples.withWatermark("at", patience).select("read_pos", "pos", "adc", "last", F.unix_millis("at").alias("ms"))
+    return timed.groupBy("read_pos").transformWithState(SampleWindows(p), OUTPUT, "append", "eventTime")

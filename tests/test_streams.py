@@ -109,3 +109,47 @@ def test_late_samples_gaps_and_missing_ends(spark, tmp_path, few_partitions):
     # of the others, the windows that were whole
     assert [(r.seq, r.start) for r in rows if r.read_pos == 2 and r.problem is None] == [(0, 0)]
     assert sorted((r.seq, r.start) for r in rows if r.read_pos == 3 and r.problem is None) == [(0, 0), (1, 48)]
+
+
+class Handle:
+    """A state of one read, and how often it was called."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def called(self):
+        self.calls += 1
+
+    def get(self):
+        self.called()
+        return self.value
+
+    def update(self, value):
+        self.called()
+        self.value = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.called()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.called()
+        self.timers.remove(at)
+
+
+def test_a_read_takes_few_calls_for_state():
+    handle = Handle()
+    windows = streams.SampleWindows(SMALL)
+    windows.init(handle)
+    rows = [(r[0], r[1], r[2], r[3], 1000 * (k // 100)) for k, r in enumerate(rows_of(7, 400))]
+    order = np.random.default_rng(4).permutation(len(rows))
+    got = []
+    for k in range(4):
+        handle.calls = 0
+        got += list(windows.handleInputRows((7,), iter([rows[i] for i in order[k::4]]), None))
+        assert handle.calls <= 4 and len(handle.timers) == 1
+    assert handle.timers == {3000}
+    check_windows(got, {7: 400})
